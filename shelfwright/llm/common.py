@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +32,24 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each context."""
+    context = spark.sparkContext
+    if not getattr(context, "_shelfwright_sent", False):
+        root = Path(__file__).resolve().parents[2]
+        target = tempfile.mkdtemp(prefix="spark-shelfwright-")
+        stage = Path(target, "stage")
+        shutil.copytree(root / "shelfwright", stage / "shelfwright", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{target}/shelfwright", "zip", stage))
+        context._shelfwright_sent = True
+
+
 def map_arrow(df: DataFrame, func, schema: str) -> DataFrame:
     """mapInArrow with batches that stay small when texts are long."""
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    ship(spark)
     return df.mapInArrow(func, schema)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_arrow, pick, save, texts_of
+from .common import map_arrow, pick, save, ship, texts_of
 
 SEQUENCE = 2048
 #: Pieces in a group, as a mean; a group is what one task holds at once.
@@ -122,6 +122,7 @@ def pack(pieces: DataFrame, length: int = SEQUENCE, group_pieces: int = GROUP_PI
     number times 2^32 plus the bin. Rows are never dropped; no rows give no rows.
     """
     pieces = save(pieces)
+    ship(pieces.sparkSession)
     groups = max(1, -(-pieces.count() // group_pieces))
     kind = pieces.schema["doc_id"].dataType.simpleString()
 
