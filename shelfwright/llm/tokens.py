@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,9 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, pick, texts_of
 
 #: Words kept by one Python worker.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
+#: Word prefixes kept.
+STATES = 600_000
 #: Fixed values of the tokenizer file's pre-tokenizer and special strings.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
@@ -44,16 +47,21 @@ class PrefixCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        self.vocab = set(model["vocab"])
         self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
-        self.inner = {t for t in self.vocab if not t.endswith("</w>")}
-        self.last = {t[:-4] for t in self.vocab if t.endswith("</w>")}
-        self.longest = max(map(len, self.inner | self.last))
+        # tokens by their letters from the last to the first; at '' a token with, inside and at the end of a word,
+        # {token before it: whether it may stand there}
+        self.ends: dict = {}
+        for t in model["vocab"]:
+            end = t.endswith("</w>")
+            node = self.ends
+            for c in reversed(t[:-4] if end else t):
+                node = node.setdefault(c, {})
+            node.setdefault("", [t[:-4] if end else t, None, None])[1 + end] = {}
         self.letters = byte_letters()
         self.words = regex.compile(WORD_PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, SPECIAL)))
-        self.pairs: dict[tuple[str, str, bool], bool] = {}
-        self.pieces: dict[str, np.ndarray] = {}
+        self.states: dict[str, tuple[str, int, int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
 
     def _merge(self, symbols: list[str]) -> list[str]:
@@ -66,66 +74,88 @@ class PrefixCounter:
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         return symbols
 
-    def _fits(self, a: str, b: str, end: bool) -> bool:
-        """May token b (a word's last if end) stand after token a ('' : at the start)?"""
-        key = (a, b, end)
-        if (known := self.pairs.get(key)) is None:
-            symbols = [*a, *b]
-            if end:
-                symbols[-1] += "</w>"
-            want = [a, b + "</w>" * end] if a else [b + "</w>" * end]
-            known = self.pairs[key] = self._merge(symbols) == want
-            if len(self.pairs) > 400_000:
-                self.pairs.clear()
-        return known
+    def _fits(self, a: str, b: str, end: str) -> bool:
+        """May token b (with `end` as its ending) stand after token a ('' : at the start)?"""
+        symbols = [*a, *b]
+        symbols[-1] += end
+        return self._merge(symbols) == ([a, b + end] if a else [b + end])
+
+    def _state(self, s: str, i: int, tokens: list[str], counts: list[int]) -> tuple[str, int, int]:
+        """Of s[:i]: its last token inside a word, the count up to it, and the count where the word ends here.
+
+        A last token is the one that fits behind the last token of the shorter prefix it leaves.
+        """
+        token, count, whole, node = "", 0, 0, self.ends
+        for j in range(i - 1, -1, -1):
+            if (node := node.get(s[j])) is None:
+                break
+            if (found := node.get("")) is not None and (j == 0 or tokens[j]):
+                t, inner, last = found
+                a = tokens[j]
+                if inner is not None and not token:
+                    if (known := inner.get(a)) is None:
+                        known = inner[a] = self._fits(a, t, "")
+                    if known:
+                        token, count = t, counts[j] + 1
+                if last is not None and not whole:
+                    if (known := last.get(a)) is None:
+                        known = last[a] = self._fits(a, t, "</w>")
+                    if known:
+                        whole = counts[j] + 1
+                if token and whole:
+                    break
+        return token, count, whole
 
-    def piece(self, word: str) -> np.ndarray:
+    def piece(self, word: str) -> bytes | list[int]:
         """Token count of word[:k] standing alone, for k = 1 ... len(word)."""
-        if (known := self.pieces.get(word)) is not None:
-            return known
+        if (known := self.pieces.get(word)) is None:
+            known = self._piece(word)
+            if len(word) < 64:  # then the counts fit into bytes
+                if len(self.pieces) > CACHE_WORDS:
+                    self.pieces.clear()
+                known = self.pieces[word] = bytes(known)
+        return known
+
+    def _piece(self, word: str) -> list[int]:
+        """What is known of a prefix holds for all words that begin with it."""
         raw = word.encode("utf-8", "surrogatepass")
         s = "".join(map(self.letters.__getitem__, raw))
-        n, inner, last, fits = len(s), self.inner, self.last, self._fits
-        token, count, ends = [""] * (n + 1), [0] * (n + 1), []
+        n, states = len(s), self.states
+        tokens, counts, out = [""], [0], []
+        if len(states) > STATES:
+            states.clear()
         for i in range(1, n + 1):
-            low = max(0, i - self.longest)
-            for j in range(low, i):
-                if (t := s[j:i]) in inner and (j == 0 or token[j]) and fits(token[j], t, False):
-                    token[i], count[i] = t, count[j] + 1
-                    break
+            if (state := states.get(p := s[:i])) is None:
+                state = self._state(s, i, tokens, counts)
+                if i < 64:
+                    states[p] = state
+            tokens.append(state[0])
+            counts.append(state[1])
             if i == n or raw[i] & 0xC0 != 0x80:
-                for j in range(low, i):
-                    if (t := s[j:i]) in last and (j == 0 or token[j]) and fits(token[j], t, True):
-                        ends.append(count[j] + 1)
-                        break
-        if len(word) == 3 and word in ("'re", "'ve", "'ll"):
-            ends[1] = int(self.piece("'")[-1] + self.piece(word[1])[-1])
-        out = np.array(ends, np.int64)
-        if len(self.pieces) > CACHE_WORDS // 2:
-            self.pieces.clear()
-        self.pieces[word] = out
+                out.append(state[2])
+        if n == 3 and word in ("'re", "'ve", "'ll"):
+            out[1] = self.piece("'")[-1] + self.piece(word[1])[-1]
         return out
 
-    def _plain(self, text: str) -> np.ndarray:
+    def _plain(self, text: str) -> list[int]:
         """Counts for a normalised text without special strings."""
-        out, base, at = np.zeros(len(text), np.int64), 0, 0
+        out, base, at = [], 0, 0
         for m in self.words.finditer(text):
-            out[at : m.start()] = base
+            out += [base] * (m.start() - at)
             at = m.end()
-            out[m.start() : at] = base + self.piece(m[0])
-            base = out[at - 1]
-        out[at:] = base
-        return out
+            out += [base + k for k in self.piece(m[0])]
+            base = out[-1]
+        return out + [base] * (len(text) - at)
 
     def _segment(self, text: str) -> np.ndarray:
         """Counts for a text without special strings, by its own code points."""
         if not text:
             return np.zeros(0, np.int64)
         if text.isascii():
-            return self._plain(text.lower())
+            return np.array(self._plain(text.lower()), np.int64)
         lower = [c.lower() for c in text]
         if unicodedata.is_normalized("NFC", text) and all(len(c) == 1 for c in lower):
-            return self._plain("".join(lower))
+            return np.array(self._plain("".join(lower)), np.int64)
         # letters that normalisation joins or splits: each prefix is normalised on its own
         norm = lambda x: "".join(c.lower() for c in unicodedata.normalize("NFC", x))
         return np.array([self._plain(norm(text[:k]))[-1] for k in range(1, len(text) + 1)], np.int64)
@@ -143,8 +173,12 @@ class PrefixCounter:
 
     def _cached(self, word: bytes) -> bytes:
         if (known := self.chunks.get(word)) is None:
-            counts = self.chunk(word.decode("utf-8", "surrogatepass"))
-            known = np.append(counts, counts[-1]).astype("<u4").tobytes()  # its end once more, for the space behind
+            if word.isascii() and b"<|" not in word:
+                counts = self._plain(word.decode().lower())
+            else:
+                counts = self.chunk(word.decode("utf-8", "surrogatepass")).tolist()
+            counts.append(counts[-1])  # its end once more, for the space behind
+            known = array("I", counts).tobytes()
             if len(word) < 64:
                 if len(self.chunks) > CACHE_WORDS:
                     self.chunks.clear()
