@@ -7,7 +7,10 @@ decreasing. A tournament tree over the bins' free space finds the first bin that
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,33 +26,65 @@ SEQUENCE = 2048
 #: Pieces in a group, as a mean; a group is what one task holds at once.
 GROUP_PIECES = 2048
 #: Words whose ids one Python worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 700_000
+LETTERS_AND_SIGNS = re.compile(rb"([A-Za-z]+)([!-&(-/:;=?@\[-`{-~]*)")
 
 
 class WordEncoder:
     """Ids of whole texts, word by word.
 
-    For a vocabulary that drops white space, no token crosses it, so a text's ids are those of
-    its white-space separated words in a row; each distinct word is encoded once by the library.
+    For a vocabulary that drops white space, no token crosses it, so a text's ids are those of its
+    white-space separated words in a row; each distinct word is encoded once by the library. Letters and the
+    signs behind them never share a token either, and case is dropped, so a word of ASCII letters and signs
+    is put together from its letters in lower case and its signs.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores out
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[bytes, bytes] = {}
 
-    def ids(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words, known = text.split(), self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.library.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+    def _learn(self, words: set[bytes]) -> None:
+        known = self.known
+        if len(known) + len(words) > CACHE_WORDS:
+            known.clear()
+        parts, new = {}, set()
+        for w in words:
+            if (m := LETTERS_AND_SIGNS.fullmatch(w)) is not None:
+                a, b = m[1].lower(), m[2]
+                parts[w] = a, b
+                if a not in known:
+                    new.add(a)
+                if b and b not in known:
+                    new.add(b)
+            else:
+                new.add(w)
+        new = list(new)
+        for w, e in zip(new, self.library.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
+        for w, (a, b) in parts.items():
+            known[w] = known[a] + known[b] if b else known[a]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out, at = [], 0
+        while at < len(texts):
+            size, part = 0, []
+            while at < len(texts) and (not part or size + len(texts[at]) < 4_000_000):
+                part.append(texts[at].split())
+                size += len(texts[at])
+                at += 1
+            found = [list(map(self.known.get, words)) for words in part]
+            if new := {w for words, f in zip(part, found) if None in f for w, x in zip(words, f) if x is None}:
+                known = self.known
+                if len(known) + 2 * len(new) > CACHE_WORDS:
+                    new = {w for words in part for w in words}
+                self._learn(new)
+                found = [list(map(known.__getitem__, words)) if None in f else f for words, f in zip(part, found)]
+            out += [b"".join(f) for f in found]
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -74,8 +109,8 @@ def cut_documents(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: in
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at, starts, sizes, crcs, totals = [], [], [], [], []
-            for row, text in enumerate(texts_of(batch)):
-                ids = enc.ids(text) + tail
+            for row, ids in enumerate(enc.ids(texts_of(batch))):
+                ids += tail
                 n = len(ids) // 4
                 for s in range(0, n, length):
                     part = ids[4 * s : 4 * (s + length)]
