@@ -44,7 +44,7 @@ def ship(spark: SparkSession) -> None:
         context._shelfwright_sent = True
 
 
-def map_arrow(df: DataFrame, func, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, func, schema) -> DataFrame:
     """mapInArrow with batches that stay small when texts are long."""
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_arrow, pick, texts_of
 
@@ -247,6 +248,26 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     return map_arrow(pick(docs, "doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double{more}")
 
 
+def identify_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents with all their columns, and lang_pred and lang_score as in identify (columns of these names are replaced)."""
+    docs = docs.drop("lang_pred", "lang_score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = [], []
+            for text in texts_of(batch):
+                labels, letters = model.label(text) if model.langs else (np.zeros(0, np.int64), np.zeros(0))
+                total = int(letters.sum())
+                weight = np.bincount(labels, letters, max(1, len(model.langs)))
+                top = int(np.argmax(weight))
+                langs.append(model.langs[top] if total else UNKNOWN)
+                scores.append(float(weight[top] / total) if total else 0.0)
+            yield batch.append_column("lang_pred", pa.array(langs, pa.string())).append_column("lang_score", pa.array(scores, pa.float64()))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    return map_arrow(docs, run, schema)
+
+
 def held_out() -> F.Column:
     """crc32(doc_id as text) mod 5 is 0; a document without id is never learned from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, licenses, pii
+from . import decontam, fingerprint, html, langid, licenses, pii
 from .jaccard import jaccard_classes
 from .packing import pack_documents
 from .substring import remove_repeats
@@ -51,6 +51,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii,
         "op3_packing": op3_packing,
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_html_extraction": op5_html_extraction,
         "op6_license_scan": op6_license_scan,
         "op7_language_id": op7_language_id,
         "op8_fingerprints": op8_fingerprints,
