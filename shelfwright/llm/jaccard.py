@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom, in_bloom, mix
 from .common import components, map_arrow, pick, save, texts_of
 
 WORDS = 4
@@ -32,7 +33,6 @@ FREQUENT = 0.001
 #: Rows of a tile; a larger group becomes tiles for all pairs of its blocks.
 TILE_ROWS = 2048
 CACHE_WORDS = 500_000
-MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Hashes(dict):
@@ -48,12 +48,6 @@ class Hashes(dict):
 _hashes = Hashes()
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * MIX
-    x = (x ^ (x >> np.uint64(29))) * MIX
-    return x ^ (x >> np.uint64(32))
-
-
 def roll(h: np.ndarray, n: int) -> np.ndarray:
     """One hash for each run of n words."""
     out = np.zeros(len(h) - n + 1, np.uint64)
@@ -103,8 +97,9 @@ def frequent_shingles(docs: DataFrame, n: int) -> dict[int, int]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Hashed bits: a power of two of them, at least eight times the set's size, 512 at least."""
-    bits = max(512, 1 << (8 * len(s) - 1).bit_length())
+    """Hashed bits: a power of two of them, at least the set's size, 512 at least. Unrelated sets then differ in three
+    times as many bits as two linked sets may."""
+    bits = max(512, 1 << (len(s) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(mix(s) >> np.uint64(20)) & np.uint64(bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -284,6 +279,22 @@ def check_edges(edges: DataFrame, docs: DataFrame, n: int, percent: int) -> Data
     return map_arrow(pairs, links, f"a {kind}, b {kind}")
 
 
+def held_keys(reps: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, rep) of the prefix keys that a fixed-size filter of `keys` lets through: all of them, and a few others."""
+    table = reps.sparkSession.sparkContext.broadcast(bloom(keys))
+    kind = reps.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            key = prefix.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(prefix)), prefix.value_lengths().to_numpy(zero_copy_only=False))
+            ok = in_bloom(table.value, key)
+            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), batch.column("doc_id").take(pa.array(row[ok]))], ["key", "rep"])
+
+    return map_arrow(reps.select("doc_id", "prefix"), run, f"key long, rep {kind}")
+
+
 def jaccard_classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Classes of documents linked by 100 * intersection >= percent * union of their n-word shingle sets.
 
@@ -300,10 +311,12 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     reps = save(all_.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("sig is not null").dropDuplicates(["doc_id"]))
 
     keys = reps.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("rep"))
+    counted = save(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    rows = save(held_keys(reps, counted).join(counted, "key"))
     # keys with the same members are one tile
-    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("c > 1")
-    shared = save(shared.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c"))
-    rows = save(keys.join(shared, "key"))
+    members = rows.groupBy("key", "c").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    shared = save(members.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"))
+    rows = rows.join(shared, "key", "left_semi")
     rows = rows.join(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "bits"), "rep")
     blocks = F.ceil(F.col("c") / TILE_ROWS).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom, in_bloom
 from .common import map_arrow, pick, save, texts_of
-from .jaccard import _hashes, mix, roll
+from .jaccard import _hashes, roll
 
 WINDOW = 13
 #: Words that a minimiser looks at.
@@ -29,8 +30,6 @@ GRAM = 5
 SHARD_SEGMENTS = 20_000
 #: A key met in this share of the documents is cut into single windows. At most (segments of a document / HOT) keys are.
 HOT = 0.001
-#: Bits of the filter for each key, and bits at most.
-FILTER_BITS, FILTER_MOST = 16, 1 << 28
 
 
 def segments(texts: list[bytes], n: int = WINDOW) -> tuple[np.ndarray, ...]:
@@ -183,15 +182,9 @@ def segment_rows(docs: DataFrame, n: int, spark_filter, hot: np.ndarray, words:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = spark_filter.value
-        bits = np.uint64(len(table) * 32 - 1)
         for batch in batches:
             row, at, count, key, h, starts = segments(texts_of(batch), n)
-            mixed = mix(key.view(np.uint64)), mix(key.view(np.uint64) + np.uint64(7))
-            ok = np.ones(len(key), bool)
-            for m in mixed:
-                p = (m & bits).astype(np.int64)
-                ok &= (table[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+            ok = in_bloom(spark_filter.value, key)
             row, at, count, key = row[ok], at[ok], count[ok], key[ok]
             if len(hot):  # single windows
                 times = np.where(hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key, count, 1)
@@ -258,7 +251,7 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     keys = save(repeated_keys(known, n))
     hot_from = max(200, int(HOT * known.count()))
     hot = np.array(sorted(r["key"] for r in keys.where(F.col("count") > hot_from).select("key").collect()), np.int64)
-    table = spark.sparkContext.broadcast(numpy_filter(keys))
+    table = spark.sparkContext.broadcast(bloom(keys))
 
     classes = segment_rows(known, n, table, hot, True).groupBy("key", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shards = classes.repartition("key").sortWithinPartitions("key")
@@ -269,27 +262,6 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     return cut(docs.join(gone, ["doc_id", "tk"], "left"), n)
 
 
-def numpy_filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of the keys as packed bits, of FILTER_MOST bits at most whatever their number."""
-    bits = min(FILTER_MOST, max(1 << 16, 1 << (FILTER_BITS * keys.count()).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            for m in (mix(key), mix(key + np.uint64(7))):
-                p = (m & np.uint64(bits - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(p >> 5), pa.array(np.left_shift(np.int64(1), p & 31))], ["w", "v"])
-
-    out = np.zeros(bits >> 5, np.uint32)
-    words = map_arrow(keys.select("key"), run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v"))
-    # rows of one number for 32 bits: at most FILTER_MOST / 32, in pieces
-    packed = words.groupBy(F.expr("w div 4096").alias("g")).agg(F.collect_list(F.struct("w", "v")).alias("x"))
-    for r in packed.toLocalIterator(prefetchPartitions=True):
-        for w, v in r["x"]:
-            out[w] = v
-    return out
-
-
 def cut(docs: DataFrame, n: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
