@@ -19,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, in_bloom, mix
 from .common import components, map_arrow, pick, save, texts_of
+from .words import blocks, hash_words, roll
 
 WORDS = 4
 PERCENT = 85
@@ -32,37 +32,21 @@ PERCENT = 85
 FREQUENT = 0.001
 #: Rows of a tile; a larger group becomes tiles for all pairs of its blocks.
 TILE_ROWS = 2048
-CACHE_WORDS = 500_000
 
 
-class Hashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = Hashes()
-
-
-def roll(h: np.ndarray, n: int) -> np.ndarray:
-    """One hash for each run of n words."""
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        out = mix(out + h[i : len(h) - n + 1 + i] + np.uint64(i + 1))
-    return out
-
-
-def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; of the whole sequence if there are fewer words."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    return np.unique(roll(h, min(n, len(h))))
+def shingles(texts: list[bytes], n: int = WORDS) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of its n-word shingles; of the whole sequence if there are fewer words."""
+    for _, part in blocks(texts):
+        h, counts = hash_words([t.lower() for t in part])
+        ends = np.cumsum(counts)
+        runs = roll(h, n) if len(h) >= n else None
+        for end, k in zip(ends.tolist(), counts.tolist()):
+            if k == 0:
+                yield np.zeros(0, np.uint64)
+            elif k < n:
+                yield roll(h[end - k : end], k)
+            else:
+                yield np.unique(runs[end - k : end - n + 1])
 
 
 def frequent_shingles(docs: DataFrame, n: int) -> dict[int, int]:
@@ -80,8 +64,7 @@ def frequent_shingles(docs: DataFrame, n: int) -> dict[int, int]:
             return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(times[often])], ["s", "n"])
 
         for batch in batches:
-            for text in texts_of(batch):
-                s = shingles(text, n)
+            for s in shingles(texts_of(batch), n):
                 held.append(s)
                 size += len(s)
                 count += 1
@@ -120,8 +103,7 @@ def features(docs: DataFrame, n: int, percent: int, frequent: dict[int, int]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, sig, prefix, bits = [], [], [], []
-            for text in texts_of(batch):
-                s = shingles(text, n)
+            for s in shingles(texts_of(batch), n):
                 size.append(len(s))
                 if not len(s):
                     sig.append(None)
@@ -261,7 +243,7 @@ def check_edges(edges: DataFrame, docs: DataFrame, n: int, percent: int) -> Data
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t, n).tobytes() for t in texts_of(batch)], pa.binary())], ["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingles(texts_of(batch), n)], pa.binary())], ["doc_id", "s"])
 
     exact = save(map_arrow(some, arrays, f"doc_id {kind}, s binary").dropDuplicates(["doc_id"]))
     pairs = edges.join(exact.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(exact.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")

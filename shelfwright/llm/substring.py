@@ -21,13 +21,17 @@ from pyspark.sql import functions as F
 
 from .bloom import bloom, in_bloom
 from .common import map_arrow, pick, save, texts_of
-from .jaccard import _hashes, roll
+from .words import blocks, hash_words, roll
 
 WINDOW = 13
 #: Words that a minimiser looks at.
 GRAM = 5
 #: Segments in one index.
 SHARD_SEGMENTS = 20_000
+#: Bytes of a word's hash that stand for it in an index.
+SYMBOL = 5
+#: Distinct segments that a task puts together before it passes them on.
+TASK_SEGMENTS = 200_000
 #: A key met in this share of the documents is cut into single windows. At most (segments of a document / HOT) keys are.
 HOT = 0.001
 
@@ -35,11 +39,9 @@ HOT = 0.001
 def segments(texts: list[bytes], n: int = WINDOW) -> tuple[np.ndarray, ...]:
     """Of many texts: (row, first window, windows, key, words) - words: the hashes of all texts' words in a row,
     and starts: where each row's begin."""
-    words = [t.split() for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
+    h, sizes = hash_words(texts)
     starts = np.cumsum(sizes) - sizes
-    total = int(sizes.sum())
-    h = np.fromiter((_hashes[w] for doc in words for w in doc), np.uint64, total)
+    total = len(h)
     if total < n:
         none = np.zeros(0, np.int64)
         return none, none, none, none, h, starts
@@ -163,11 +165,11 @@ def repeated_keys(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, _, _, key, _, _ = segments(texts_of(batch), n)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id").take(pa.array(row))], ["key", "doc_id"])
+            for at, part in blocks(texts_of(batch)):
+                row, _, _, key, _, _ = segments(part, n)
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id").take(pa.array(row + at))], ["key", "doc_id"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = map_arrow(docs, run, f"key long, doc_id {kind}").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("count"))
+    found = map_arrow(docs, run, "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("count"))
     return found.where("a < b").select("key", "count")
 
 
@@ -176,35 +178,76 @@ def digests(held: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in held]), "<i8").reshape(-1, 2)
 
 
-def segment_rows(docs: DataFrame, n: int, spark_filter, hot: np.ndarray, words: bool) -> DataFrame:
-    """Segments whose key may repeat. words=True: (key, words, doc_id); else (doc_id, tk, at, h1, h2), where h1 and h2
-    tell equal segments."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def kept_segments(texts: list[bytes], n: int, table: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(row, first window, words, key) of the segments whose key may repeat; under a hot key each window by itself. Words
+    are SYMBOL bytes each."""
+    row, at, count, key, h, starts = segments(texts, n)
+    ok = in_bloom(table, key)
+    row, at, count, key = row[ok], at[ok], count[ok], key[ok]
+    one = np.isin(key, hot)
+    times = np.where(one, count, 1)
+    step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    row, at, key, one, count = np.repeat(row, times), np.repeat(at, times) + step, np.repeat(key, times), np.repeat(one, times), np.repeat(np.where(one, 1, count), times)
+    begin = (starts[row] + at) * SYMBOL
+    end = begin + (count + n - 1) * SYMBOL
+    raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SYMBOL].tobytes()
+    held = [raw[b:e] for b, e in zip(begin.tolist(), end.tolist())]
+    if one.any():
+        alone = np.flatnonzero(one)
+        key[alone] = digests([held[i] for i in alone.tolist()])[:, 0]
+    return row, at, held, key
+
+
+def symbols(held: bytes) -> np.ndarray:
+    out = np.zeros((len(held) // SYMBOL, 8), np.uint8)
+    out[:, :SYMBOL] = np.frombuffer(held, np.uint8).reshape(-1, SYMBOL)
+    return out.view(np.uint64)[:, 0]
+
+
+def segment_classes(docs: DataFrame, n: int, spark_filter, hot: np.ndarray) -> DataFrame:
+    """(key, words, low, high): distinct segments of each task, with the smallest and largest document there. Equal segments
+    are put together before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            key, low, high = zip(*found.values())
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(list(found), pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["key", "words", "low", "high"])
+
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for first, part in blocks(texts_of(batch)):
+                row, _, held, key = kept_segments(part, n, spark_filter.value, hot)
+                for w, k, d in zip(held, key.tolist(), ids[row + first].tolist()):
+                    if (known := found.get(w)) is None:
+                        found[w] = [k, d, d]
+                    elif d < known[1]:
+                        known[1] = d
+                    elif d > known[2]:
+                        known[2] = d
+                if len(found) > TASK_SEGMENTS:
+                    yield flush()
+                    found.clear()
+        if found:
+            yield flush()
+
+    return map_arrow(docs, run, "key long, words binary, low long, high long")
+
+
+def segment_places(docs: DataFrame, n: int, spark_filter, hot: np.ndarray, spark_wanted) -> DataFrame:
+    """(doc_id, tk, at, h1, h2) of the segments that may have to give up words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, at, count, key, h, starts = segments(texts_of(batch), n)
-            ok = in_bloom(spark_filter.value, key)
-            row, at, count, key = row[ok], at[ok], count[ok], key[ok]
-            if len(hot):  # single windows
-                times = np.where(hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key, count, 1)
-                split = np.repeat(times > 1, times)
-                step = np.arange(len(split)) - np.repeat(np.cumsum(times) - times, times)
-                one = np.repeat(hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key, times)
-                row, at, count, key = np.repeat(row, times), np.repeat(at, times) + np.where(split, step, 0), np.where(one, 1, np.repeat(count, times)), np.repeat(key, times)
-            else:
-                one = np.zeros(len(key), bool)
-            begin = starts[row] + at
-            raw = h.astype("<u8").tobytes()
-            held = [raw[8 * b : 8 * (b + c + n - 1)] for b, c in zip(begin.tolist(), count.tolist())]
-            digest = digests(held)
-            ids = batch.column("doc_id").take(pa.array(row))
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(one, digest[:, 0], key)), pa.array(held, pa.binary()), ids], ["key", "words", "doc_id"])
-            else:
-                yield pa.RecordBatch.from_arrays([ids, batch.column("tk").take(pa.array(row)), pa.array(at), pa.array(digest[:, 0]), pa.array(digest[:, 1])], ["doc_id", "tk", "at", "h1", "h2"])
-
-    return map_arrow(docs, run, f"key long, words binary, doc_id {kind}" if words else f"doc_id {kind}, tk long, at long, h1 long, h2 long")
+            for first, part in blocks(texts_of(batch)):
+                row, at, held, _ = kept_segments(part, n, spark_filter.value, hot)
+                digest = digests(held)
+                ok = in_bloom(spark_wanted.value, np.ascontiguousarray(digest[:, 0]))
+                where = pa.array(row[ok] + first)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("tk").take(where), pa.array(at[ok]), pa.array(digest[ok, 0]), pa.array(digest[ok, 1])], ["doc_id", "tk", "at", "h1", "h2"])
+
+    return map_arrow(docs, run, "doc_id long, tk long, at long, h1 long, h2 long")
 
 
 def search_shards(classes: DataFrame, n: int) -> DataFrame:
@@ -216,19 +259,22 @@ def search_shards(classes: DataFrame, n: int) -> DataFrame:
 
         def flush(rows: list) -> pa.RecordBatch:
             words, low, high = zip(*rows)
-            found = smallest_holders([np.frombuffer(w, np.uint64) for w in words], np.array(low, np.int64), n)
+            found = smallest_holders([symbols(w) for w in words], np.array(low, np.int64), n)
             keep = [i for i, f in enumerate(found) if high[i] > f.min()]
             digest = digests([words[i] for i in keep])
             return pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([found[i] for i in keep], pa.list_(pa.int64()))], ["h1", "h2", "holders"])
 
         key = None
         for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "words", "low", "high"))):
+            for k, words, low, high in zip(*(batch.column(c).to_pylist() for c in ("key", "words", "low", "high"))):
                 if k != key and len(held) >= SHARD_SEGMENTS:
                     yield flush(held)
                     held = []
                 key = k
-                held.append(row)
+                if held and held[-1][0] == words:
+                    held[-1] = (words, min(low, held[-1][1]), max(high, held[-1][2]))
+                else:
+                    held.append((words, low, high))
         if held:
             yield flush(held)
 
@@ -253,10 +299,10 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     hot = np.array(sorted(r["key"] for r in keys.where(F.col("count") > hot_from).select("key").collect()), np.int64)
     table = spark.sparkContext.broadcast(bloom(keys))
 
-    classes = segment_rows(known, n, table, hot, True).groupBy("key", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shards = classes.repartition("key").sortWithinPartitions("key")
+    shards = segment_classes(known, n, table, hot).repartition("key").sortWithinPartitions("key", "words")
     holders = save(search_shards(shards, n))
-    refs = segment_rows(known, n, table, hot, False).join(holders, ["h1", "h2"])
+    wanted = spark.sparkContext.broadcast(bloom(holders.select(F.col("h1").alias("key"))))
+    refs = segment_places(known, n, table, hot, wanted).join(holders, ["h1", "h2"])
     refs = refs.where(F.exists("holders", lambda x: x < F.col("doc_id"))).select("doc_id", "tk", "at", F.transform("holders", lambda x: x < F.col("doc_id")).alias("gone"))
     gone = refs.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "gone")).alias("gone"))
     return cut(docs.join(gone, ["doc_id", "tk"], "left"), n)
