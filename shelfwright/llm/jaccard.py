@@ -8,8 +8,9 @@ don't share, so bit counts bound the overlap from above. What passes is checked
 exact sorted arrays.
 
 A tile of m near copies has m^2 links. So tiles give only a spanning forest of what passes the bound, best
-first; these edges are checked exactly and joined to components; a second pass over the tiles gives every
-pair that passes and still lies in two components. Links inside a component change nothing, so nothing is lost.
+first; these edges are checked exactly and joined to components. Tiles with passing rows in several
+components are then read again, with their exact arrays, and every pair of two components that passes is
+checked. Links inside a component change nothing, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -79,10 +80,10 @@ def frequent_shingles(docs: DataFrame, n: int) -> dict[int, int]:
     return {r["s"]: r["n"] for r in rows}
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Hashed bits: a power of two of them, at least the set's size, 512 at least. Unrelated sets then differ in three
+def bitmap(s: np.ndarray, bits: int = 0) -> bytes:
+    """Hashed bits: a power of two of them, by default at least the set's size, 512 at least. Unrelated sets then differ in three
     times as many bits as two linked sets may."""
-    bits = max(512, 1 << (len(s) - 1).bit_length())
+    bits = bits or max(512, 1 << (len(s) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(mix(s) >> np.uint64(20)) & np.uint64(bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -161,101 +162,139 @@ def find(parent: list[int], x: int) -> int:
     return x
 
 
-def tile_edges(tiles: DataFrame, percent: int, compared: bool) -> DataFrame:
-    """Edges (a, b) to check from tiles sorted by (tile, left): a spanning forest of each tile's passing pairs, or
-    (compared=True) every passing pair whose ends lie in two components."""
-    by_rep = tiles.schema["rep"].dataType.simpleString()
-
-    def edges(rep, size, comp, side, bits, seen) -> list[tuple[int, int]]:
-        out = []
-        if len(rep) == 2 and side is None:
-            (x, y), (p, q) = size, bits
-            if percent * max(x, y) > 100 * min(x, y) or comp[0] == comp[1]:
-                return out
-            if len(p) != len(q):
-                p, q = (p, q) if len(p) < len(q) else (q, p)
-                q = (int.from_bytes(q[: len(p)], "little") | int.from_bytes(q[len(p) :], "little")).to_bytes(len(p), "little") if len(q) == 2 * len(p) else q
-            differ = (int.from_bytes(p, "little") ^ int.from_bytes(q, "little")).bit_count()
-            if (100 + percent) * ((x + y - differ) // 2) >= percent * (x + y):
-                out.append((min(rep), max(rep)))
-        else:
-            found = [(i, j, g) for i, j, g in passing(np.array(rep), np.array(size, np.int64), bits, percent)]
-            if found:
-                i, j, g = (np.concatenate(x) for x in zip(*found))
-                if side is not None:
-                    s = np.array(side)
-                    keep = s[i] != s[j]
-                    i, j, g = i[keep], j[keep], g[keep]
-                if compared:
-                    c = np.array(comp)
-                    keep = c[i] != c[j]
-                    out = [(min(rep[x], rep[y]), max(rep[x], rep[y])) for x, y in zip(i[keep].tolist(), j[keep].tolist())]
-                else:
-                    parent = list(range(len(rep)))
-                    best = np.argsort(-g, kind="stable")
-                    for x, y in zip(i[best].tolist(), j[best].tolist()):
-                        if (p := find(parent, x)) != (q := find(parent, y)):
-                            parent[p] = q
-                            out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
-        new = [e for e in out if e not in seen]
-        if len(seen) > 500_000:
-            seen.clear()
-        seen.update(new)
-        return new
+def in_tiles(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """Tiles of more than one row of batches sorted by (tile, side), as (tile, rows). Of a tile for two blocks both must be there:
+    the pairs inside one block belong to its own tile."""
+    tile, held = None, []
+    good = lambda: len(held) > 1 and not (held[0][0] < 0 and held[0][0] == held[-1][0])
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", *columns))):
+            if row[0] != tile:
+                if good():
+                    yield tile, held
+                tile, held = row[0], []
+            held.append(row[1:])
+    if good():
+        yield tile, held
+
+
+def rows_of(kind: str, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}
+    columns = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "tile" else types[kind]) for c, n in zip(columns, names)], names)
+
+
+def tile_forests(tiles: DataFrame, percent: int) -> DataFrame:
+    """(tile, a, b): a spanning forest of the passing pairs of each tile, the pairs with the largest bound first. Every row with a
+    passing pair is an end of one."""
+    kind = tiles.schema["rep"].dataType.simpleString()
+
+    def forest(rows: list[tuple]) -> Iterator[tuple]:
+        side, rep, size, bits = zip(*rows)
+        if len(rep) == 2:
+            (x, y), (p, q) = size, sorted(bits, key=len)
+            if percent * max(x, y) <= 100 * min(x, y):
+                if len(q) == 2 * len(p):
+                    q = (int.from_bytes(q[: len(p)], "little") | int.from_bytes(q[len(p) :], "little")).to_bytes(len(p), "little")
+                differ = (int.from_bytes(p, "little") ^ int.from_bytes(q, "little")).bit_count()
+                if (100 + percent) * ((x + y - differ) // 2) >= percent * (x + y):
+                    yield min(rep), max(rep)
+            return
+        found = list(passing(np.array(rep), np.array(size, np.int64), list(bits), percent))
+        if not found:
+            return
+        i, j, g = (np.concatenate(x) for x in zip(*found))
+        if side[0] != side[-1]:
+            s = np.array(side)
+            keep = s[i] != s[j]
+            i, j, g = i[keep], j[keep], g[keep]
+        parent = list(range(len(rep)))
+        best = np.argsort(-g, kind="stable")
+        for x, y in zip(i[best].tolist(), j[best].tolist()):
+            if (p := find(parent, x)) != (q := find(parent, y)):
+                parent[p] = q
+                yield min(rep[x], rep[y]), max(rep[x], rep[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        tile, held = None, []
-        out: list = []
-
-        def close():
-            if len(held) > 1:
-                rep, size, comp, side, bits = zip(*held)
-                mixed = side if len(set(side)) > 1 else None
-                if len(set(side)) == 1 and side[0] < 0:
-                    return  # one block only of a tile for two: its own tile compares it
-                out.extend(edges(list(rep), list(size), list(comp), mixed, list(bits), seen))
-
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "rep", "n_shingles", "comp", "side", "bits"))):
-                if row[0] != tile:
-                    close()
-                    tile, held = row[0], []
-                held.append(row[1:])
+        out: list[tuple] = []
+        for tile, rows in in_tiles(batches, ("rep", "n_shingles", "bits")):
+            out += [(tile, a, b) for a, b in forest(rows)]
             if len(out) > 20_000:
-                a, b = zip(*out)
+                yield rows_of(kind, out, ["tile", "a", "b"])
                 out = []
-                yield pa.RecordBatch.from_arrays([pa.array(a, batch.column("rep").type), pa.array(b, batch.column("rep").type)], ["a", "b"])
-        close()
         if out:
-            a, b = zip(*out)
-            kind = pa.int64() if by_rep == "bigint" else pa.int32() if by_rep == "int" else pa.string()
-            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+            yield rows_of(kind, out, ["tile", "a", "b"])
+
+    return map_arrow(tiles, run, f"tile long, a {kind}, b {kind}")
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Common values of two sorted arrays."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = overlap(x, y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components of each tile's rows, as far as they link at all. Pairs inside a component, of sizes too
+    far apart or with too many different bits are passed over; all others are checked exactly."""
+    kind = tiles.schema["rep"].dataType.simpleString()
+
+    def links(rows: list[tuple]) -> Iterator[tuple]:
+        rows = sorted(rows, key=lambda r: len(r[3]))
+        side, rep, comp, raw = zip(*rows)
+        sets = [np.frombuffer(s, np.uint64) for s in raw]
+        n, side = np.array([len(s) for s in sets]), np.array(side)
+        label = np.unique(np.array(comp), return_inverse=True)[1]
+        width = 1 << (8 * int(n.max()) - 1).bit_length()
+        m = np.stack([np.frombuffer(bitmap(s, max(512, width)), np.uint64) for s in sets])
+        last = np.searchsorted(n, 100 * n // percent, side="right")
+        for i in range(len(sets)):
+            e = int(last[i])
+            j = i + 1 + np.flatnonzero((label[i + 1 : e] != label[i]) & ((side[i + 1 : e] != side[i]) | (side[i] == 0)))
+            if not len(j):
+                continue
+            both = n[j] + n[i]
+            differ = np.bitwise_count(m[j] ^ m[i]).sum(1, dtype=np.int64)
+            for k in j[(100 + percent) * ((both - differ) // 2) >= percent * both].tolist():
+                if label[k] != label[i] and linked(sets[i], sets[k], percent):
+                    label[label == label[k]] = label[i]
+                    yield min(rep[i], rep[k]), max(rep[i], rep[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for _, rows in in_tiles(batches, ("rep", "comp", "s")):
+            out += links(rows)
+        if out:
+            yield rows_of(kind, out, ["a", "b"])
 
-    return map_arrow(tiles, run, f"a {by_rep}, b {by_rep}").distinct()
+    return map_arrow(tiles, run, f"a {kind}, b {kind}").distinct()
 
 
-def check_edges(edges: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The edges that are links, by intersecting the sorted arrays of both ends (built from their texts)."""
-    ends = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
-    some = docs.join(ends, "doc_id", "left_semi")
+def sorted_arrays(ends: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(rep, s): the sorted shingle hashes of the documents of `ends`, from their texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingles(texts_of(batch), n)], pa.binary())], ["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingles(texts_of(batch), n)], pa.binary())], ["rep", "s"])
+
+    some = docs.join(ends.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return map_arrow(some, run, f"rep {kind}, s binary").dropDuplicates(["rep"])
+
 
-    exact = save(map_arrow(some, arrays, f"doc_id {kind}, s binary").dropDuplicates(["doc_id"]))
-    pairs = edges.join(exact.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(exact.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+def check_edges(edges: DataFrame, exact: DataFrame, percent: int) -> DataFrame:
+    """The edges that are links, by intersecting the sorted arrays of both ends."""
+    kind = edges.schema["a"].dataType.simpleString()
+    pairs = edges.join(exact.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(exact.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(pairs, links, f"a {kind}, b {kind}")
@@ -310,14 +349,17 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
         )
     )
     dealt = lambda df: df.repartition("tile").sortWithinPartitions("tile", "side")
-    first = save(tile_edges(dealt(rows.withColumn("comp", F.col("rep").cast("string"))), percent, False))
-    links = save(check_edges(first, docs, n, percent))
+    forests = save(tile_forests(dealt(rows), percent))
+    live = forests.select("tile", F.explode(F.array("a", "b")).alias("rep")).distinct()
+    exact = save(sorted_arrays(live, docs, n))
+    links = save(check_edges(forests.select("a", "b").distinct(), exact, percent))
     parts = components(links)
-    labelled = rows.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep").cast("string")).drop("component")
-    second = save(tile_edges(dealt(labelled), percent, True).join(first, ["a", "b"], "left_anti"))
-    if second.limit(1).count():
-        more = save(check_edges(second, docs, n, percent))
-        if more.limit(1).count():
-            parts = components(links.union(more))
+    # tiles whose passing rows still lie in several components are checked pair by pair, exactly
+    labelled = save(live.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("tile", "rep", F.coalesce("component", "rep").alias("comp")))
+    mixed = save(labelled.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tile"))
+    rest = labelled.join(mixed, "tile").join(rows.select("tile", "rep", "side"), ["tile", "rep"]).join(exact, "rep")
+    more = save(tile_links(dealt(rest), percent))
+    if more.limit(1).count():
+        parts = components(links.union(more))
     whole = save(classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id")))
     return all_.select("doc_id", "n_shingles", "sig").join(whole, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
