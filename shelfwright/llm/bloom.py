@@ -37,12 +37,9 @@ def bloom(keys: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(p >> 5), pa.array(np.left_shift(np.int64(1), p & 31))], ["w", "v"])
 
     words = map_arrow(keys.select("key"), run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v"))
-    # at most MOST / 32 words, in pieces
-    packed = words.groupBy(F.expr("w div 4096").alias("g")).agg(F.collect_list(F.struct("w", "v")).alias("x"))
     out = np.zeros(bits >> 5, np.uint32)
-    for r in packed.toLocalIterator(prefetchPartitions=True):
-        for w, v in r["x"]:
-            out[w] = v
+    found = words.toArrow()  # MOST / 32 rows at most
+    out[found["w"].to_numpy()] = found["v"].to_numpy()
     return out
 
 

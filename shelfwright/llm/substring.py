@@ -303,8 +303,10 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     holders = save(search_shards(shards, n))
     wanted = spark.sparkContext.broadcast(bloom(holders.select(F.col("h1").alias("key"))))
     refs = segment_places(known, n, table, hot, wanted).join(holders, ["h1", "h2"])
-    refs = refs.where(F.exists("holders", lambda x: x < F.col("doc_id"))).select("doc_id", "tk", "at", F.transform("holders", lambda x: x < F.col("doc_id")).alias("gone"))
-    gone = refs.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "gone")).alias("gone"))
+    # the windows that go, by their first word
+    windows = F.filter(F.transform("holders", lambda x, i: F.when(x < F.col("doc_id"), F.col("at") + i)), lambda w: w.isNotNull())
+    refs = refs.select("doc_id", "tk", windows.alias("w")).where(F.size("w") > 0)
+    gone = refs.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("w")).alias("gone"))
     return cut(docs.join(gone, ["doc_id", "tk"], "left"), n)
 
 
@@ -314,24 +316,28 @@ def cut(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, kept, spans = [], [], [], []
-            for text, gone in zip(texts_of(batch), batch.column("gone").to_pylist()):
+            gone = batch.column("gone")
+            sizes = gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends, starts = np.cumsum(sizes), gone.flatten().to_numpy(zero_copy_only=False)
+            for text, end, size in zip(texts_of(batch), ends.tolist(), sizes.tolist()):
                 words = text.split()
                 total.append(len(words))
-                if not gone:
+                if not size:
                     removed.append(0)
                     kept.append(b" ".join(words))
-                    spans.append([])
+                    spans.append(())
                     continue
-                edge = np.zeros(len(words) + 1, np.int64)
-                for piece in gone:
-                    at = piece["at"] + np.flatnonzero(piece["gone"])
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + n, -1)
+                at = starts[end - size : end]
+                edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + n, minlength=len(words) + 1)
                 out = np.cumsum(edge)[:-1] > 0
                 removed.append(int(out.sum()))
-                kept.append(b" ".join([w for w, o in zip(words, out.tolist()) if not o]))
-                turn = np.flatnonzero(np.diff(out.astype(np.int8), prepend=0, append=0))
-                spans.append([{"first_word": s, "words": e - s} for s, e in turn.reshape(-1, 2).tolist()])
+                turn = np.flatnonzero(np.diff(out.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
+                left, last = [], 0
+                for s, e in turn:
+                    left += words[last:s]
+                    last = e
+                kept.append(b" ".join(left + words[last:]))
+                spans.append([{"first_word": s, "words": e - s} for s, e in turn])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64())])))],
                 ["doc_id", "n_words", "n_removed", "kept", "spans"],
