@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Entities that clean_text_html decodes in the JVM; the Arrow variant decodes all.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -34,7 +35,7 @@ def clean_text_html(c: Column) -> Column:
     return clean_text(reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), ENTITIES, F.coalesce(c, F.lit(""))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_all(s: pd.Series) -> pd.Series:
     """X3. Every named and numbered entity, for texts that need more than ENTITIES."""
     return s.map(html.unescape, na_action="ignore")

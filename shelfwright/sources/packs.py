@@ -30,8 +30,9 @@ def read_packs(spark: SparkSession, path: str, skip: tuple[str, ...] = ("_index"
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    """S7. (site, kind, key) of checkpoint files in any of three shapes: a bare list of categories, {cats, ids}, {pages, ids}."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^_?(.*?)_done\.json", 1).alias("site"), "value")
+    """S7. (site, kind, key) of checkpoint files in any of three shapes: a bare list of categories, {cats, ids}, {pages, ids}. Spark
+    doesn't list files whose names begin with an underscore; stage them without it."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)_done\.json", 1).alias("site"), "value")
     listed = F.from_json("value", "array<string>")
     keyed = F.from_json("value", "cats array<string>, ids array<string>, pages array<string>")
     none = F.array().cast("array<string>")
@@ -42,9 +43,9 @@ def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_walks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """S8. membership (site, sid, code) and paths (site, code, path) of walk files."""
+    """S8. membership (site, sid, code) and paths (site, code, path) of walk files (catwalk_<site>.json)."""
     raw = spark.read.schema("membership map<string,string>, paths map<string,array<string>>").option("multiLine", True).json(path)
-    raw = raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^_catwalk_(.*?)\.json", 1).alias("site"), "*")
+    raw = raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^catwalk_(.*?)\.json", 1).alias("site"), "*")
     return raw.select("site", F.explode("membership").alias("sid", "code")), raw.select("site", F.explode("paths").alias("code", "path"))
 
 
@@ -67,7 +68,7 @@ def parse_run_log(lines: DataFrame, column: str = "value") -> DataFrame:
     v = F.col(column)
     number = lambda pattern: F.regexp_extract(v, pattern, 1).try_cast("bigint")
     progress = r"(\S+) \D*(\d+)/(\d+) \(\D*(\d+)\)"
-    result = r"_catwalk_(\w+)\.json \(\D*(\d+), \D*\d\D+(\d+)\)"
+    result = r"catwalk_(\w+)\.json \(\D*(\d+), \D*\d\D+(\d+)\)"
     kind = F.when(v.rlike(result), "result").when(v.rlike(progress), "progress").when(v.rlike(r"(?i)\b(done|complete|finished)\b"), "complete")
     site = F.when(kind == "result", F.regexp_extract(v, result, 1)).when(kind == "progress", F.regexp_extract(v, progress, 1))
     out = lines.select(
