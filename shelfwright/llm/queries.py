@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, fingerprint, html, langid, licenses, pii
 from .jaccard import jaccard_classes
+from .oracles import ORACLES
 from .packing import pack_documents
 from .substring import remove_repeats
 from .tokens import count_tokens
@@ -94,4 +95,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can say; the others are held against plain versions in tests/llm."""
+    return dict(ORACLES)
