@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, save
 
 #: Phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -32,14 +32,14 @@ TEMPLATES = (
 )
 PERCENT = 80
 #: What stands between words: everything in ASCII but letters and digits.
-NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words_of(text: Column) -> Column:
-    """Words with A-Z lower-cased; none for null."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NON_WORD)
-    return F.filter(parts, lambda w: w != "")
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased; null gives ''. Other letters may change case too, which no result shows: the one letter that would turn
+    into an ASCII one (the Kelvin sign) is put aside first."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0101")))
 
 
 def template_tokens(text: str) -> list[str]:
@@ -50,18 +50,28 @@ def template_tokens(text: str) -> list[str]:
     return out
 
 
-def blocks_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, block, tokens): lines, each with its words in order; row tells repeated rows apart."""
-    lines = docs.select("doc_id", "row", F.posexplode(F.split(F.translate("text", UPPER, LOWER), "\n")).alias("block", "line")).where("line <> ''")
-    return lines.select("doc_id", "row", "block", F.split("line", NON_WORD).alias("tokens"))
+def read_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Each text read once: (doc_id, row, n_words, base, blocks). blocks has the lines with two words of the templates or more:
+    their number and these words, each once; base the places of the phrases."""
+    lines = docs.select("doc_id", "row", lowered(F.col("text")).alias("low"))
+    lines = lines.select("doc_id", "row", "low", F.transform(F.split("low", "\n"), lambda line: F.split(line, NON_WORD)).alias("lines"))
+    # only the first and the last piece of a line can be empty
+    count = lambda w: F.size(w) - F.when(w[0] == "", 1).otherwise(0) - F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0)
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda acc, w: acc + count(w))
+    maybe = F.lit(False)
+    for phrase, _ in PHRASES:
+        maybe = maybe | F.contains("low", F.lit(max(phrase.split(), key=len)))
+    words = F.when(maybe, F.filter(F.flatten("lines"), lambda w: w != ""))
+    held = F.transform("lines", lambda w, i: F.struct(i.alias("block"), F.array_distinct(F.filter(w, lambda t: t.isin(vocabulary))).alias("tokens")))
+    out = lines.select("doc_id", "row", total.alias("n_words"), words.alias("words"), F.filter(held, lambda b: F.size(b["tokens"]) > 1).alias("blocks"))
+    base = F.concat(*[phrase_places(phrase.split(), label) for phrase, label in PHRASES])
+    none = F.array().cast("array<struct<at:bigint,label:string>>")
+    return out.select("doc_id", "row", "n_words", F.when(F.col("words").isNotNull(), base).otherwise(none).alias("base"), "blocks")
 
 
 def ordered_templates(blocks: DataFrame, templates=TEMPLATES) -> list[tuple[int, str, list[str]]]:
-    """(number, label, tokens rarest first): the order is by the words' counts in all blocks, then by the word."""
-    spark = blocks.sparkSession
-    vocabulary = sorted({t for _, text in templates for t in template_tokens(text)})
-    wanted = F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "token string"))
-    seen = blocks.select(F.explode("tokens").alias("token")).join(wanted, "token").groupBy("token").count()
+    """(number, label, tokens rarest first): the order is by the tokens' counts in all blocks, then by the token."""
+    seen = blocks.select(F.explode("tokens").alias("token")).groupBy("token").count()
     counts = {r["token"]: r["count"] for r in seen.collect()}  # a row for each word of the templates at most
     return [(i, label, sorted(template_tokens(text), key=lambda t: (counts.get(t, 0), t))) for i, (label, text) in enumerate(templates)]
 
@@ -69,8 +79,6 @@ def ordered_templates(blocks: DataFrame, templates=TEMPLATES) -> list[tuple[int,
 def template_blocks(blocks: DataFrame, templates: list[tuple[int, str, list[str]]], percent: int = PERCENT) -> DataFrame:
     """All (block, template) pairs with 100 * |common tokens| >= percent * |template tokens|: (doc_id, row, block, label, containment)."""
     spark: SparkSession = blocks.sparkSession
-    order = sorted({t for _, _, tokens in templates for t in tokens}, key=lambda t: min(tokens.index(t) for _, _, tokens in templates if t in tokens))
-    assert order
     prefix = []
     for number, label, tokens in templates:
         need = -(-percent * len(tokens) // 100)
@@ -102,19 +110,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFr
     empty; repeated rows are scanned each on their own; no rows give no rows; other columns are not read.
     """
     docs = pick(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
-    blocks = blocks_of(docs.where("text is not null"))
+    out = save(read_words(docs, sorted({t for _, text in templates for t in template_tokens(text)})))
+    blocks = out.select("doc_id", "row", F.explode("blocks").alias("b")).select("doc_id", "row", "b.block", "b.tokens")
     found = template_blocks(blocks, ordered_templates(blocks, templates), percent).groupBy("doc_id", "row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-
-    text = F.coalesce("text", F.lit(""))
-    # words are counted by what stands between them; arrays of words are built only where a phrase may stand
-    parts = F.size(F.split(text, NON_WORD))
-    edges = F.when(text.rlike("^" + NON_WORD) | (text == ""), 1).otherwise(0) + F.when(text.rlike(NON_WORD + r"\z"), 1).otherwise(0)
-    only_gaps = text.rlike("^" + NON_WORD + r"\z")
-    count = F.when((text == "") | only_gaps, F.lit(0)).otherwise(parts - edges)
-    maybe = text.rlike("(?i)" + "|".join(NON_WORD.join(p.split()) for p, _ in PHRASES))
-    out = docs.select("doc_id", "row", count.cast("long").alias("n_words"), F.when(maybe, words_of(F.col("text"))).alias("words"))
-    out_of = F.concat(*[phrase_places(phrase.split(), label) for phrase, label in PHRASES])
-    out = out.withColumn("base", F.when(F.col("words").isNotNull(), out_of).otherwise(F.array().cast("array<struct<at:bigint,label:string>>"))).drop("words")
     out = out.join(found.withColumnRenamed("doc_id", "_id").withColumnRenamed("row", "_row"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("row").eqNullSafe(F.col("_row")), "left")
     labels = F.array_distinct(F.transform("base", lambda b: b["label"]))
     return out.select(
