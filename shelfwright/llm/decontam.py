@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, save
 
 #: Kept positions of each mask.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 4, 7, 8), (0, 1, 2, 5, 7, 9), (0, 1, 4, 6, 9, 10))
@@ -28,15 +28,17 @@ def word_hashes(text: Column) -> Column:
     return F.when(F.length(F.regexp_replace(F.coalesce(text, F.lit("")), NON_WORD, "")) > 0, F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
 
-def seeds(words: str, pos: str) -> Column:
+def seeds(words: str, pos: Column) -> Column:
     """The hash of each mask laid at a position, as an array."""
-    return F.array(*[F.xxhash64(F.lit(i), *[F.get(words, F.col(pos) + o) for o in mask]) for i, mask in enumerate(MASKS)])
+    return F.array(*[F.xxhash64(F.lit(i), *[F.get(words, pos + o) for o in mask]) for i, mask in enumerate(MASKS)])
 
 
-def stretches(df: DataFrame, words: str) -> DataFrame:
-    """A row for each mask at each position at which the shortest one fits."""
-    at = df.where(F.size(words) >= SPAN).withColumn("pos", F.explode(F.sequence(F.lit(0), F.size(words) - SPAN)))
-    return at.withColumn("seed", F.explode(seeds(words, "pos")))
+def stretches(df: DataFrame, words: str, *keep: str) -> DataFrame:
+    """A narrow row for each mask at each position at which the shortest one fits: (keep..., pos, seed). The words don't go along."""
+    last = F.size(words) - SPAN
+    found = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda p: F.struct(p.alias("pos"), seeds(words, p).alias("seeds"))))
+    rows = df.select(*keep, F.explode(found).alias("x")).select(*keep, F.col("x.pos").alias("pos"), F.explode("x.seeds").alias("seed"))
+    return rows
 
 
 def best_window(doc: Column, item: Column, shift: Column) -> Column:
@@ -61,19 +63,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     Texts that are null, or of fewer than SPAN words, match nothing; so do items. Repeated rows give the same
     pair once; a null doc_id is kept as a key. Empty tables give no rows; other columns are not read.
     """
-    items = pick(benchmark, "item_id", "text").select("item_id", word_hashes(F.col("text")).alias("item"))
-    found = stretches(items, "item").select("seed", "item_id", F.col("pos").alias("item_pos"), "item").distinct()
+    items = pick(benchmark, "item_id", "text").select("item_id", word_hashes(F.col("text")).alias("item")).dropDuplicates(["item_id"])
+    found = stretches(items.withColumn("n_item", F.size("item")), "item", "item_id", "n_item").select("seed", "item_id", "n_item", F.col("pos").alias("item_pos")).distinct()
     blocks = max(1, -(-found.count() // BLOCK_ROWS))
-    words = pick(docs, "doc_id", "text").select("doc_id", word_hashes(F.col("text")).alias("words"))
-    parts = []
+    words = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("tk"), word_hashes(F.col("text")).alias("words"))
+    rows = stretches(words, "words", "doc_id", "tk")
+    hits = None
     for b in range(blocks):
         block = found if blocks == 1 else found.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        hits = stretches(words, "words").join(F.broadcast(block), "seed").withColumn("shift", F.col("pos") - F.col("item_pos"))
-        hits = hits.withColumn("w", best_window(F.col("words"), F.col("item"), F.col("shift"))).withColumn("n_window", F.least(F.lit(WINDOW), F.size("item")))
-        parts.append(hits.where(100 * F.col("w.best") >= percent * F.col("n_window")).select("doc_id", "item_id", F.col("w.best").alias("n_equal"), "n_window", F.greatest(F.lit(0), F.col("w.end") - F.col("n_window") + 1).alias("item_start"), "shift"))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
+        part = rows.join(F.broadcast(block), "seed").select("doc_id", "tk", "item_id", "n_item", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        hits = part if hits is None else hits.unionByName(part)
+    hits = save(hits.distinct()).withColumnRenamed("doc_id", "_id").withColumnRenamed("tk", "_tk")
+    # only the stretch of the document that lies beside the item goes on
+    near = words.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
+    near = near.select("doc_id", "item_id", "shift", F.slice("words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("n_item") + F.least(F.col("shift"), F.lit(0))).alias("part"))
+    checked = near.join(F.broadcast(items) if blocks == 1 else items, "item_id")
+    checked = checked.withColumn("w", best_window(F.col("part"), F.col("item"), F.least(F.col("shift"), F.lit(0)))).withColumn("n_window", F.least(F.lit(WINDOW), F.size("item")))
+    whole = checked.where(100 * F.col("w.best") >= percent * F.col("n_window")).select("doc_id", "item_id", F.col("w.best").alias("n_equal"), "n_window", F.greatest(F.lit(0), F.col("w.end") - F.col("n_window") + 1).alias("item_start"), "shift")
     best = whole.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", -F.col("item_start"), -F.col("shift"), "n_window")).alias("m"))
     start = -F.col("m.col2")
     return best.select(
