@@ -126,13 +126,15 @@ class Model:
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Scores (0 at best) and letter counts of the words of a text."""
-        new = list({w for w in words if w not in self.known})
-        if new:
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = list({w for w, x in zip(words, found) if x is None})
             if len(self.known) + len(new) > CACHE_WORDS and self.known:
                 self.reset()
                 new = list(set(words))
             self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            found = list(map(self.known.__getitem__, words))
+        at = np.array(found, np.int64)
         return self.scores[at], self.letters[at]
 
     def label(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
