@@ -31,18 +31,23 @@ def draws(term: str, weight: str, k: int) -> Column:
     return F.shiftleft(((ln_a + 100.0) * float(1 << 23)).cast("long"), 32).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def sketches(rows: DataFrame, keys: list[str], texts: dict[str, str], samples: int = SAMPLES) -> DataFrame:
-    """Fingerprints of several text columns: keys and, for each column, an array of draws (nulls for a text without words).
+def sketches(rows: DataFrame, keys: list[str], first: str, second: str, samples: int = SAMPLES) -> DataFrame:
+    """Fingerprints of two text columns: keys, fp and efp, arrays of draws (nulls for a text without words).
 
-    Rows must be dealt out by a subset of the keys, which tell every row; then nothing is shuffled here.
+    Rows must be dealt out by a subset of the keys, which tell every row; then nothing is shuffled here. A term of equal weight
+    in both texts is drawn for once.
     """
-    words = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("t")) for i, c in enumerate(texts)])).alias("x"))
+    words = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("t")) for i, c in enumerate((first, second))])).alias("x"))
     words = words.select(*keys, F.col("x.i").alias("i"), F.explode(F.split("x.t", SPACE)).alias("word")).where("word <> ''")
     weights = words.select(*keys, "i", F.xxhash64("word").alias("term")).groupBy(*keys, "term")
-    weights = weights.agg(*[F.count(F.when(F.col("i") == i, 1)).alias(f"s{i}") for i in range(len(texts))])
-    mins = [F.min(F.when(F.col(f"s{i}") > 0, draws("term", f"s{i}", k))).alias(f"m{i}_{k}") for k in range(samples) for i in range(len(texts))]
+    weights = weights.agg(*[F.count(F.when(F.col("i") == i, 1)).alias(f"s{i}") for i in range(2)])
+    same = F.col("s0") == F.col("s1")
+    mins = []
+    for k in range(samples):
+        mins.append(F.min(F.when(same, draws("term", "s0", k))).alias(f"b{k}"))
+        mins += [F.min(F.when(~same & (F.col(f"s{i}") > 0), draws("term", f"s{i}", k))).alias(f"m{i}_{k}") for i in range(2)]
     found = weights.groupBy(*keys).agg(*mins)
-    return found.select(*keys, *[F.array(*[f"m{i}_{k}" for k in range(samples)]).alias(name) for i, name in enumerate(texts.values())])
+    return found.select(*keys, *[F.array(*[F.least(f"b{k}", f"m{i}_{k}") for k in range(samples)]).alias(name) for i, name in enumerate(("fp", "efp"))])
 
 
 def likeness(a: str, b: str) -> Column:
@@ -96,7 +101,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     order = Window.partitionBy("block").orderBy(F.desc("ghost"), F.asc_nulls_first("doc_id"), "text")
     rows = in_blocks(docs).withColumn("rn", F.row_number().over(order)).withColumn("next", F.coalesce(F.lag("text").over(order), F.lit("")))
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("left(next, cast(floor(length(text) / 2) as int))")))
-    found = sketches(rows, ["block", "rn"], {"text": "fp", "edited": "efp"}, samples)
+    found = sketches(rows, ["block", "rn"], "text", "edited", samples)
     facts = rows.select("block", "rn", "ghost", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     whole = facts.join(found, ["block", "rn"], "left")
     whole = whole.withColumn("nfp", F.lag("fp").over(Window.partitionBy("block").orderBy("rn")))
