@@ -189,8 +189,8 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((0, len(NAMES))))
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(1e6 * min(1.0, sample_docs / sizes[lang])))])
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, 2 * int(2**62 * min(1.0, sample_docs / sizes[lang])) - 1)])
+    sample = labelled.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("lang")), 1) <= share[F.col("lang")])
     number = {lang: i for i, lang in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
