@@ -8,7 +8,7 @@ don't share, so bit counts bound the overlap from above. What passes is checked
 exact sorted arrays.
 
 A tile of m near copies has m^2 links. So tiles give only a spanning forest of what passes the bound, best
-first; these edges are checked exactly and joined to components. Tiles with passing rows in several
+first; these edges are checked exactly and joined to components. Trees whose rows still lie in several
 components are then read again, with their exact arrays, and every pair of two components that passes is
 checked. Links inside a component change nothing, so nothing is lost.
 """
@@ -181,15 +181,15 @@ def in_tiles(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Ite
 def rows_of(kind: str, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     types = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}
     columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "tile" else types[kind]) for c, n in zip(columns, names)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[kind] if n in ("a", "b") else pa.int64()) for c, n in zip(columns, names)], names)
 
 
 def tile_forests(tiles: DataFrame, percent: int) -> DataFrame:
-    """(tile, a, b): a spanning forest of the passing pairs of each tile, the pairs with the largest bound first. Every row with a
-    passing pair is an end of one."""
+    """(tile, members, a, side_a, b, side_b): a spanning forest of the passing pairs of each tile, the pairs with the largest bound
+    first. `tile` is told anew for each tree and members is its size: no pair of two trees passes, so each can be looked at by itself."""
     kind = tiles.schema["rep"].dataType.simpleString()
 
-    def forest(rows: list[tuple]) -> Iterator[tuple]:
+    def forest(tile: int, rows: list[tuple]) -> Iterator[tuple]:
         side, rep, size, bits = zip(*rows)
         if len(rep) == 2:
             (x, y), (p, q) = size, sorted(bits, key=len)
@@ -198,7 +198,7 @@ def tile_forests(tiles: DataFrame, percent: int) -> DataFrame:
                     q = (int.from_bytes(q[: len(p)], "little") | int.from_bytes(q[len(p) :], "little")).to_bytes(len(p), "little")
                 differ = (int.from_bytes(p, "little") ^ int.from_bytes(q, "little")).bit_count()
                 if (100 + percent) * ((x + y - differ) // 2) >= percent * (x + y):
-                    yield min(rep), max(rep)
+                    yield tile, 2, min(rep), 0, max(rep), 0
             return
         found = list(passing(np.array(rep), np.array(size, np.int64), list(bits), percent))
         if not found:
@@ -208,24 +208,33 @@ def tile_forests(tiles: DataFrame, percent: int) -> DataFrame:
             s = np.array(side)
             keep = s[i] != s[j]
             i, j, g = i[keep], j[keep], g[keep]
-        parent = list(range(len(rep)))
+        parent, edges = list(range(len(rep))), []
         best = np.argsort(-g, kind="stable")
         for x, y in zip(i[best].tolist(), j[best].tolist()):
             if (p := find(parent, x)) != (q := find(parent, y)):
                 parent[p] = q
-                yield min(rep[x], rep[y]), max(rep[x], rep[y])
+                edges.append((x, y) if rep[x] < rep[y] else (y, x))
+        members, names = {}, {}
+        for x, _ in edges:
+            r = find(parent, x)
+            members[r] = members.get(r, 1) + 1
+            names.setdefault(r, int.from_bytes(hashlib.blake2b(f"{tile} {rep[r]}".encode(), digest_size=8).digest(), "little", signed=True))
+        for x, y in edges:
+            r = find(parent, x)
+            yield names[r], members[r], rep[x], side[x], rep[y], side[y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        names = ["tile", "members", "a", "side_a", "b", "side_b"]
         for tile, rows in in_tiles(batches, ("rep", "n_shingles", "bits")):
-            out += [(tile, a, b) for a, b in forest(rows)]
+            out += forest(tile, rows)
             if len(out) > 20_000:
-                yield rows_of(kind, out, ["tile", "a", "b"])
+                yield rows_of(kind, out, names)
                 out = []
         if out:
-            yield rows_of(kind, out, ["tile", "a", "b"])
+            yield rows_of(kind, out, names)
 
-    return map_arrow(tiles, run, f"tile long, a {kind}, b {kind}")
+    return map_arrow(tiles, run, f"tile long, members long, a {kind}, side_a long, b {kind}, side_b long")
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -350,14 +359,16 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     )
     dealt = lambda df: df.repartition("tile").sortWithinPartitions("tile", "side")
     forests = save(tile_forests(dealt(rows), percent))
-    live = forests.select("tile", F.explode(F.array("a", "b")).alias("rep")).distinct()
+    ends = F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("side_a").alias("side")), F.struct(F.col("b").alias("rep"), F.col("side_b").alias("side"))))
+    live = forests.select("tile", "members", ends.alias("x")).select("tile", "members", "x.rep", "x.side").distinct()
     exact = save(sorted_arrays(live, docs, n))
     links = save(check_edges(forests.select("a", "b").distinct(), exact, percent))
     parts = components(links)
-    # tiles whose passing rows still lie in several components are checked pair by pair, exactly
-    labelled = save(live.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("tile", "rep", F.coalesce("component", "rep").alias("comp")))
+    # trees of more than one pair whose rows still lie in several components are checked pair by pair, exactly
+    labelled = live.where("members > 2").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = save(labelled.select("tile", "rep", "side", F.coalesce("component", "rep").alias("comp")))
     mixed = save(labelled.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tile"))
-    rest = labelled.join(mixed, "tile").join(rows.select("tile", "rep", "side"), ["tile", "rep"]).join(exact, "rep")
+    rest = labelled.join(mixed, "tile").join(exact, "rep")
     more = save(tile_links(dealt(rest), percent))
     if more.limit(1).count():
         parts = components(links.union(more))
