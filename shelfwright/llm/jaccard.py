@@ -8,9 +8,9 @@ don't share, so bit counts bound the overlap from above. What passes is checked
 exact sorted arrays.
 
 A tile of m near copies has m^2 links. So tiles give only a spanning forest of what passes the bound, best
-first; these edges are checked exactly and joined to components. Trees whose rows still lie in several
-components are then read again, with their exact arrays, and every pair of two components that passes is
-checked. Links inside a component change nothing, so nothing is lost.
+first; these edges are checked exactly and joined to components. Sets that passing pairs connect and
+that still lie in several components are then read again, once each with their exact arrays, and every pair
+of two components that passes is checked. Links inside a component change nothing, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ PERCENT = 85
 FREQUENT = 0.001
 #: Rows of a tile; a larger group becomes tiles for all pairs of its blocks.
 TILE_ROWS = 2048
+#: Sets of a unit that are compared exactly in one tile; a larger unit becomes tiles for all pairs of its blocks.
+UNIT_ROWS = 4096
 
 
 def shingles(texts: list[bytes], n: int = WORDS) -> Iterator[np.ndarray]:
@@ -359,16 +361,19 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     )
     dealt = lambda df: df.repartition("tile").sortWithinPartitions("tile", "side")
     forests = save(tile_forests(dealt(rows), percent))
-    ends = F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("side_a").alias("side")), F.struct(F.col("b").alias("rep"), F.col("side_b").alias("side"))))
-    live = forests.select("tile", "members", ends.alias("x")).select("tile", "members", "x.rep", "x.side").distinct()
-    exact = save(sorted_arrays(live, docs, n))
-    links = save(check_edges(forests.select("a", "b").distinct(), exact, percent))
+    pairs = save(forests.select("a", "b").distinct())
+    exact = save(sorted_arrays(pairs.select(F.explode(F.array("a", "b")).alias("rep")), docs, n))
+    links = save(check_edges(pairs, exact, percent))
     parts = components(links)
-    # trees of more than one pair whose rows still lie in several components are checked pair by pair, exactly
-    labelled = live.where("members > 2").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = save(labelled.select("tile", "rep", "side", F.coalesce("component", "rep").alias("comp")))
-    mixed = save(labelled.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tile"))
-    rest = labelled.join(mixed, "tile").join(exact, "rep")
+    # Sets that passing pairs connect are one unit, so that each set is in one unit only. Units whose sets still lie in several
+    # components are checked pair by pair, exactly.
+    units = components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("unit"))
+    units = save(units.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "unit", F.coalesce("component", "rep").alias("comp")))
+    mixed = save(units.groupBy("unit").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("unit", "c"))
+    rest = units.join(mixed, "unit").withColumn("blocks", F.ceil(F.col("c") / UNIT_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit("unit")), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), F.lit(0)).when(F.col("own") < F.col("other"), F.lit(-1)).otherwise(F.lit(-2))
+    rest = rest.select(F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "rep", "comp", side.alias("side")).join(exact, "rep")
     more = save(tile_links(dealt(rest), percent))
     if more.limit(1).count():
         parts = components(links.union(more))

@@ -102,6 +102,7 @@ def test_jaccard(docs, rows):
 def test_jaccard_large_near_group(spark, monkeypatch):
     """A group of near copies around the threshold, in tiles of several blocks."""
     monkeypatch.setattr(jaccard, "TILE_ROWS", 40)
+    monkeypatch.setattr(jaccard, "UNIT_ROWS", 30)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
     texts = []
