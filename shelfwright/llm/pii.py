@@ -1,9 +1,9 @@
 """Personal data and the terms that give it away (operator 2), in DataFrame operations only.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers. Each distinct value is a protected
-entity. The corpus then tells which words near an entity disclose it: a word t discloses entity v if knowing t
-removes most of v's information, PMI(v, t) / IC(v) = 1 + log p(v | t) / IC(v) at or over a threshold, counted
-over distinct texts. Such words are marked too, and generalised or removed when texts are cleaned.
+entity. The corpus then tells which words of the texts that hold an entity disclose it: a word t discloses entity v
+if knowing t removes most of v's information, PMI(v, t) / IC(v) = 1 + log p(v | t) / IC(v) at or over a threshold,
+counted over whole distinct texts. Such words are marked wherever they stand, and generalised when texts are cleaned.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Code points to each side of an entity in which words are looked at (on its line).
-CONTEXT = 48
-#: Distinct texts in which a word must stand by an entity, and the share of the entity's information it must give.
+#: Distinct texts in which a word must stand with an entity, and the share of the entity's information it must give.
 MIN_TEXTS, DISCLOSURE = 3, 0.85
+#: Disclosing terms that are broadcast, at most; more are joined by shuffling the words.
+BROADCAST_TERMS = 400_000
+#: Stands for a base span while words are read: a code point that is no character.
+GAP = "\ufdd0"
 WORD = r"[\p{L}]{3,}"
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
@@ -87,61 +89,85 @@ def entity(kind: Column, value: Column) -> Column:
     return F.xxhash64(kind, F.when(kind == 0, F.lower(value)).when(kind == 1, value).otherwise(digits(value)))
 
 
-def nearby_words(docs: DataFrame) -> DataFrame:
-    """Words beside each base span of (doc_id, tk, text, spans): (doc_id, tk, entity, term, start, end). Words that the context cuts are left out,
-    and words that lie in a base span."""
-    def sides(s: Column) -> Column:
-        """What stands to the left and to the right of a span, on its line."""
-        base = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        left, right = F.substring(F.col("text"), base + 1, s["start"] - base), F.regexp_extract(F.substring(F.col("text"), s["end"] + 1, F.lit(CONTEXT)), r"\A[^\n]*+", 0)
-        skip = F.length(F.regexp_extract(left, r"(?s)\A(?:.*\n)?", 0))
-        who = entity(s["kind"], s["value"]).alias("entity")
-        return F.array(
-            F.struct(who, base.alias("base"), left.alias("s"), skip.alias("skip"), F.lit(0).alias("side")),
-            F.struct(who, s["end"].alias("base"), right.alias("s"), F.lit(0).alias("skip"), F.lit(1).alias("side")),
-        )
-
-    rows = docs.select("doc_id", "tk", "spans", F.explode(F.flatten(F.transform("spans", sides))).alias("x")).select("doc_id", "tk", "spans", "x.entity", "x")
-    rows = rows.select("doc_id", "tk", "spans", "entity", "x", F.explode(matches(F.col("x.s"), WORD)).alias("w"))
-    cut_left = (F.col("x.side") == 0) & (F.col("w.start") == 0) & (F.col("x.base") > 0)
-    cut_right = (F.col("x.side") == 1) & (F.col("w.end") == CONTEXT)
-    rows = rows.where(~cut_left & ~cut_right & (F.col("w.start") >= F.col("x.skip")))
-    start, end = F.col("x.base") + F.col("w.start"), F.col("x.base") + F.col("w.end")
-    rows = rows.select("doc_id", "tk", "spans", "entity", F.lower("w.value").alias("term"), start.alias("start"), end.alias("end"))
-    inside = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return rows.where(~inside).select("doc_id", "tk", "entity", F.xxhash64("term").alias("term"), "start", "end")
-
-
-def disclosing(near: DataFrame, entities: DataFrame, docs: DataFrame, min_texts: int, disclosure: float) -> DataFrame:
-    """(entity, term) where the term gives away the entity, by counts over distinct texts of the whole corpus."""
-    together = near.select("entity", "term", "tk").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_texts)
-    together = save(together)
-    alone = entities.select("entity", "tk").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+def word_hashes(text: Column) -> Column:
+    """The distinct words of a text, hashed."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
+
+
+def replaced(text: Column, spans: Column, name) -> Column:
+    """The text with name(kind) for each span; overlapping spans are replaced as one, by the earliest (then longest)."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        end = -s["last"]
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        new = F.struct(end.alias("at"), F.concat(acc["out"], gap, name(s["kind"])).alias("out"))
+        old = F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out"))
+        return F.when(s["start"] >= acc["at"], new).otherwise(old)
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(order, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def together(base: DataFrame, min_texts: int) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, both) over the distinct words of each whole text that holds the entity, words that touch a base span left out, and
+    (entity, with_entity). Only entities that stand in min_texts texts can have such terms."""
+    some = base.where(F.size("spans") > 0)
+    held = save(some.select("tk", F.explode(F.array_distinct(F.transform("spans", lambda s: entity(s["kind"], s["value"])))).alias("entity")).distinct())
+    alone = save(held.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= min_texts))
+    asked = held.join(alone, "entity", "left_semi").groupBy("tk").agg(F.collect_list("entity").alias("entities"))
+    texts = some.groupBy("tk").agg(F.first(F.struct("text", "spans")).alias("x")).join(asked, "tk")
+    rest = F.regexp_replace(replaced(F.col("x.text"), F.col("x.spans"), lambda kind: F.lit(GAP)), rf"\p{{L}}*+{GAP}(?:\p{{L}}|{GAP})*+", " ")
+    pairs = texts.select("entities", F.explode(word_hashes(rest)).alias("term")).select(F.explode("entities").alias("entity"), "term")
+    return pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_texts), alone
+
+
+def disclosing(base: DataFrame, docs: DataFrame, min_texts: int, disclosure: float) -> DataFrame:
+    """The terms that give away an entity, by counts over distinct texts of the whole corpus."""
+    both, alone = together(base, min_texts)
+    both = save(both)
     total = docs.select(F.approx_count_distinct("tk").alias("n")).first()["n"]
-    words = docs.select("tk", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count("*").alias("with_term"))
-    pairs = together.join(frequency, "term").join(alone, "entity")  # the words are counted first, whatever terms are asked for
+    frequency = docs.select(F.explode(word_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    pairs = both.join(frequency, "term").join(alone, "entity")  # the words are counted first, whatever terms are asked for
     share = F.least(F.lit(1.0), F.col("both") / F.col("with_term"))
     information = F.ln(F.lit(float(max(total, 2))) / F.col("with_entity"))
-    return pairs.where(1 + F.ln(share) / F.greatest(information, F.lit(1e-9)) >= disclosure).select("entity", "term")
+    return pairs.where(1 + F.ln(share) / F.greatest(information, F.lit(1e-9)) >= disclosure).select("term").distinct()
+
+
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """All places of the terms in all texts: (doc_id, tk, terms), array<struct<start, end>>."""
+    terms = save(terms)
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    asked = docs.select("tk", F.explode(word_hashes(F.col("text"))).alias("term")).join(terms, "term").groupBy("tk").agg(F.collect_set("term").alias("asked"))
+    rows = docs.join(save(asked), "tk").dropDuplicates(["doc_id", "tk"])
+    words, gaps = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["g"])
+        end = start + F.length(x["w"])
+        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))
+        return F.struct(end.alias("at"), F.when(F.array_contains("asked", F.xxhash64(F.lower(x["w"]))), more).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    pairs = F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
+    return rows.select("doc_id", "tk", F.aggregate(pairs, zero, step, lambda acc: acc["out"]).alias("terms"))
 
 
 def find_spans(docs: DataFrame, min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """All spans of every whole text: (doc_id, tk, spans, base), arrays of (kind, start, end, value) by kind and start.
 
-    `tk` is a hash of the text. base holds only the pattern matches; spans holds disclosing terms too (value null).
-    A null text is empty; repeated rows keep their own spans; no rows give no rows; other columns are not read.
+    `tk` is a hash of the text. base holds only the pattern matches; spans holds every place of a disclosing term too
+    (value null), in texts with and without the entity. A null text is empty; repeated rows keep their own spans; no
+    rows give no rows; other columns are not read.
     """
     docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tk", F.xxhash64("text"))
-    base = save(docs.select("doc_id", "tk", base_spans(F.col("text")).alias("spans")))
-    some = docs.select("doc_id", "tk", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
-    near = save(nearby_words(some))
-    entities = base.select("tk", F.explode("spans").alias("s")).select("tk", entity(F.col("s.kind"), F.col("s.value")).alias("entity"))
-    terms = near.join(disclosing(near, entities, docs, min_texts, disclosure), ["entity", "term"], "left_semi")
-    terms = terms.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    terms = terms.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "terms")
+    base = docs.select("doc_id", "tk", "text", base_spans(F.col("text")).alias("spans"))
+    base = save(base.select("doc_id", "tk", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")))
+    terms = occurrences(docs, disclosing(base, docs, min_texts, disclosure)).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "terms")
     marked = base.join(terms, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left")
-    more = F.transform("terms", lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.lit(None).cast("string").alias("value")))
+    outside = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
+    more = F.transform(outside, lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.lit(None).cast("string").alias("value")))
     return marked.select("doc_id", "tk", F.concat("spans", F.coalesce(more, F.array().cast(SPAN))).alias("spans"), F.col("spans").alias("base"))
 
 
@@ -163,19 +189,10 @@ def sanitise(docs: DataFrame, min_texts: int = MIN_TEXTS, disclosure: float = DI
     earliest (then longest). A null text stays null.
     """
     found = find_spans(docs, min_texts, disclosure).where(F.size("spans") > 0).dropDuplicates(["doc_id", "tk"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"))).alias("_spans"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("spans").alias("_spans"))
     joined = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk")), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["last"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        new = F.struct(end.alias("at"), F.concat(acc["out"], gap, F.get(names, s["kind"])).alias("out"))
-        old = F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(old)
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate(F.array_sort("_spans"), zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    text = replaced(F.col("text"), F.col("_spans"), lambda kind: F.get(names, kind))
     new = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

@@ -247,6 +247,19 @@ def test_pii_terms(spark):
     assert "[EMAIL]" in cleaned[0] and "desk" not in cleaned[0] and cleaned[10] == texts[6][1]
 
 
+def test_pii_terms_of_whole_texts(spark):
+    """A name on the line above the address and far from it discloses it, and is marked at all its places in all texts."""
+    far = "filler words stand here " * 10
+    texts = [(i, f"Wendelgard came\n{far}{i} w.g@example.org end\n{far}said WENDELGARD") for i in range(4)]
+    texts += [(4, "a text of Wendelgard without it"), *[(10 + i, f"{far}{i} and the end") for i in range(40)]]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    spans = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term")] for r in pii.digest(pii.find_spans(df, 3, 0.85)).collect()}
+    for i, t in texts:
+        assert {f"term:{m.start()}:{m.end()}" for m in re.finditer("wendelgard", t.lower())} <= set(spans[i])
+        assert i < 10 or not spans[i]
+    assert not [t for t in (r.text for r in pii.sanitise(df, 3, 0.85).collect()) if "wendelgard" in t.lower()]
+
+
 def test_fingerprints(docs, rows):
     got = sorted(fingerprint.fingerprints(docs).collect(), key=lambda r: (r.doc_id, r.n_chars))
     order = sorted(rows, key=lambda r: (r[0], r[1] or ""))
