@@ -1,6 +1,7 @@
 """License scans as an exact set-similarity join (operator 6), in DataFrame operations only.
 
-Blocks are lines. Each template's tokens are put in one global order, rarest in the corpus first. A block that
+Blocks are lines of any length, and runs of words across line ends, where a notice may be wrapped: twice as many
+words as the template has. Runs are read only in texts that hold enough of a template's tokens at all. Each template's tokens are put in one global order, rarest in the corpus first. A block that
 holds the threshold share of a template's tokens must hold one of its first few (prefix filter), have enough
 tokens itself (length filter), and, by the place of the first common token, still have enough of the
 template's tokens left (positional filter). Only such pairs are verified.
@@ -31,6 +32,8 @@ TEMPLATES = (
     ("reserved", "All rights reserved"),
 )
 PERCENT = 80
+#: Words of a run across line ends, for each word of the template.
+RUN = 2
 #: What stands between words: everything in ASCII but letters and digits.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,9 +53,17 @@ def template_tokens(text: str) -> list[str]:
     return out
 
 
-def read_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Each text read once: (doc_id, row, n_words, base, blocks). blocks has the lines with two words of the templates or more:
-    their number and these words, each once; base the places of the phrases."""
+def wanted_tokens(templates, percent: int) -> Column:
+    """The templates as array<struct<label, wanted, need, words>>: their tokens, how many must be common, and the words of a run."""
+    rows = [(label, template_tokens(text), len(text.split())) for label, text in templates]
+    return F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, tokens)).alias("wanted"), F.lit(-(-percent * len(tokens) // 100)).alias("need"), F.lit(RUN * n).alias("words")) for label, tokens, n in rows])
+
+
+def read_words(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
+    """Each text read once: (doc_id, row, n_words, base, blocks, near, spread). blocks has the lines with two words of the templates
+    or more: their number and these words, each once; base the places of the phrases; near the templates of which the whole text has
+    enough tokens, and spread, where there is one, the places of their words."""
+    vocabulary = sorted({t for _, text in templates for t in template_tokens(text)})
     lines = docs.select("doc_id", "row", lowered(F.col("text")).alias("low"))
     lines = lines.select("doc_id", "row", "low", F.transform(F.split("low", "\n"), lambda line: F.split(line, NON_WORD)).alias("lines"))
     # only the first and the last piece of a line can be empty
@@ -63,10 +74,13 @@ def read_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
         maybe = maybe | F.contains("low", F.lit(max(phrase.split(), key=len)))
     words = F.when(maybe, F.filter(F.flatten("lines"), lambda w: w != ""))
     held = F.transform("lines", lambda w, i: F.struct(i.alias("block"), F.array_distinct(F.filter(w, lambda t: t.isin(vocabulary))).alias("tokens")))
-    out = lines.select("doc_id", "row", total.alias("n_words"), words.alias("words"), F.filter(held, lambda b: F.size(b["tokens"]) > 1).alias("blocks"))
+    out = lines.select("doc_id", "row", total.alias("n_words"), words.alias("words"), F.filter(held, lambda b: F.size(b["tokens"]) > 1).alias("blocks"), "lines", F.array_distinct(F.filter(F.flatten("lines"), lambda t: t.isin(vocabulary))).alias("tokens"))
+    out = out.withColumn("near", F.filter(wanted_tokens(templates, percent), lambda t: F.size(F.array_intersect(t["wanted"], F.col("tokens"))) >= t["need"]))
+    places = F.filter(F.transform(F.filter(F.flatten("lines"), lambda w: w != ""), lambda t, i: F.struct(i.alias("at"), t.alias("token"))), lambda x: F.exists("near", lambda t: F.array_contains(t["wanted"], x["token"])))
+    out = out.withColumn("spread", F.when(F.size("near") > 0, places))
     base = F.concat(*[phrase_places(phrase.split(), label) for phrase, label in PHRASES])
     none = F.array().cast("array<struct<at:bigint,label:string>>")
-    return out.select("doc_id", "row", "n_words", F.when(F.col("words").isNotNull(), base).otherwise(none).alias("base"), "blocks")
+    return out.select("doc_id", "row", "n_words", F.when(F.col("words").isNotNull(), base).otherwise(none).alias("base"), "blocks", "near", "spread")
 
 
 def ordered_templates(blocks: DataFrame, templates=TEMPLATES) -> list[tuple[int, str, list[str]]]:
@@ -94,6 +108,15 @@ def template_blocks(blocks: DataFrame, templates: list[tuple[int, str, list[str]
     return pairs.withColumn("common", common).where("common >= need").select("doc_id", "row", "block", "label", (F.col("common") / F.size("wanted")).alias("containment"))
 
 
+def wrapped_blocks(out: DataFrame) -> DataFrame:
+    """All (text, template) pairs where a run of words across line ends holds enough tokens: (doc_id, row, label, containment)."""
+    rows = out.where(F.size("near") > 0).select("doc_id", "row", "spread", F.explode("near").alias("t"))
+    rows = rows.select("doc_id", "row", "t", F.filter("spread", lambda x: F.array_contains("t.wanted", x["token"])).alias("own"))
+    run = lambda x, i: F.filter(F.slice("own", i + 1, F.col("t.words")), lambda y: y["at"] < x["at"] + F.col("t.words"))
+    common = F.array_max(F.transform("own", lambda x, i: F.size(F.array_distinct(F.transform(run(x, i), lambda y: y["token"])))))
+    return rows.withColumn("common", common).where("common >= t.need").select("doc_id", "row", F.col("t.label").alias("label"), (F.col("common") / F.size("t.wanted")).alias("containment"))
+
+
 def phrase_places(words: list[str], label: str) -> Column:
     """Where a phrase starts in the column `words`: array<struct<at, label>>."""
     here = lambda i: F.forall(F.array(*[F.coalesce(F.get("words", i + k) == w, F.lit(False)) for k, w in enumerate(words)]), lambda x: x)
@@ -110,9 +133,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFr
     empty; repeated rows are scanned each on their own; no rows give no rows; other columns are not read.
     """
     docs = pick(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
-    out = save(read_words(docs, sorted({t for _, text in templates for t in template_tokens(text)})))
+    out = save(read_words(docs, templates, percent))
     blocks = out.select("doc_id", "row", F.explode("blocks").alias("b")).select("doc_id", "row", "b.block", "b.tokens")
-    found = template_blocks(blocks, ordered_templates(blocks, templates), percent).groupBy("doc_id", "row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    hits = template_blocks(blocks, ordered_templates(blocks, templates), percent).drop("block").unionByName(wrapped_blocks(out))
+    found = hits.groupBy("doc_id", "row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     out = out.join(found.withColumnRenamed("doc_id", "_id").withColumnRenamed("row", "_row"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("row").eqNullSafe(F.col("_row")), "left")
     labels = F.array_distinct(F.transform("base", lambda b: b["label"]))
     return out.select(

@@ -202,6 +202,14 @@ def test_licenses(docs, rows):
     assert sorted(got) == sorted(want)
 
 
+def test_wrapped_licenses(spark):
+    """A notice is found however its lines are wrapped; its words scattered over many lines are none."""
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    texts = ["start here\n" + bsd.replace("without ", "without\n") + " provided that\nmore", bsd.replace(" ", "\n * "), "\n".join(f"{w} " + "other words " * 20 for w in bsd.split())]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("bsd", 1.0), 1: ("bsd", 1.0), 2: ("", 0.0)}
+
+
 def base_spans(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
