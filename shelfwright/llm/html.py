@@ -49,6 +49,8 @@ OTHER = (
     'div class="advert"', 'div class="promo"', 'div class="sponsored"', 'div class="cookie-notice"', 'div class="notice"', 'div class="newsletter"', 'form',
     'div class="login"', 'div class="comments"', 'section id="comments"', 'div class="comment"', 'div class="share"', 'header', 'div class="header"', 'div class="banner"',
 )
+#: Class words of grids and utilities, for deep markup in training variants; made-up words are added.
+GRID = ("container", "container-fluid", "row", "col", "col-12", "col-md-8", "col-lg-6", "offset-lg-1", "d-flex", "flex-column", "justify-content-center", "align-items-start", "gx-4", "px-3", "py-2", "mb-4", "mx-auto", "w-full", "grid", "inner", "wrap", "box", "block", "clearfix")
 GOOD = re.compile(r"^(?:article|main)$")
 BAD = re.compile(r"^(?:nav|header|footer|aside|form|menu|navbar|sidebar|ad|ads|advert|promo|sponsored|cookie|notice|newsletter|comments?|share|related|banner|widget|login|button|select)$")
 
@@ -129,7 +131,7 @@ def vectors(page: list[tuple[str, list[str], int]]) -> np.ndarray:
     n = len(page)
     x = np.zeros((n, PATH_DIM + WORD_DIM + NUMBERS), np.float32)
     for i, (text, path, linked) in enumerate(page):
-        for name in path[-16:]:
+        for name in path:
             x[i, bucket(name, PATH_DIM)] = 1.0
         words = text.split(" ")
         ids = []
@@ -270,15 +272,28 @@ def variant(page: list[tuple[str, list[str], int]], labels: list[float | None],
     def wrap(tag: str, inside: str) -> str:
         return f"<{tag}>{inside}</{tag.split()[0]}>"
 
+    def grid() -> list[str]:
+        """Class attributes of divs that stand in each other."""
+        return [" ".join(some(GRID) if rng.random() < 0.8 else f"x{rng.integers(10**6)}" for _ in range(int(rng.integers(1, 6)))) for _ in range(int(rng.integers(1, 9)))]
+
+    usual, deep = grid(), float(some((0.0, 0.5, 1.0)))
+
+    def nested(inside: str) -> str:
+        """Divs with many class words around what a wrapper holds, mostly those that the page has everywhere."""
+        if rng.random() < deep:
+            for words in usual if rng.random() < 0.7 else grid():
+                inside = wrap(f'div class="{words}"', inside)
+        return inside
+
     def menu(tag: str) -> tuple[str, list[int]]:
         k = int(rng.integers(2, 9))
-        return wrap(tag, "<ul>" + "".join(f'<li><a href="/x">{e(some(short))}</a></li>' for _ in range(k)) + "</ul>"), [0] * k
+        return wrap(tag, nested("<ul>" + "".join(f'<li><a href="/x">{e(some(short))}</a></li>' for _ in range(k)) + "</ul>")), [0] * k
 
     def aside(tag: str) -> tuple[str, list[int]]:
         k = int(rng.integers(1, 4))
         texts = [some(good) if rng.random() < 0.4 else some(short) for _ in range(k)]
         inner = "".join((f"<p>{e(t)}</p>" if rng.random() < 0.6 else f"<div>{e(t)}</div>") for t in texts) if k > 1 or rng.random() < 0.5 else e(texts[0])
-        return wrap(tag, inner), [0] * k
+        return wrap(tag, nested(inner)), [0] * k
 
     head = [menu(some(MENU))] if rng.random() < 0.9 else []
     head += [aside(some(OTHER)) for _ in range(int(rng.integers(0, 3)))]
@@ -288,7 +303,7 @@ def variant(page: list[tuple[str, list[str], int]], labels: list[float | None],
     if rng.random() < 0.3:
         inner.insert(int(rng.integers(0, len(inner) + 1)), aside(some(OTHER)))
     parts += head
-    parts.append((wrap(some(ARTICLE), "".join(h for h, _ in inner)), [y for _, ys in inner for y in ys]))
+    parts.append((wrap(some(ARTICLE), nested("".join(h for h, _ in inner))), [y for _, ys in inner for y in ys]))
     parts += tail
     body = "".join(h for h, _ in parts)
     if rng.random() < 0.4:

@@ -92,6 +92,23 @@ def test_extraction_on_other_wrappers(spark, labeller):
     assert total > 500 and wrong <= 0.04 * total
 
 
+def test_extraction_in_deep_markup(spark, labeller):
+    """The outer wrapper counts, however many grid divs stand between it and the text."""
+    deep = lambda tag, inner: f"<{tag}>" + '<div class="row gx-4 col-md-8 px-3">' * 6 + inner + "</div>" * 6 + f"</{tag.split()[0]}>"
+    (_, one, _), (_, other, _) = (pages_.blocks(deep(tag, "<p>Same text.</p>"))[0] for tag in ('section class="comments"', "article"))
+    assert (pages_.vectors([("Same text.", one, 0)]) != pages_.vectors([("Same text.", other, 0)])).any()
+    wrong = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id between 1000 and 1060").collect():
+        texts = [t for t, path, _ in pages_.blocks(r.html) if pages_.weak_label(path) == 1.0]
+        paragraphs = "".join(f"<p>{html.escape(t)}</p>" for t in texts)
+        page = deep("article", paragraphs) + deep('div class="sidebar"', "".join(f"<p>{html.escape(t)}</p>" for t in texts[:3]))
+        y = labeller.label([pages_.vectors(pages_.blocks(page))])[0] >= 0.5
+        want = np.arange(len(y)) < len(texts)
+        wrong += int((y != want).sum())
+        total += len(y)
+    assert total > 300 and wrong <= 0.04 * total
+
+
 def test_extraction_edges(spark, labeller):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "no tags at all"), (4, "u", "<p>unclosed <b>bold"), (5, "u", "<" * 3000), (6, "u", "<div " + 'a="' * 2000), (7, "u", "<article><p>&lt;x&gt; &amp;amp; &#65;\n\n z</p><script>if (a < b) '</p>'</script></article>"), (7, "u", "<article></article>")]
     got = pages_.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("x"), "n_chars": F.lit(1)}), labeller).collect()
