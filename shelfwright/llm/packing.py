@@ -25,9 +25,10 @@ from .common import map_arrow, pick, save, ship, texts_of
 SEQUENCE = 2048
 #: Pieces in a group, as a mean; a group is what one task holds at once.
 GROUP_PIECES = 2048
-#: Words whose ids one Python worker keeps.
-CACHE_WORDS = 700_000
-LETTERS_AND_SIGNS = re.compile(rb"([A-Za-z]+)([!-&(-/:;=?@\[-`{-~]*)")
+#: Words whose ids one Python worker keeps, and new ones that are encoded at once.
+CACHE_WORDS, LEARN_WORDS = 1_200_000, 20_000
+#: Letters that normalisation leaves alone and that have one lower-case letter, then signs that are no apostrophe or angle bracket.
+LETTERS_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]*)")
 
 
 class WordEncoder:
@@ -35,8 +36,9 @@ class WordEncoder:
 
     For a vocabulary that drops white space, no token crosses it, so a text's ids are those of its
     white-space separated words in a row; each distinct word is encoded once by the library. Letters and the
-    signs behind them never share a token either, and case is dropped, so a word of ASCII letters and signs
-    is put together from its letters in lower case and its signs.
+    signs behind them never share a token either, and case is dropped, so a word of letters and signs
+    is put together from its letters in lower case and its signs. Many such parts are encoded as one text; each
+    ends where the library gives a token with a word end.
     """
 
     def __init__(self, path: str):
@@ -45,27 +47,39 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Learn parts that are one pre-token each."""
+        for k in range(0, len(parts), LEARN_WORDS):
+            some = parts[k : k + LEARN_WORDS]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            assert len(ends) == len(some)
+            raw = ids.tobytes()
+            self.known.update(zip(map(str.encode, some), [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def _learn(self, words: set[bytes]) -> None:
         known = self.known
-        if len(known) + len(words) > CACHE_WORDS:
-            known.clear()
-        parts, new = {}, set()
-        for w in words:
-            if (m := LETTERS_AND_SIGNS.fullmatch(w)) is not None:
-                a, b = m[1].lower(), m[2]
-                parts[w] = a, b
-                if a not in known:
-                    new.add(a)
-                if b and b not in known:
-                    new.add(b)
+        whole, parts, new = [], [], set()
+        words = list(words)
+        texts = b"\n".join(words).decode("utf-8", "surrogatepass").split("\n")  # no word holds a line feed
+        for w, text, m in zip(words, texts, map(LETTERS_AND_SIGNS.fullmatch, texts)):
+            if m is None:
+                whole.append((w, text))
             else:
-                new.add(w)
-        new = list(new)
-        for w, e in zip(new, self.library.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)):
+                a, b = m.groups()
+                parts.append((w, a := a.lower(), b))
+                new.add(a)
+                new.add(b)
+        new.discard("")
+        self._encode_parts([x for x in new if x.encode() not in known])
+        for (w, _), e in zip(whole, self.library.encode_batch_fast([t for _, t in whole], add_special_tokens=False)):
             known[w] = array("I", e.ids).tobytes()
-        for w, (a, b) in parts.items():
-            known[w] = known[a] + known[b] if b else known[a]
+        for w, a, b in parts:
+            known[w] = known[a.encode()] + known[b.encode()] if b else known[a.encode()]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -80,9 +94,10 @@ class WordEncoder:
             if new := {w for words, f in zip(part, found) if None in f for w, x in zip(words, f) if x is None}:
                 known = self.known
                 if len(known) + 2 * len(new) > CACHE_WORDS:
-                    new = {w for words in part for w in words}
+                    known.clear()
+                    found, new = [[None] * len(words) for words in part], {w for words in part for w in words}
                 self._learn(new)
-                found = [list(map(known.__getitem__, words)) if None in f else f for words, f in zip(part, found)]
+                found = [[known[w] if x is None else x for w, x in zip(words, f)] if None in f else f for words, f in zip(part, found)]
             out += [b"".join(f) for f in found]
         return out
 
