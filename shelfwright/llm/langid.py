@@ -8,15 +8,17 @@ spans of one language each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_arrow, pick, texts_of
+from .words import blocks
 
 #: Documents of each language that the model learns from, at most (about: a hash decides).
 SAMPLE_DOCS = 1500
@@ -39,18 +41,26 @@ SCRIPTS = (
 )
 STARTS = np.array([s for s, _ in SCRIPTS])
 NAMES = sorted({n for _, n in SCRIPTS})
-LETTER = regex.compile(r"\p{L}")
 
 
-def script_of(word: str) -> int:
-    """Number of the script of most letters of a word (the first of equals); -1 without letters."""
-    letters = [ord(c) for c in word if c.isalpha()]
-    if not letters:
-        return -1
-    if max(letters) < 0x370:
-        return NAMES.index("latin")
-    found = [NAMES.index(SCRIPTS[i][1]) for i in np.searchsorted(STARTS, letters, side="right") - 1]
-    return max(set(found), key=lambda x: (found.count(x), -found.index(x)))
+@cache
+def letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point: is it a letter, and the number of its script."""
+    alpha = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    block = np.array([NAMES.index(n) for _, n in SCRIPTS], np.uint8)
+    return alpha, np.repeat(block, np.diff(np.append(STARTS, 0x110000)))
+
+
+def scripts_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of each word, and the number of the script of most of them (of equals the first name); -1 without letters."""
+    alpha, block = letter_tables()
+    text = b" ".join(words).decode("utf-8", "surrogatepass")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner, good = np.cumsum(codes == 32), alpha[codes]
+    owner, codes = owner[good], codes[good]
+    letters = np.bincount(owner, minlength=len(words))
+    held = np.bincount(owner * len(NAMES) + block[codes], minlength=len(words) * len(NAMES)).reshape(-1, len(NAMES))
+    return letters, np.where(letters > 0, held.argmax(1), -1)
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,21 +110,11 @@ class Model:
         score = np.empty((len(words), k), np.float32)
         for j in range(k):
             score[:, j] = np.bincount(owner, self.logp[bucket, j], len(words)) / OVERLAP
-        letters = np.zeros(len(words), np.int32)
-        for i, w in enumerate(words):
-            if w.isalpha():  # ASCII letters only
-                letters[i] = len(w)
-                script = 0
-                admits = self.admits[:, NAMES.index("latin")]
-            else:
-                text = w.decode("utf-8", "surrogatepass")
-                letters[i] = sum(map(str.isalpha, text))
-                script = script_of(text)
-                admits = self.admits[:, script] if script >= 0 else np.zeros(k, bool)
-            if not admits.any():
-                score[i] = 0  # no letters, or a script that no language was seen in: says nothing
-            else:
-                score[i, ~admits] = -np.inf
+        letters, script = scripts_of(words)
+        admits = self.admits[:, script].T & (script >= 0)[:, None]
+        some = admits.any(1)
+        score[~some] = 0  # no letters, or a script that no language was seen in: says nothing
+        score[some[:, None] & ~admits] = -np.inf
         score = np.maximum(score - score.max(1, keepdims=True, initial=-np.inf), WORST) if k else score
         base = len(self.known)
         while base + len(words) > len(self.scores):
@@ -124,30 +124,34 @@ class Model:
         self.letters[base : base + len(words)] = letters
         self.known.update(zip(words, range(base, base + len(words))))
 
-    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (0 at best) and letter counts of the words of a text."""
-        found = list(map(self.known.get, words))
-        if None in found:
-            new = list({w for w, x in zip(words, found) if x is None})
-            if len(self.known) + len(new) > CACHE_WORDS and self.known:
-                self.reset()
-                new = list(set(words))
-            self._learn(new)
-            found = list(map(self.known.__getitem__, words))
-        at = np.array(found, np.int64)
-        return self.scores[at], self.letters[at]
-
-    def label(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The language (its number) of every word of a text, and the words' letter counts."""
-        score, letters = self.words(text.split())
-        return viterbi(score.astype(np.float64), SWITCH), letters
+    def label(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the language (its number) of every word, and the words' letter counts. New words of many texts are scored together."""
+        for _, part in blocks(texts):
+            held = [t.split() for t in part]
+            words = list(chain.from_iterable(held))
+            found = list(map(self.known.get, words))
+            if None in found:
+                new = list({w for w, x in zip(words, found) if x is None})
+                if len(self.known) + len(new) > CACHE_WORDS and self.known:
+                    self.reset()
+                    new = list(set(words))
+                    found = [None] * len(words)
+                self._learn(new)
+                known = self.known
+                found = [known[w] if x is None else x for w, x in zip(words, found)]
+            at = np.array(found, np.int64)
+            score, letters = self.scores[at].astype(np.float64), self.letters[at]
+            end = 0
+            for w in held:
+                start, end = end, end + len(w)
+                yield viterbi(score[start:end], SWITCH), letters[start:end]
 
 
 def viterbi(score: np.ndarray, switch: float) -> np.ndarray:
     """Labels of the best path: sum of word scores less `switch` for each change; ties to the smaller label.
 
-    One label throughout is best for sure if no stretch of words speaks for another by more than half the
-    switching cost; running sums show that without a step for each word.
+    One label throughout is best for sure if no stretch of words speaks for another by more than the switching
+    cost, and no two at both ends of the text do so together; running sums show that without a step for each word.
     """
     n, k = score.shape
     if n == 0 or k == 0:
@@ -155,7 +159,7 @@ def viterbi(score: np.ndarray, switch: float) -> np.ndarray:
     top = int(np.argmax(score.sum(0)))
     lead = np.cumsum(score - score[:, top : top + 1], axis=0)
     low = np.minimum.accumulate(np.concatenate((np.zeros((1, k)), lead[:-1])), axis=0)
-    if (lead - low).max() <= switch / 2:
+    if (lead - low).max() <= switch and lead.max() + (lead[-1] - np.concatenate((np.zeros((1, k)), lead[:-1]))).max() <= switch:
         return np.full(n, top, np.int64)
     best, back = score[0].tolist(), np.zeros((n, k), np.int64)
     for i, row in enumerate(score[1:].tolist(), 1):
@@ -200,9 +204,8 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                 words = text.split()
                 if words:
                     total[number[lang], :BUCKETS] += np.bincount(grams([w.lower() for w in words])[0], minlength=BUCKETS)
-                    for w in words[:: max(1, len(words) // 50)]:  # scripts need few words
-                        if (s := script_of(w.decode("utf-8", "surrogatepass"))) >= 0:
-                            total[number[lang], BUCKETS + s] += 1
+                    script = scripts_of(words)[1]
+                    total[number[lang], BUCKETS:] += np.bincount(script[script >= 0], minlength=len(NAMES))
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(total[lang, bucket])], ["l", "b", "n"])
 
@@ -224,9 +227,8 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores, found = [], [], []
-            for text in texts_of(batch):
-                labels, letters = model.label(text) if model.langs else (np.zeros(0, np.int64), np.zeros(0))
-                total = int(letters.sum())
+            for labels, letters in model.label(texts_of(batch)):
+                total = int(letters.sum()) if model.langs else 0
                 if not total:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
@@ -257,9 +259,8 @@ def identify_rows(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
-            for text in texts_of(batch):
-                labels, letters = model.label(text) if model.langs else (np.zeros(0, np.int64), np.zeros(0))
-                total = int(letters.sum())
+            for labels, letters in model.label(texts_of(batch)):
+                total = int(letters.sum()) if model.langs else 0
                 weight = np.bincount(labels, letters, max(1, len(model.langs)))
                 top = int(np.argmax(weight))
                 langs.append(model.langs[top] if total else UNKNOWN)
