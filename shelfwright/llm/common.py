@@ -16,9 +16,11 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir; where unset (tests, local mode) a new folder."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without: it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shelfwright-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -45,7 +47,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, func, schema) -> DataFrame:
-    """mapInArrow with batches that stay small when texts are long."""
+    """mapInArrow with batches that stay small when texts are long. The batch size is a setting of the session, which stays lowered: it is
+    read when the plan runs."""
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -64,6 +67,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list: (node, component), component = smallest node reachable.
 

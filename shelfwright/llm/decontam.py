@@ -3,6 +3,9 @@
 A mask keeps some word positions of a short stretch and ignores the others, so a stretch with substituted
 words at ignored positions still has the same hash. Hashes of the benchmark's stretches are joined with those
 of all documents; around each hit the aligned words are counted.
+
+The masks find every passage that the threshold admits: whatever fifth of the words is substituted, in one place one mask sees
+none of them. Items of fewer words than that holds for have a shorter mask too, and very short items must stand as they are.
 """
 
 from __future__ import annotations
@@ -10,15 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, save
+from .common import fresh, pick, save
 
 #: Kept positions of each mask.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 4, 7, 8), (0, 1, 2, 5, 7, 9), (0, 1, 4, 6, 9, 10))
 SPAN = 8
+#: A mask for items of SPAN to LONG - 1 words, and its span. With it all passages of up to a fifth substituted words are found.
+SHORT_MASK, SHORT_SPAN, LONG = (0, 1, 3), 4, 18
+#: Items of fewer words than SPAN must stand word for word; those of fewer than SHORTEST match nothing.
+SHORTEST = 3
 #: Words compared around a hit, and the percentage of them that must be equal.
 WINDOW, PERCENT = 20, 80
 #: Benchmark stretches in one broadcast; more are joined in blocks.
-BLOCK_ROWS = 400_000
+BLOCK_ROWS = 1_000_000
 NON_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -28,17 +35,15 @@ def word_hashes(text: Column) -> Column:
     return F.when(F.length(F.regexp_replace(F.coalesce(text, F.lit("")), NON_WORD, "")) > 0, F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
 
-def seeds(words: str, pos: Column) -> Column:
-    """The hash of each mask laid at a position, as an array."""
-    return F.array(*[F.xxhash64(F.lit(i), *[F.get(words, pos + o) for o in mask]) for i, mask in enumerate(MASKS)])
+def seeds(words: str, pos: str, masks: dict[int, tuple[int, ...]], room: dict[int, Column]) -> Column:
+    """The hash of each mask laid at a position, as an array; null where room[mask] is not true."""
+    return F.array(*[F.when(room[i], F.xxhash64(F.lit(i), *[F.get(words, F.col(pos) + o) for o in mask])) for i, mask in masks.items()])
 
 
-def stretches(df: DataFrame, words: str, *keep: str) -> DataFrame:
-    """A narrow row for each mask at each position at which the shortest one fits: (keep..., pos, seed). The words don't go along."""
-    last = F.size(words) - SPAN
-    found = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda p: F.struct(p.alias("pos"), seeds(words, p).alias("seeds"))))
-    rows = df.select(*keep, F.explode(found).alias("x")).select(*keep, F.col("x.pos").alias("pos"), F.explode("x.seeds").alias("seed"))
-    return rows
+def laid(df: DataFrame, words: str, masks: dict[int, tuple[int, ...]], room: dict[int, Column], least: int, *keep: str) -> DataFrame:
+    """A narrow row for each mask at each position: (keep..., pos, seed); `least` words must be left. The words don't go along."""
+    rows = df.where(F.size(words) >= least).select(*keep, words, F.explode(F.sequence(F.lit(0), F.size(words) - least)).alias("pos"))
+    return rows.select(*keep, "pos", F.explode(seeds(words, "pos", masks, room)).alias("seed")).where("seed is not null")
 
 
 def best_window(doc: Column, item: Column, shift: Column) -> Column:
@@ -54,33 +59,52 @@ def best_window(doc: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(F.sequence(low, high), F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(-1).alias("end")), step)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Documents that hold a benchmark passage, word substitutions allowed.
-
-    A document and an item match when some WINDOW aligned words of them (or all of the item's, if fewer) are
-    equal at `percent` of the places or more, found by a seed hit on the same alignment. Returns one row for each
-    such pair: (doc_id, item_id, doc_start, item_start, n_window, n_equal, similarity) of its best window.
-    Texts that are null, or of fewer than SPAN words, match nothing; so do items. Repeated rows give the same
-    pair once; a null doc_id is kept as a key. Empty tables give no rows; other columns are not read.
-    """
-    items = pick(benchmark, "item_id", "text").select("item_id", word_hashes(F.col("text")).alias("item")).dropDuplicates(["item_id"])
-    found = stretches(items.withColumn("n_item", F.size("item")), "item", "item_id", "n_item").select("seed", "item_id", "n_item", F.col("pos").alias("item_pos")).distinct()
+def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All pairs of a text and an item's text that match, once for each alignment: (doc_id, tk, item_id, n_equal, n_window, item_start, shift)."""
+    items = pick(benchmark, "item_id", "text").select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") >= SHORTEST)
+    items = save(items.withColumn("ik", F.xxhash64("item")))
+    bodies, names = items.select("ik", "item").dropDuplicates(["ik"]), items.select("ik", "item_id").distinct()
+    n = F.size("item")
+    exact = sorted(r["n"] for r in bodies.where(n < SPAN).select(n.alias("n")).distinct().collect())  # SPAN - SHORTEST rows at most
+    short = bodies.where((n >= SPAN) & (n < LONG)).limit(1).count() > 0
+    masks = dict(enumerate(MASKS)) | ({len(MASKS): SHORT_MASK} if short else {}) | {len(MASKS) + k: tuple(range(k)) for k in exact}
+    spans = {i: SPAN for i in range(len(MASKS))} | {len(MASKS): SHORT_SPAN} | {len(MASKS) + k: k for k in exact}
+    least = min(spans[i] for i in masks)
+    fits = {i: F.col("pos") <= F.size("words") - spans[i] for i in masks}
+    size = F.size("words")
+    own = {i: fits[i] & (size >= SPAN if i < len(MASKS) else size.between(SPAN, LONG - 1) if i == len(MASKS) else size == spans[i]) for i in masks}
+    found = laid(bodies.withColumnRenamed("item", "words").withColumn("n_item", size), "words", masks, own, least, "ik", "n_item")
+    found = save(found.select("seed", "ik", "n_item", F.col("pos").alias("item_pos")).distinct())
     blocks = max(1, -(-found.count() // BLOCK_ROWS))
     words = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("tk"), word_hashes(F.col("text")).alias("words"))
-    rows = stretches(words, "words", "doc_id", "tk")
+    rows = laid(words, "words", masks, fits, least, "doc_id", "tk")
     hits = None
     for b in range(blocks):
-        block = found if blocks == 1 else found.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        part = rows.join(F.broadcast(block), "seed").select("doc_id", "tk", "item_id", "n_item", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        block = found if blocks == 1 else found.where(F.pmod(F.xxhash64("ik"), F.lit(blocks)) == b)
+        part = rows.join(F.broadcast(block), "seed").select("doc_id", "tk", "ik", "n_item", (F.col("pos") - F.col("item_pos")).alias("shift"))
         hits = part if hits is None else hits.unionByName(part)
-    hits = save(hits.distinct()).withColumnRenamed("doc_id", "_id").withColumnRenamed("tk", "_tk")
+    hits = save(hits.distinct()).withColumnRenamed("doc_id", "hit_id").withColumnRenamed("tk", "hit_tk")
     # only the stretch of the document that lies beside the item goes on
-    near = words.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
-    near = near.select("doc_id", "item_id", "shift", F.slice("words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("n_item") + F.least(F.col("shift"), F.lit(0))).alias("part"))
-    checked = near.join(F.broadcast(items) if blocks == 1 else items, "item_id")
-    checked = checked.withColumn("w", best_window(F.col("part"), F.col("item"), F.least(F.col("shift"), F.lit(0)))).withColumn("n_window", F.least(F.lit(WINDOW), F.size("item")))
-    whole = checked.where(100 * F.col("w.best") >= percent * F.col("n_window")).select("doc_id", "item_id", F.col("w.best").alias("n_equal"), "n_window", F.greatest(F.lit(0), F.col("w.end") - F.col("n_window") + 1).alias("item_start"), "shift")
-    best = whole.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", -F.col("item_start"), -F.col("shift"), "n_window")).alias("m"))
+    near = words.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & F.col("tk").eqNullSafe(F.col("hit_tk")))
+    near = near.select("doc_id", "tk", "ik", "shift", F.slice("words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("n_item") + F.least(F.col("shift"), F.lit(0))).alias("part")).distinct()
+    checked = near.join(F.broadcast(bodies) if blocks == 1 else bodies, "ik")
+    checked = checked.withColumn("w", best_window(F.col("part"), F.col("item"), F.least(F.col("shift"), F.lit(0)))).withColumn("n_window", F.least(F.lit(WINDOW), n))
+    whole = checked.where(100 * F.col("w.best") >= F.when(n < SPAN, 100).otherwise(percent) * F.col("n_window"))
+    whole = whole.select("doc_id", "tk", "ik", F.col("w.best").alias("n_equal"), "n_window", F.greatest(F.lit(0), F.col("w.end") - F.col("n_window") + 1).alias("item_start"), "shift")
+    return whole.join(F.broadcast(names) if blocks == 1 else names, "ik").drop("ik")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Documents that hold a benchmark passage, word substitutions allowed.
+
+    A document and an item match when some WINDOW aligned words of them (or all of the item's, if fewer) are
+    equal at `percent` of the places or more, found by a seed hit on the same alignment. Items of fewer than SPAN words
+    match where all their words stand in a row, those of fewer than SHORTEST nowhere. Returns one row for each
+    such pair: (doc_id, item_id, doc_start, item_start, n_window, n_equal, similarity) of its best window.
+    Texts that are null or without words match nothing. Repeated rows give the same pair once; all texts of a repeated doc_id or item_id
+    count; a null doc_id or item_id is a key like any other. Empty tables give no rows; other columns are not read.
+    """
+    best = matches(docs, benchmark, percent).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", -F.col("item_start"), -F.col("shift"), "n_window")).alias("m"))
     start = -F.col("m.col2")
     return best.select(
         "doc_id", "item_id", (start - F.col("m.col3")).cast("long").alias("doc_start"), start.cast("long").alias("item_start"),
@@ -89,6 +113,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark passage, with all their columns."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_found"), "left_anti")
+    """The documents that hold no benchmark passage, with all their columns, whatever their names. Rows without doc_id are judged by their
+    text; repeated rows go or stay together."""
+    bad_id, bad_tk, tk = (fresh(docs, x) for x in ("bad_id", "bad_tk", "tk"))
+    found = matches(docs, benchmark).select(F.col("doc_id").alias(bad_id), F.col("tk").alias(bad_tk)).distinct()
+    rows = docs.withColumn(tk, F.xxhash64("text"))
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col(bad_id)) & F.col(tk).eqNullSafe(F.col(bad_tk)), "left_anti").drop(tk)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontam import MASKS, PERCENT as LEAK_PERCENT, SPAN, WINDOW as LEAK_WINDOW
+from .decontam import LONG, MASKS, PERCENT as LEAK_PERCENT, SHORT_MASK, SHORT_SPAN, SPAN, WINDOW as LEAK_WINDOW
 from .licenses import LOWER, PERCENT as LICENSE_PERCENT, PHRASES, TEMPLATES, UPPER, template_tokens
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,13 +43,24 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_ba
     array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)"""
 
-_SEEDS = "[" + ", ".join(f"concat_ws('|', {i}, " + ", ".join(f"coalesce(ws[i + {o}], '')" for o in mask) + ")" for i, mask in enumerate(MASKS)) + "]"
+
+
+def _mask(number: int, mask: tuple[int, ...]) -> str:
+    return f"concat_ws('|', {number}, " + ", ".join(f"coalesce(ws[i + {o}], '')" for o in mask) + ")"
+
+
+def _seeds(kind: str, key: str, table: str) -> str:
+    """Seeds of all masks at all positions; the short mask is for items of fewer than LONG words."""
+    some = "" if kind == "d" else f" WHERE len(ws) < {LONG}"
+    return f"""SELECT {key}, i, unnest([{", ".join(_mask(i, m) for i, m in enumerate(MASKS))}]) AS seed FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {SPAN - 2})) AS i FROM {table})
+    UNION ALL SELECT {key}, i, {_mask(len(MASKS), SHORT_MASK)} FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {SHORT_SPAN - 2})) AS i FROM {table}{some})"""
+
 
 LEAKS = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM benchmark),
-ds AS (SELECT doc_id, i, unnest({_SEEDS}) AS seed FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {SPAN - 2})) AS i FROM d)),
-bs AS (SELECT item_id, i, unnest({_SEEDS}) AS seed FROM (SELECT item_id, ws, unnest(range(1, len(ws) - {SPAN - 2})) AS i FROM b)),
+b AS (SELECT item_id, ws FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM benchmark) WHERE len(ws) >= {SPAN}),
+ds AS ({_seeds("d", "doc_id", "d")}),
+bs AS ({_seeds("b", "item_id", "b")}),
 hit AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (seed)),
 run AS (SELECT doc_id, item_id, shift, greatest(0, -shift) AS low, least(len(b.ws), len(d.ws) - shift) AS high, least({LEAK_WINDOW}, len(b.ws)) AS size, d.ws AS dw, b.ws AS bw FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
 eq AS (SELECT doc_id, item_id, shift, low, size, [CASE WHEN dw[k + shift + 1] = bw[k + 1] THEN 1 ELSE 0 END FOR k IN range(low, high)] AS e FROM run),
