@@ -19,27 +19,26 @@ def ancestor_paths(spark: SparkSession, d: str) -> DataFrame:
     return tree.ancestor_paths(codes(spark, d), 3).select("site", "code", F.array_join("path", " > ").alias("path"))
 
 
-@query("""WITH c AS (SELECT 's' AS site, CAST(l_partkey AS VARCHAR) AS code FROM lineitem WHERE l_quantity <= 3 GROUP BY ALL)
+@query("""WITH c AS (SELECT 's' AS site, CAST(l_partkey AS VARCHAR) AS code FROM lineitem GROUP BY ALL)
     SELECT a.code, array_to_string(list(b.code ORDER BY length(b.code)), '/') AS path FROM c a JOIN c b ON starts_with(a.code, b.code) GROUP BY a.code""")
 def prefix_ancestors(spark: SparkSession, d: str) -> DataFrame:
     """J4: prefixes of any length, on part numbers as codes."""
-    c = table(spark, d, "lineitem").where("l_quantity <= 3").select(F.lit("s").alias("site"), F.col("l_partkey").cast("string").alias("code")).distinct().withColumn("name", F.col("code"))
+    c = table(spark, d, "lineitem").select(F.lit("s").alias("site"), F.col("l_partkey").cast("string").alias("code")).distinct().withColumn("name", F.col("code"))
     return tree.ancestor_paths(c, 1).select("code", F.array_join("path", "/").alias("path"))
 
 
-@query("""WITH c AS (SELECT CAST(l_partkey AS VARCHAR) AS code FROM lineitem WHERE l_quantity <= 3 GROUP BY ALL)
+@query("""WITH c AS (SELECT CAST(l_partkey AS VARCHAR) AS code FROM lineitem GROUP BY ALL)
     SELECT code FROM c WHERE NOT regexp_matches(code, '7') AND NOT EXISTS (SELECT 1 FROM c o WHERE o.code <> c.code AND starts_with(o.code, c.code))""")
 def leaf_codes(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "lineitem").where("l_quantity <= 3").select(F.lit("s").alias("site"), F.col("l_partkey").cast("string").alias("code")).distinct().withColumn("name", F.col("code"))
+    c = table(spark, d, "lineitem").select(F.lit("s").alias("site"), F.col("l_partkey").cast("string").alias("code")).distinct().withColumn("name", F.col("code"))
     return tree.leaves(c, skip="7").select("code")
 
 
 
-
-@query("""WITH p AS (SELECT DISTINCT p_brand AS a, CASE WHEN p_size > 2 THEN split_part(p_name, ' ', 1) END AS b, CASE WHEN p_size > 4 THEN split_part(p_name, ' ', 2) END AS c FROM part WHERE p_size <= 6),
+@query("""WITH p AS (SELECT DISTINCT p_brand AS a, CASE WHEN p_size > 2 THEN split_part(p_name, ' ', 1) END AS b, CASE WHEN p_size > 4 THEN split_part(p_name, ' ', 2) END AS c FROM part),
     q AS (SELECT concat_ws(' > ', a, b, c) AS path FROM p) SELECT path FROM q WHERE NOT EXISTS (SELECT 1 FROM q o WHERE starts_with(o.path, q.path || ' > '))""")
 def leaf_name_paths(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_size <= 6")
+    p = table(spark, d, "part")
     parts = F.split("p_name", " ")
     path = F.array_compact(F.array("p_brand", F.when(F.col("p_size") > 2, parts[0]), F.when(F.col("p_size") > 4, parts[1])))
     return tree.leaf_paths(p.select(F.lit("s").alias("site"), path.alias("path")).distinct()).select(F.array_join("path", " > ").alias("path"))

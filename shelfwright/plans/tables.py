@@ -23,12 +23,12 @@ PRODUCTS = """products AS (SELECT 'p' || p_partkey AS id, p_partkey AS ord, p_na
 
 
 def offers(spark: SparkSession, d: str) -> DataFrame:
-    """Product by source, from the lines with small quantities."""
-    lines = table(spark, d, "lineitem").where("l_quantity <= 4")
+    """Product by source, from all lines."""
+    lines = table(spark, d, "lineitem")
     return lines.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 10).cast("string")).alias("source")).distinct()
 
 
-OFFERS = "offers AS (SELECT DISTINCT 'p' || l_partkey AS id, 's' || (l_suppkey % 10) AS source FROM lineitem WHERE l_quantity <= 4)"
+OFFERS = "offers AS (SELECT DISTINCT 'p' || l_partkey AS id, 's' || (l_suppkey % 10) AS source FROM lineitem)"
 
 
 def codes(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,7 @@ def codes(spark: SparkSession, d: str) -> DataFrame:
         F.lit("tpch").alias("site"), F.concat(F.lpad(F.col("n_regionkey").cast("string"), 3, "0"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("code"),
         F.when(F.col("n_nationkey") == 7, F.lit("")).otherwise(F.col("n_name")).alias("name"),
     )
-    m = table(spark, d, "customer").where("c_custkey % 3 = 0").select("c_nationkey", "c_mktsegment").distinct().join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    m = table(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct().join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     m = m.select(F.lit("tpch").alias("site"), F.concat(F.lpad(F.col("n_regionkey").cast("string"), 3, "0"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0"), F.rpad(F.substring("c_mktsegment", 1, 3), 3, "x")).alias("code"), F.col("c_mktsegment").alias("name"))
     return r.unionByName(n).unionByName(m)
 
@@ -46,7 +46,7 @@ def codes(spark: SparkSession, d: str) -> DataFrame:
 CODES = """codes AS (SELECT 'tpch' AS site, lpad(CAST(r_regionkey AS VARCHAR), 3, '0') AS code, r_name AS name FROM region
     UNION ALL SELECT 'tpch', lpad(CAST(n_regionkey AS VARCHAR), 3, '0') || lpad(CAST(n_nationkey AS VARCHAR), 3, '0'), CASE WHEN n_nationkey = 7 THEN '' ELSE n_name END FROM nation
     UNION ALL SELECT DISTINCT 'tpch', lpad(CAST(n_regionkey AS VARCHAR), 3, '0') || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') || rpad(substr(c_mktsegment, 1, 3), 3, 'x'), c_mktsegment
-    FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0)"""
+    FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
