@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import html
+import json
 from collections.abc import Sequence
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Entities that clean_text_html decodes in the JVM; the Arrow variant decodes all.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: A character reference: by number, by name; the closing ';' may be missing.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Numbers that stand for another character (C1 controls as in windows-1252), and those that stand for none.
+MENDED = {0: "\ufffd", 13: "\r"} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+NOTHING = {*range(1, 9), 0xB, *range(0xE, 0x20), *range(0x7F, 0xA0), *range(0xFDD0, 0xFDF0), *[0x10000 * k + x for k in range(17) for x in (0xFFFE, 0xFFFF)]} - set(MENDED)
 
 
 def present(c: Column) -> Column:
@@ -30,14 +35,42 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
+def _table(pairs: dict[str, str]) -> Column:
+    """A constant map of texts, made by the optimizer from one literal."""
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
+
+
+def _referred(ref: Column) -> Column:
+    """The text that one character reference stands for; itself if it stands for none."""
+    name = F.substring(ref, 2, 40)
+    loose = {k: v for k, v in html5.items() if not k.endswith(";")}
+    longest = max(map(len, loose))
+    heads = [F.concat(F.try_element_at(_table(loose), F.substring(name, 1, n)), F.substring(name, n + 1, 40)) for n in range(longest, 1, -1)]
+    named = F.coalesce(F.try_element_at(_table(dict(html5)), name), *heads, ref)
+    digits = F.regexp_extract(ref, "^&#[xX]?0*([0-9a-fA-F]+)", 1)
+    number = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("bigint")
+    number = F.when(F.length(digits) > 9, F.lit(0x110000).cast("bigint")).otherwise(number)
+    bad = number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    counted = F.coalesce(F.try_element_at(_table({str(k): v for k, v in MENDED.items()} | {str(k): "" for k in NOTHING}), number.cast("string")), F.when(bad, F.lit("\ufffd")).otherwise(letter))
+    return F.when(F.startswith(ref, F.lit("&#")), counted).otherwise(named)
+
+
+def unescape(c: Column) -> Column:
+    """X3 as an expression: every named and numbered character reference decoded. Texts without '&' are left alone."""
+    gaps, refs = F.split(c, REFERENCE, -1), F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))
+    parts = F.zip_with(gaps, F.transform(refs, _referred), lambda g, r: F.concat(g, F.coalesce(r, F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+
+
 def clean_text_html(c: Column) -> Column:
-    """P2. clean_text after decoding the common entities."""
-    return clean_text(reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), ENTITIES, F.coalesce(c, F.lit(""))))
+    """P2. clean_text after decoding all character references."""
+    return clean_text(unescape(F.coalesce(c, F.lit(""))))
 
 
 @F.pandas_udf(StringType())
 def unescape_all(s: pd.Series) -> pd.Series:
-    """X3. Every named and numbered entity, for texts that need more than ENTITIES."""
+    """X3. The same as unescape, by the standard library on Arrow batches."""
     return s.map(html.unescape, na_action="ignore")
 
 
@@ -116,8 +149,9 @@ def own_images(xs: Column, sid: Column) -> Column:
 
 
 def img_src(page: Column) -> Column:
-    """P27. All image sources of an HTML fragment, in order."""
-    return F.regexp_extract_all(page, F.lit(r"""(?is)<img\b[^>]*?\ssrc\s*=\s*["']([^"']+)["']"""), F.lit(1))
+    """P27. All image sources of an HTML fragment, in order, quoted or not, with character references decoded."""
+    found = F.regexp_extract_all(page, F.lit(r"""(?is)<img\b[^>]*?\ssrc\s*=\s*("[^"]+"|'[^']+'|[^\s"'>]+)"""), F.lit(1))
+    return F.transform(found, lambda x: unescape(F.regexp_replace(x, r"""^["']|["']$""", "")))
 
 
 def price_policy(listed: Column, sale: Column, policy: str = "list_first", text: Column | None = None, ask: str = "call") -> Column:
@@ -165,15 +199,16 @@ def slugify(c: Column) -> Column:
 
 def strip_first_word_in(c: Column, words: Sequence[str]) -> Column:
     """P16. Without a first word of the list; the text itself if nothing would be left."""
-    short = F.trim(F.regexp_replace(c, r"(?i)^(?:" + "|".join(words) + r")\s+", ""))
+    short = F.trim(F.regexp_replace(c, r"(?i)^(?:" + "|".join(rf"\Q{w}\E" for w in words) + r")\s+", ""))
     return F.coalesce(present(short), c)
 
 
 def strip_suffixes(c: Column, suffixes: Sequence[str]) -> Column:
-    """P17. Each suffix in turn, where more than two characters stay."""
+    """P17. Each suffix in turn, where more than two characters stay; trimmed, the text itself if nothing would be left."""
+    whole = c
     for x in suffixes:
         c = F.when(F.endswith(c, F.lit(x)) & (F.length(c) > len(x) + 2), F.substring(c, F.lit(1), F.length(c) - len(x))).otherwise(c)
-    return c
+    return F.coalesce(present(F.trim(c)), whole)
 
 
 def nth_level(path: Column, i: int) -> Column:

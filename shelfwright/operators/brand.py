@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import first_nonempty, lead_tags, present, strip_lead_tags
-
-#: Above so many rules an expression is not folded; the rules are joined.
-FOLD_RULES = 300
+from .classify import small
 
 
 def brand_fold(name: Column, rules: list[tuple[str, str]], default: str = "_misc") -> Column:
@@ -32,7 +30,7 @@ def resolve_brands(products: DataFrame, rules: DataFrame, name: str = "name", ke
     names = products.select(F.col(name).alias("_name")).distinct()
     n = strip_lead_tags(F.col("_name"))
     parts = names.select("_name", n.alias("_n"), F.replace(n, F.lit(" "), F.lit("")).alias("_nn"), lead_tags(F.col("_name")).alias("_tags"))
-    r = F.broadcast(rules)
+    r = small(rules)
     squeezed = F.replace(F.col("prefix"), F.lit(" "), F.lit(""))
     direct = parts.join(r, F.startswith("_n", F.col("prefix")) | F.startswith("_nn", squeezed)).groupBy("_name").agg(F.min_by("slug", "priority").alias("_direct"))
     tags = parts.select("_name", F.posexplode("_tags").alias("_pos", "_tag")).withColumn("_tt", F.upper(F.replace(F.col("_tag"), F.lit(" "), F.lit(""))))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import staging_dir
+
 PAGE = 60
 
 
@@ -28,6 +30,13 @@ def unseen_category_rank(cards: DataFrame, category: str, known: list[str], ord_
     return first.select(category, F.row_number().over(Window.orderBy(F.when(fixed > 0, fixed).otherwise(len(known) + 1), "_first")).alias("rank"))
 
 
+def archive_order(order: list[str], first: list[str], second: list[str], last: tuple[str, ...] = ("id",)) -> list[Column]:
+    """O2. The archived order: category rank, larger groups first (with_group_counts of `first` and `second`), the groups' names, price
+    descending, load order."""
+    price = F.coalesce(F.when(F.col("p") != 0, F.col("p").cast("double")), F.when(F.col("usd") != 0, F.col("usd")), F.lit(0.0))
+    return [category_rank(F.col("c"), order), F.desc("n_1"), F.col(first[-1]), F.desc("n_2"), F.col(second[-1]), F.desc(price), *[F.col(c) for c in last]]
+
+
 def with_group_counts(cards: DataFrame, *groups: list[str]) -> DataFrame:
     """W4. The size of each group on each of its rows (n_1, n_2, ...), as sort keys. Groups are aggregated and joined back, so that a
     large one is never one task's."""
@@ -64,21 +73,42 @@ def facet_filter(cards: DataFrame, category: str | None = None, brand: str | Non
     return cards
 
 
-def paged(cards: DataFrame, order: list[Column], header: str, page_size: int = PAGE) -> DataFrame:
-    """W6, W7. Display position, page, rows that remain behind it, and whether a group header stands before a row.
+def numbered_rows(cards: DataFrame, listing: list[str], order: list[Column], before: str) -> DataFrame:
+    """Each row's place in its listing (`pos`, from 1), the listing's size (`total`), and column `before` of the row in front (`front`).
 
-    A listing is one order over its rows, so this is for a filtered listing (one brand or category), as a client shows it; use
-    paged_by to do all of them at once.
+    Rows are dealt out by ranges of (listing, order) and written; a row's place is that in its range plus the sizes of the listing's
+    earlier ranges. So a listing of any size is spread over all tasks; only a row for each listing and range is looked at by itself.
     """
+    spark = cards.sparkSession
+    keys = [F.col(c) for c in listing]
+    dealt = cards.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys, *order).sortWithinPartitions(*keys, *order)
+    at = F.monotonically_increasing_id()
+    path = staging_dir(spark)
+    dealt.withColumn("_at", at).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    heads = rows.groupBy(*listing, "_range").agg(F.min("_at").alias("_low"), F.count("*").alias("_n"), F.max_by(before, "_at").alias("_last"))
+    w = Window.partitionBy(*listing).orderBy("_range")
+    sums = heads.select(*listing, "_range", "_low", (F.sum("_n").over(w) - F.col("_n")).alias("_skip"), F.sum("_n").over(Window.partitionBy(*listing)).alias("total"), F.lag("_last").over(w).alias("_front"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*listing, "_range"]]
+    out = rows.alias("a").join(sums.alias("b"), same)
+    own = Window.partitionBy(*[F.col(f"a.{c}") for c in [*listing, "_range"]]).orderBy("a._at")
+    first = F.col("a._at") == F.col("b._low")
+    return out.select(
+        *[F.col(f"a.{c}") for c in cards.columns], (F.col("a._at") - F.col("_low") + F.col("_skip") + 1).cast("bigint").alias("pos"), F.col("total"),
+        F.when(first, F.col("_front")).otherwise(F.lag(F.col(f"a.{before}")).over(own)).alias("front"),
+    )
+
+
+def paged(cards: DataFrame, order: list[Column], header: str, page_size: int = PAGE) -> DataFrame:
+    """W6, W7. Display position, page, rows that remain behind it, and whether a group header stands before a row: one listing of all rows."""
     return paged_by(cards.withColumn("_all", F.lit(1)), ["_all"], order, header, page_size).drop("_all")
 
 
 def paged_by(cards: DataFrame, listing: list[str], order: list[Column], header: str, page_size: int = PAGE) -> DataFrame:
     """W6, W7 for every listing at once: pos, page (from 0), remaining, header."""
-    w = Window.partitionBy(*listing).orderBy(*order)
-    total = F.count("*").over(Window.partitionBy(*listing))
-    rows = cards.withColumn("pos", F.row_number().over(w)).withColumn("header", ~F.col(header).eqNullSafe(F.lag(header).over(w)) | (F.col("pos") == 1))
-    return rows.withColumn("page", F.floor((F.col("pos") - 1) / page_size).cast("int")).withColumn("remaining", (total - F.col("pos")).cast("bigint"))
+    rows = numbered_rows(cards, listing, order, header)
+    rows = rows.withColumn("header", ~F.col(header).eqNullSafe(F.col("front")) | (F.col("pos") == 1))
+    return rows.withColumn("page", F.floor((F.col("pos") - 1) / page_size).cast("int")).withColumn("remaining", (F.col("total") - F.col("pos")).cast("bigint")).drop("total", "front")
 
 
 def facet_query(cards: DataFrame, order: list[Column], category: str | None = None, brand: str | None = None, sub: str | None = None, page: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Above so many keywords in all, rules are joined instead of folded into an expression.
-FOLD_KEYWORDS = 600
+#: Above so many keywords in all, rules are joined instead of folded into an expression; rule tables are broadcast up to RULES_MOST rows.
+FOLD_KEYWORDS, RULES_MOST = 600, 200_000
 
 Rules = list[tuple[str, list[str]]]
 
@@ -31,11 +31,25 @@ def rule_table(spark, rules: Rules) -> DataFrame:
     return spark.createDataFrame(rows, "priority int, out string, keyword string")
 
 
+def small(rules: DataFrame) -> DataFrame:
+    """A rule table to be broadcast; one of more than RULES_MOST rows is refused."""
+    if rules.limit(RULES_MOST + 1).count() > RULES_MOST:
+        raise ValueError(f"rule tables have at most {RULES_MOST} rows")
+    return F.broadcast(rules)
+
+
+def match_rules(df: DataFrame, text: str, rules: Rules, name: str = "out") -> DataFrame:
+    """C1 in the form that suits the number of keywords."""
+    if sum(len(words) for _, words in rules) <= FOLD_KEYWORDS:
+        return df.withColumn(name, first_match(F.col(text), rules))
+    return first_match_join(df, text, rule_table(df.sparkSession, rules), name)
+
+
 def first_match_join(df: DataFrame, text: str, rules: DataFrame, name: str = "out") -> DataFrame:
     """C1 as a join, for rule sets too large for an expression: each distinct text meets the broadcast keywords once; the
     smallest priority wins. Same result as first_match."""
     texts = df.select(F.col(text).alias("_t")).distinct()
-    hits = texts.join(F.broadcast(rules.select("priority", F.col("out").alias("_out"), "keyword")), F.contains(F.lower("_t"), F.col("keyword")))
+    hits = texts.join(small(rules.select("priority", F.col("out").alias("_out"), "keyword")), F.contains(F.lower("_t"), F.col("keyword")))
     best = hits.groupBy("_t").agg(F.min_by("_out", "priority").alias(name))
     return df.join(best, F.col(text) == F.col("_t"), "left").drop("_t")
 
@@ -114,7 +128,6 @@ def rule_audit(df: DataFrame, text: str, rules: DataFrame) -> DataFrame:
     """C12. (priority, hits, first_hits) of every rule: rows it matches, and rows it is the first to match. A rule with hits and no
     first_hits is shadowed."""
     texts = df.groupBy(F.col(text).alias("_t")).agg(F.count("*").alias("_n"))
-    hits = texts.join(F.broadcast(rules), F.contains(F.lower("_t"), F.col("keyword"))).groupBy("_t", "_n", "priority").agg(F.lit(1).alias("one"))
-    first = texts.join(F.broadcast(rules), F.contains(F.lower("_t"), F.col("keyword"))).groupBy("_t").agg(F.min("priority").alias("_first"))
-    counted = hits.join(first, "_t").groupBy("priority").agg(F.sum("_n").alias("hits"), F.sum(F.when(F.col("priority") == F.col("_first"), F.col("_n")).otherwise(0)).alias("first_hits"))
+    hits = texts.join(small(rules), F.contains(F.lower("_t"), F.col("keyword"))).groupBy("_t", "_n").agg(F.collect_set("priority").alias("_all"), F.min("priority").alias("_first"))
+    counted = hits.select("_n", "_first", F.explode("_all").alias("priority")).groupBy("priority").agg(F.sum("_n").alias("hits"), F.sum(F.when(F.col("priority") == F.col("_first"), F.col("_n")).otherwise(0)).alias("first_hits"))
     return rules.select("priority").distinct().join(counted, "priority", "left").fillna(0, ["hits", "first_hits"])

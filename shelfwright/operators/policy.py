@@ -19,15 +19,15 @@ def source_index(products: DataFrame, key: str = "slug", source: str = "source")
     return products.groupBy(key).agg(F.array_sort(F.collect_set(source)).alias("sources"))
 
 
-def allowed(junk: Column, key: Column, source: Column, sources: Column, tier1: list[str], demoted: str, pinned: dict[str, str], pseudo: tuple[str, ...] = ("_misc", "_custom")) -> Column:
-    """F2. Junk goes; a pinned brand keeps its one source; a real brand with a first-tier source keeps those; the demoted
+def allowed(junk: Column, key: Column, source: Column, sources: Column, tier1: list[str], demoted: str, pinned: dict[str, str]) -> Column:
+    """F2. Junk goes; a pinned brand keeps its one source; a real brand (no leading underscore) with a first-tier source keeps those; the demoted
     source stays only where it is the only one; all else stays. The order matters."""
     sources = F.coalesce(sources, F.array().cast("array<string>"))
     out = F.when(junk, F.lit(False))
     for k, v in pinned.items():
         out = out.when(key == k, source == v)
     first = F.array(*[F.lit(t) for t in tier1])
-    out = out.when(~key.isin(*pseudo) & F.arrays_overlap(sources, first), source.isin(*tier1))
+    out = out.when(~F.startswith(key, F.lit("_")) & F.arrays_overlap(sources, first), source.isin(*tier1))
     out = out.when(source == demoted, F.size(F.array_except(sources, F.array(F.lit(demoted)))) == 0)
     return F.coalesce(out.otherwise(F.lit(True)), F.lit(False))
 

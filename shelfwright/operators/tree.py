@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import present
+from ..sources.staging import staging_dir
 
 
 def prefixes(code: Column, step: int) -> Column:
@@ -39,14 +40,26 @@ def leaf_paths(paths: DataFrame) -> DataFrame:
 
 
 def parent_paths(nodes: DataFrame, root: int = 0) -> DataFrame:
-    """J7. (id, path) by parent pointers: rows (id, name, parent), `root` or an unknown id as parent ends a path. Recursive."""
-    nodes.createOrReplaceTempView("_nodes")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE up(id, path) AS (
-            SELECT n.id, array(n.name) FROM _nodes n LEFT ANTI JOIN _nodes p ON n.parent = p.id AND n.parent <> {root}
-            UNION ALL
-            SELECT n.id, concat(u.path, array(n.name)) FROM up u JOIN _nodes n ON n.parent = u.id AND n.parent <> {root}
-        ) SELECT id, path FROM up""")
+    """J7. (id, path) by parent pointers: rows (id, name, parent), `root` or an unknown id as parent ends a path. Nodes on a cycle, and
+    those below one, have no path: null.
+
+    Each round joins every open path with that of the node it hangs on, so paths double and the rounds are the logarithm of the
+    depth. Rounds are written tables.
+    """
+    spark = nodes.sparkSession
+    known = nodes.select(F.col("id").alias("up")).distinct()
+    state = nodes.join(known, (F.col("parent") == F.col("up")) & (F.col("parent") != root), "left").select("id", F.array("name").alias("path"), "up")
+    left = None
+    while True:
+        path = staging_dir(spark)
+        state.write.parquet(path)
+        state = spark.read.schema(state.schema).parquet(path)
+        open_ = state.where("up is not null").count()
+        if not open_ or open_ == left:
+            return state.select("id", F.when(F.col("up").isNull(), F.col("path")).alias("path"))
+        left = open_
+        above = state.select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("up").alias("_up"))
+        state = state.join(above, F.col("up") == F.col("_id"), "left").select("id", F.when(F.col("_id").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"), F.col("_up").alias("up"))
 
 
 def two_part_paths(nav: DataFrame) -> DataFrame:

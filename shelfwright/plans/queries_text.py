@@ -53,13 +53,13 @@ _POLICIES = ("list_first", "equal_is_none", "inverted_is_none")
 
 @query(
     """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE CAST(floor(l_extendedprice) AS BIGINT) END AS li,
-        CASE WHEN l_linenumber % 3 = 0 THEN CAST(floor(l_extendedprice) AS BIGINT) WHEN l_linenumber % 7 = 1 THEN CAST(floor(l_extendedprice) AS BIGINT) + 5 ELSE CAST(floor(round(l_extendedprice * (1 - l_discount), 2)) AS BIGINT) END AS sa FROM lineitem WHERE l_quantity <= 10),
+        CASE WHEN l_linenumber % 3 = 0 THEN CAST(floor(l_extendedprice) AS BIGINT) WHEN l_linenumber % 7 = 1 THEN CAST(floor(l_extendedprice) AS BIGINT) + 5 ELSE CAST(floor(round(l_extendedprice * (1 - l_discount), 2)) AS BIGINT) END AS sa FROM lineitem),
     y AS (SELECT *, CASE WHEN li = sa THEN 0 ELSE li END AS le, CASE WHEN li < sa THEN 0 ELSE li END AS lv FROM x)
     SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, sum(coalesce(nullif(li, 0), sa))::BIGINT AS list_first, sum(coalesce(nullif(le, 0), sa) + le)::BIGINT AS equal_is_none, sum(coalesce(nullif(lv, 0), sa) + lv)::BIGINT AS inverted_is_none,
         bool_or(coalesce(nullif(li, 0), sa) = 0) AS inquiry FROM y GROUP BY ALL"""
 )
 def price_policies(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "lineitem").where("l_quantity <= 10")
+    x = table(spark, d, "lineitem")
     full, off = F.floor("l_extendedprice"), F.floor(F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2))
     li = F.when(F.col("l_linenumber") % 5 == 0, F.lit(0)).otherwise(full)
     sa = F.when(F.col("l_linenumber") % 3 == 0, full).when(F.col("l_linenumber") % 7 == 1, full + 5).otherwise(off)
@@ -101,10 +101,7 @@ def _listing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Menu links taken as item links of three listing pages for each site and language."""
     p = pages(spark, d).withColumn("page_no", F.col("page_id") % 3)
     rules = p.select("site").distinct().select("site", F.concat(F.lit("https://"), "site").alias("base"), F.lit("^/([a-z]+)").alias("sid_pattern"))
-    found = raw.links(p, r"(?s)<nav>(.*?)</nav>", ("site", "cat", "page_no", "page_id")).join(F.broadcast(rules), "site")
-    found = found.withColumn("pos", F.col("page_id") * 100 + F.col("pos")).withColumn("sid", F.expr("regexp_extract(href, sid_pattern, 1)")).where("sid <> ''")
-    found = found.withColumn("url", T.abs_url(F.col("base"), F.col("href")))
-    return p, packs.first_seen(found, ["site", "cat", "sid"], "page_no", "pos").select("site", "cat", "page_no", "pos", "sid", "url")
+    return p, raw.extract_listing(p, rules, r"(?s)<nav>(.*?)</nav>", F.col("page_id") * 100)
 
 
 @query(f"WITH {_LINKS}, {_LISTING} SELECT site, cat, page_no, pos, sid, url FROM items")

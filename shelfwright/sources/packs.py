@@ -29,10 +29,8 @@ def read_packs(spark: SparkSession, path: str, skip: tuple[str, ...] = ("_index"
     return rows.join(names, "file_stem").select(*[own.get(f, F.col(p + f)).alias(f) for f in fields], "pack_brand", "file_stem", "file_ord", "pos")
 
 
-def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    """S7. (site, kind, key) of checkpoint files in any of three shapes: a bare list of categories, {cats, ids}, {pages, ids}. Spark
-    doesn't list files whose names begin with an underscore; stage them without it."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)_done\.json", 1).alias("site"), "value")
+def parse_checkpoints(raw: DataFrame) -> DataFrame:
+    """S7. (site, kind, key) of checkpoint texts (site, value) in any of three shapes: a bare list of categories, {cats, ids}, {pages, ids}."""
     listed = F.from_json("value", "array<string>")
     keyed = F.from_json("value", "cats array<string>, ids array<string>, pages array<string>")
     none = F.array().cast("array<string>")
@@ -42,13 +40,26 @@ def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("site", F.explode(keys).alias("k")).select("site", "k.kind", "k.key")
 
 
-def read_walks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """S8. membership (site, sid, code) and paths (site, code, path) of walk files (catwalk_<site>.json)."""
-    raw = spark.read.schema("membership map<string,string>, paths map<string,array<string>>").option("multiLine", True).json(path)
-    raw = raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^catwalk_(.*?)\.json", 1).alias("site"), "*")
+def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """S7. Checkpoint files (<site>_done.json). Spark doesn't list files whose names begin with an underscore; stage them without it."""
+    raw = spark.read.option("wholetext", True).text(path)
+    return parse_checkpoints(raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)_done\.json", 1).alias("site"), "value"))
+
+
+def walk_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S8. membership (site, sid, code) and paths (site, code, path) of walks (site, membership, paths), one or more a site."""
     return raw.select("site", F.explode("membership").alias("sid", "code")), raw.select("site", F.explode("paths").alias("code", "path"))
 
 
+WALK = "membership map<string,string>, paths map<string,array<string>>"
+
+
+def read_walks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S8. Walk files (catwalk_<site>.json)."""
+    raw = spark.read.schema(WALK).option("multiLine", True).json(path)
+    return walk_tables(raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^catwalk_(.*?)\.json", 1).alias("site"), "*"))
+
+
 def read_dictionary(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """S9. A JSON dictionary or list; a missing file is an empty table."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import abs_url, clean_text_html, drop_boilerplate_images, img_src, ordered_uniq, present, price_num, price_policy
+from ..functions.text import abs_url, clean_text_html, drop_boilerplate_images, img_src, ordered_uniq, present, price_num, price_policy, unescape
 
 LINK = r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 
@@ -23,15 +23,17 @@ def links(pages: DataFrame, inside: str | None = None, keep: tuple[str, ...] = (
     part = F.regexp_extract("html", inside, 1) if inside else F.col("html")
     href, label = F.regexp_extract_all(part, F.lit(LINK), F.lit(1)), F.regexp_extract_all(part, F.lit(LINK), F.lit(2))
     rows = pages.select(*keep, F.posexplode(F.arrays_zip(href.alias("href"), label.alias("label"))).alias("pos", "x"))
-    return rows.select(*keep, "pos", F.col("x.href").alias("href"), text_of(F.col("x.label")).alias("label"))
+    return rows.select(*keep, "pos", unescape(F.col("x.href")).alias("href"), text_of(F.col("x.label")).alias("label"))
 
 
-def extract_listing(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def extract_listing(pages: DataFrame, rules: DataFrame, inside: str | None = None, at: Column | None = None) -> DataFrame:
     """S2. Item links on listing pages: (site, cat, page_no, pos, sid, url), first seen in each category.
 
-    rules: (site, base, sid_pattern) - a row a site; group 1 of the pattern is the item's id.
+    rules: (site, base, sid_pattern) - a row a site; group 1 of the pattern is the item's id. `inside` as in links; `at` is added to the
+    links' places, where several pages share a number.
     """
-    found = links(pages, keep=("site", "cat", "page_no")).join(F.broadcast(rules), "site")
+    pages = pages.withColumn("_at", F.lit(0) if at is None else at)
+    found = links(pages, inside, ("site", "cat", "page_no", "_at")).withColumn("pos", F.col("_at") + F.col("pos")).join(rules, "site")
     found = found.withColumn("sid", F.expr("regexp_extract(href, sid_pattern, 1)"))
     found = found.where("sid <> ''").withColumn("url", abs_url(F.col("base"), F.col("href")))
     first = Window.partitionBy("site", "cat", "sid").orderBy("page_no", "pos")

@@ -53,11 +53,16 @@ def registry_rows(brands: DataFrame) -> DataFrame:
     return brands.join(F.broadcast(total)).orderBy(F.desc("count"), "slug")
 
 
-def walk_maps(membership: DataFrame, paths: DataFrame) -> DataFrame:
-    """K6. A row a site: maps of membership and paths, as a walk file has them."""
-    m = membership.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sid", "code")))).alias("membership"))
-    p = paths.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "path")))).alias("paths"))
-    return m.join(p, "site", "full_outer")
+def walk_maps(membership: DataFrame, paths: DataFrame, entries: int = 50_000) -> DataFrame:
+    """K6. Maps of membership and paths as walk files have them: (site, part, membership, paths). A site of more than about `entries` rows
+    is written in parts, dealt out by a hash, so that no map grows with the site; a reader takes them together."""
+
+    def parts(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+        sizes = rows.groupBy("site").agg(F.ceil(F.count("*") / entries).alias("_parts"))
+        dealt = rows.join(sizes, "site").withColumn("part", F.pmod(F.xxhash64(key), F.col("_parts")))
+        return dealt.groupBy("site", "part").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name))
+
+    return parts(membership, "sid", "code", "membership").join(parts(paths, "code", "path", "paths"), ["site", "part"], "full_outer")
 
 
 def write_checkpoint(keys: DataFrame, path: str) -> None:

@@ -28,30 +28,63 @@ def without_done(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFram
     return items.join(done.select(*keys), keys, "left_anti")
 
 
-def upsert_stream(stream: DataFrame, key: list[str], sequence: str, path: str, checkpoint: str) -> StreamingQuery:
+#: Parts of a table that upsert_stream keeps; a batch rewrites those that its keys fall into.
+BUCKETS, BUCKET = 64, "upsert_bucket"
+
+
+def upsert_stream(stream: DataFrame, key: list[str], sequence: str, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """T2, T3, T6. Each batch is merged into the table at `path`: the latest row of each key by `sequence` stays, a late older one is
-    refused. Every batch writes a new version folder and then moves the pointer, so a restart in between does it again with
-    the same result."""
+    refused. Keys are dealt into buckets; a batch writes a new version of the buckets it touches, and versions that no
+    restart can ask for any more are removed. A restart in between does the batch again with the same result."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = read_version(spark, path, before=number)
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+        batch = batch.persist()
+        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # `buckets` rows at most
+        old = read_version(spark, path, before=number, only=touched)
         both = batch if old is None else old.unionByName(batch)
         last = Window.partitionBy(*key).orderBy(F.desc(sequence), *[F.desc(c) for c in batch.columns if c not in (*key, sequence)])
-        both.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn").write.mode("overwrite").parquet(f"{path}/v={number}")
+        kept = both.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn").withColumn(BUCKET, bucket)
+        kept.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/v={number}")
+        batch.unpersist()
+        keep = set(_latest(spark, path, number).values())  # what a repetition of this batch reads
+        for version, folder in _folders(spark, path):
+            if version < number and folder not in keep:
+                _file_system(spark, folder).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The latest complete version of a table of upsert_stream."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    done = [v for v in done if before is None or v < before]
-    return spark.read.parquet(f"{path}/v={max(done)}") if done else None
+def _file_system(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _folders(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(version, folder) of every bucket of every complete version."""
+    hadoop, fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, _file_system(spark, path)
+    if not fs.exists(hadoop(path)):
+        return []
+    out = []
+    for s in fs.listStatus(hadoop(path)):
+        if s.getPath().getName().startswith("v=") and fs.exists(hadoop(s.getPath(), "_SUCCESS")):
+            out += [(int(s.getPath().getName()[2:]), x.getPath().toString()) for x in fs.listStatus(s.getPath()) if x.getPath().getName().startswith(BUCKET)]
+    return out
+
+
+def _latest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The folder of each bucket's latest version."""
+    out: dict[int, str] = {}
+    for version, folder in sorted(_folders(spark, path)):
+        if before is None or version < before:
+            out[int(folder.rsplit("=", 1)[1])] = folder
+    return out
+
+
+def read_version(spark: SparkSession, path: str, before: int | None = None, only: set[int] | None = None) -> DataFrame | None:
+    """The table of upsert_stream as it is, or as it was before a batch; `only` some of its buckets. None where there is nothing."""
+    found = [folder for bucket, folder in _latest(spark, path, before).items() if only is None or bucket in only]
+    return spark.read.parquet(*found) if found else None
 
 
 def split_failures(rows: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:

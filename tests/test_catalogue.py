@@ -196,3 +196,42 @@ def test_repairs(spark, tmp_path):
     sinks.write_product_docs(df.select("id", "brand_slug"), str(tmp_path / "docs"), limit=1)
     assert spark.read.json(str(tmp_path / "docs")).count() == 1
     assert policy.block_url_rows(spark.createDataFrame([("a",), ("b",)], "url string"), spark.createDataFrame([("b",)], "u string")).collect() == [("a",)]
+
+
+def test_every_reference(spark):
+    """All named references, with and without ';', and numbers of every kind, against the standard library."""
+    import html as library
+    from html.entities import html5
+
+    texts = [f"a &{n} b" for n in html5] + [f"&{n.rstrip(';')}x;" for n in list(html5)[:400]] + ["", "no reference", "& &; &#; &#x; &nope; &&amp;amp;", "&amplt; &notit; &notin; &#38;#38;", None]
+    texts += [f"&#{n};&#x{n:x} " for n in (0, 1, 9, 13, 38, 65, 127, 128, 129, 150, 159, 160, 233, 8364, 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFFFE, 0x1F600, 0x10FFFF, 0x110000, 10**25)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", T.unescape(F.col("s")).alias("u"), T.unescape_all(F.col("s")).alias("v")).collect()
+    for r in got:
+        want = None if texts[r.i] is None else library.unescape(texts[r.i])
+        assert r.u == want and r.v == want, texts[r.i]
+    assert one(spark, T.img_src(F.col("s")), s="<img src=a.png alt=x><img class=y src='b.png?x=1&amp;y=2'><img data-x src = \"c d.png\">") == ["a.png", "b.png?x=1&y=2", "c d.png"]
+    assert one(spark, T.strip_suffixes(F.col("s"), [" x"]), s="ab  x") == "ab"
+    assert one(spark, T.strip_first_word_in(F.col("s"), ["c++", "a.b"]), s="C++ book") == "book" and one(spark, T.strip_first_word_in(F.col("s"), ["a.b"]), s="axb book") == "axb book"
+
+
+def test_parent_paths_and_places(spark):
+    nodes = [(1, "r", 0), (2, "a", 1), (3, "b", 2), (4, "c", 3), (5, "d", 4), (6, "lost", 77), (7, "x", 8), (8, "y", 7), (9, "z", 8)]
+    got = {r.id: r.path for r in tree.parent_paths(spark.createDataFrame(nodes, "id long, name string, parent long")).collect()}
+    assert got == {1: ["r"], 2: ["r", "a"], 3: ["r", "a", "b"], 4: ["r", "a", "b", "c"], 5: ["r", "a", "b", "c", "d"], 6: ["lost"], 7: None, 8: None, 9: None}
+    chain = spark.range(1, 300).select("id", F.col("id").cast("string").alias("name"), (F.col("id") - 1).alias("parent"))
+    assert {r.id: len(r.path) for r in tree.parent_paths(chain).collect()} == {i: i for i in range(1, 300)}
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 7 > 0, F.lit("big")).otherwise(F.concat(F.lit("l"), (F.col("id") % 3).cast("string"))).alias("l"), (F.col("id") * 37 % 1000).alias("o"), (F.col("id") % 5 == 0).cast("string").alias("h"))
+    placed = catalog.paged_by(rows, ["l"], [F.col("o")], "h", 60).toPandas()
+    for _, part in placed.groupby("l"):
+        part = part.sort_values("pos")
+        assert part["pos"].tolist() == list(range(1, len(part) + 1)) and part["o"].is_monotonic_increasing
+        assert part["header"].tolist() == [True, *(a != b for a, b in zip(part["h"], part["h"][1:]))]
+        assert part["remaining"].tolist() == list(range(len(part) - 1, -1, -1)) and part["page"].tolist() == [k // 60 for k in range(len(part))]
+
+
+def test_walks_in_parts(spark):
+    m = spark.range(1000).select(F.lit("s").alias("site"), F.col("id").cast("string").alias("sid"), (F.col("id") % 9).cast("string").alias("code"))
+    maps = sinks.walk_maps(m, m.select("site", "code", F.array("code").alias("path")).distinct(), 100)
+    assert maps.count() == 10 and maps.select(F.max(F.size("membership"))).first()[0] < 200
+    back, paths = packs.walk_tables(maps)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, m.collect())) and paths.count() == 9
