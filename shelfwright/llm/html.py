@@ -1,10 +1,11 @@
 """Main text of web pages by a recurrent block labeller (operator 5).
 
 A page is read as the sequence of its text blocks. Each block has a vector of its hashed tag path, its hashed
-words and a few numbers; a bidirectional LSTM in numpy reads the whole sequence and says of every block
-whether it belongs to the article. It is trained on a bounded sample of the pages, labelled by their
-semantic tags, and on variants of them: the same texts in other wrappers, with sidebars, notices, forms and
-reader comments put in.
+words and a few numbers, among them how it lies to its neighbours and to the element that holds most of the page's text;
+a bidirectional LSTM in numpy reads the whole sequence and says of every block whether it belongs to the article. It is
+trained on a bounded sample of the pages, labelled by their semantic tags, and on variants of them: the same texts in other
+wrappers, with sidebars, notices, forms and reader comments put in. Most wrappers of the variants have made-up names or none, so that
+place and shape tell what names don't.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, pick, texts_of
 
-#: Pages that the labeller learns from, at most.
-SAMPLE_PAGES = 200
-HIDDEN, PATH_DIM, WORD_DIM, NUMBERS = 16, 64, 24, 6
-EPOCHS, BATCH, RATE, VARIANTS = 20, 32, 0.01, 2
-#: Blocks that training looks at, of one page.
-TRAIN_BLOCKS = 80
+#: Pages that the labeller learns from, at most, and the code points and blocks that such a page has at most. Longer ones teach nothing.
+SAMPLE_PAGES, TRAIN_CHARS, TRAIN_BLOCKS = 200, 1_000_000, 1000
+HIDDEN, PATH_DIM, WORD_DIM, NUMBERS = 16, 160, 24, 14
+EPOCHS, BATCH, RATE, VARIANTS = 12, 32, 0.01, 3
+#: The article's element holds this share of the page's text, and no smaller element in it does.
+MAIN_SHARE = 0.4
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|head)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
@@ -55,12 +56,18 @@ GOOD = re.compile(r"^(?:article|main)$")
 BAD = re.compile(r"^(?:nav|header|footer|aside|form|menu|navbar|sidebar|ad|ads|advert|promo|sponsored|cookie|notice|newsletter|comments?|share|related|banner|widget|login|button|select)$")
 
 
-def blocks(page: str) -> list[tuple[str, list[str], int]]:
+class TagPath(list):
+    """Names of the elements around a block; `open` has the elements' numbers in the page, the outer ones first."""
+
+    open: tuple[int, ...] = ()
+
+
+def blocks(page: str) -> list[tuple[str, TagPath, int]]:
     """Text blocks in page order: (text, tag path with class words, letters in links)."""
-    out: list[tuple[str, list[str], int]] = []
-    stack: list[tuple[str, list[str]]] = []
+    out: list[tuple[str, TagPath, int]] = []
+    stack: list[tuple[str, list[str], int]] = []
     held: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link, at, number = 0, 0, 0, 0
 
     def close() -> None:
         nonlocal linked
@@ -68,7 +75,9 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
         if text and not text.isspace():
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
-                out.append((text, [w for _, names in stack for w in names], linked))
+                path = TagPath(w for _, names, _ in stack for w in names)
+                path.open = tuple(n for tag, _, n in stack if tag not in INLINE)
+                out.append((text, path, linked))
         held.clear()
         linked = 0
 
@@ -113,7 +122,8 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
         if m[4]:
             for c in CLASS.findall(m[4]):
                 names += [w for w in re.split(r"[\s_-]+", "".join(c).lower()) if w]
-        stack.append((tag, names))
+        number += 1
+        stack.append((tag, names, number))
     add(page[at:])
     close()
     return out
@@ -126,10 +136,42 @@ def bucket(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % size
 
 
+def shared(a: tuple[int, ...], b: tuple[int, ...]) -> float:
+    """Share of the elements around two blocks that are around both."""
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return n / max(1, len(a), len(b))
+
+
+def places(page: list[tuple[str, list[str], int]]) -> np.ndarray:
+    """How each block lies in the page, as numbers: elements shared with the block before, behind, and with the first heading; share of
+    the page's text in its own element and in the one around it; whether it is in the page's main element, and behind it; whether
+    the page has an article tag, and the block is in it (1), or is not (-1)."""
+    opens = [getattr(path, "open", ()) for _, path, _ in page]
+    size: dict[int, int] = {}
+    total = sum(len(text) for text, _, _ in page)
+    for (text, _, _), o in zip(page, opens):
+        for x in o:
+            size[x] = size.get(x, 0) + len(text)
+    main = max((x for x in size if size[x] >= MAIN_SHARE * total), default=0)  # inner elements have larger numbers
+    inside = [main in o for o in opens]
+    last = max((i for i, y in enumerate(inside) if y), default=len(page))
+    heads = [o[:-1] for (_, path, _), o in zip(page, opens) if "h1" in path]
+    tagged = [any(GOOD.match(w) for w in path) for _, path, _ in page]
+    some = any(tagged)
+    out = np.zeros((len(page), NUMBERS - 6), np.float32)
+    for i, o in enumerate(opens):
+        out[i] = (
+            shared(opens[i - 1], o) if i else 0, shared(o, opens[i + 1]) if i + 1 < len(page) else 0, shared(heads[0], o[:-1]) if heads else -1,
+            size[o[-1]] / total if o else 0, size[o[-2]] / total if len(o) > 1 else 0, inside[i], i > last, (1 if tagged[i] else -1) if some else 0,
+        )
+    return out
+
+
 def vectors(page: list[tuple[str, list[str], int]]) -> np.ndarray:
     """One row of numbers for each block."""
     n = len(page)
     x = np.zeros((n, PATH_DIM + WORD_DIM + NUMBERS), np.float32)
+    x[:, PATH_DIM + WORD_DIM + 6 :] = places(page)
     for i, (text, path, linked) in enumerate(page):
         for name in path:
             x[i, bucket(name, PATH_DIM)] = 1.0
@@ -143,7 +185,7 @@ def vectors(page: list[tuple[str, list[str], int]]) -> np.ndarray:
             ids.append(b)
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(ids, minlength=WORD_DIM) / len(words)
         tail = text[-1]
-        x[i, PATH_DIM + WORD_DIM :] = (np.log1p(len(words)) / 5, min(1.0, linked / len(text)), tail in ".!?", i / n, (n - i) / n, np.log1p(n) / 6)
+        x[i, PATH_DIM + WORD_DIM : PATH_DIM + WORD_DIM + 6] = (np.log1p(len(words)) / 5, min(1.0, linked / len(text)), tail in ".!?", i / n, (n - i) / n, np.log1p(n) / 6)
     return x
 
 
@@ -269,7 +311,12 @@ def variant(page: list[tuple[str, list[str], int]], labels: list[float | None],
     some = lambda xs: xs[rng.integers(len(xs))]
     parts: list[tuple[str, list[int]]] = []
 
-    def wrap(tag: str, inside: str) -> str:
+    hidden = float(some((0.0, 0.6, 1.0)))  # how many wrappers of this page have names that tell nothing
+
+    def wrap(tag: str, inside: str, plain: bool = False) -> str:
+        if not plain and tag not in ("article", "main") and rng.random() < hidden:
+            name = "".join(chr(97 + k) for k in rng.integers(0, 26, int(rng.integers(3, 12))))
+            tag = some(("div", "div", "section")) + some(("", f' class="{name}"', f' class="{name}"', f' id="{name}"'))
         return f"<{tag}>{inside}</{tag.split()[0]}>"
 
     def grid() -> list[str]:
@@ -282,7 +329,7 @@ def variant(page: list[tuple[str, list[str], int]], labels: list[float | None],
         """Divs with many class words around what a wrapper holds, mostly those that the page has everywhere."""
         if rng.random() < deep:
             for words in usual if rng.random() < 0.7 else grid():
-                inside = wrap(f'div class="{words}"', inside)
+                inside = wrap(f'div class="{words}"', inside, True)
         return inside
 
     def menu(tag: str) -> tuple[str, list[int]]:
@@ -291,13 +338,24 @@ def variant(page: list[tuple[str, list[str], int]], labels: list[float | None],
 
     def aside(tag: str) -> tuple[str, list[int]]:
         k = int(rng.integers(1, 4))
-        texts = [some(good) if rng.random() < 0.4 else some(short) for _ in range(k)]
+        texts = [some(good) if rng.random() < 0.5 else some(short) for _ in range(k)]
         inner = "".join((f"<p>{e(t)}</p>" if rng.random() < 0.6 else f"<div>{e(t)}</div>") for t in texts) if k > 1 or rng.random() < 0.5 else e(texts[0])
         return wrap(tag, nested(inner)), [0] * k
 
     head = [menu(some(MENU))] if rng.random() < 0.9 else []
+    def comments() -> tuple[str, list[int]]:
+        """Reader comments: name and date, a text, perhaps a button, each in an element or all in a row."""
+        inner, ys, each = "", [], rng.random() < 0.5
+        for _ in range(int(rng.integers(1, 5))):
+            one = [some(short), some(good)] + ([some(short)] if rng.random() < 0.4 else [])
+            one = one[1:] if rng.random() < 0.3 else one
+            part = "".join(f"<p>{e(t)}</p>" if len(t) > 40 or rng.random() < 0.5 else f"<div>{e(t)}</div>" for t in one)
+            inner += wrap(some(OTHER), part) if each else part
+            ys += [0] * len(one)
+        return wrap(some(('div class="comments"', 'section id="comments"', 'div class="comment"')), nested(inner)), ys
+
     head += [aside(some(OTHER)) for _ in range(int(rng.integers(0, 3)))]
-    tail = [aside(some(OTHER)) for _ in range(int(rng.integers(1, 4)))]
+    tail = [comments() if rng.random() < 0.35 else aside(some(OTHER)) for _ in range(int(rng.integers(1, 4)))]
     first = rng.random() < 0.8
     inner = [((f"<h1>{e(t)}</h1>" if k == 0 and first else f"<p>{e(t)}</p>"), [1]) for k, t in enumerate(good)]
     if rng.random() < 0.3:
@@ -307,7 +365,7 @@ def variant(page: list[tuple[str, list[str], int]], labels: list[float | None],
     parts += tail
     body = "".join(h for h, _ in parts)
     if rng.random() < 0.4:
-        body = wrap(some(('div class="wrapper"', 'div id="page"', "div")), body)
+        body = wrap(some(('div class="wrapper"', 'div id="page"', "div")), body, True)
     return f"<html><body>{body}</body></html>", [y for _, ys in parts for y in ys]
 
 
@@ -316,8 +374,8 @@ def train(sample: list[str], seed: int = 3) -> Labeller:
     rng = np.random.default_rng(seed)
     examples = []
     for page in sample:
-        found = blocks(page)[:TRAIN_BLOCKS]
-        if not found:
+        found = blocks(page)
+        if not 0 < len(found) <= TRAIN_BLOCKS:
             continue
         labels = [weak_label(p) for _, p, _ in found]
         if all(y is not None for y in labels):
@@ -334,13 +392,14 @@ def train(sample: list[str], seed: int = 3) -> Labeller:
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Labeller:
-    """Train on `sample_pages` pages at most, chosen by a hash of their id; they are all that the driver gets."""
-    known = pick(pages, "page_id", "html").where("html is not null")
+    """Train on `sample_pages` pages at most, chosen by a hash of their id; they are all that the driver gets. Pages of more than TRAIN_CHARS
+    code points or TRAIN_BLOCKS blocks are not learned from."""
+    known = pick(pages, "page_id", "html").where(F.length("html") <= TRAIN_CHARS)
     place = F.shiftrightunsigned(F.xxhash64("page_id", F.lit("sample")), 1)
     # a share that holds about twice the sample is sorted, not all pages
     some = known.where(place <= 2 * int(2**62 * min(1.0, (2 * sample_pages + 20) / max(1, known.count()))) - 1)
     rows = some.orderBy(place, "page_id").limit(sample_pages).collect()
-    return train([r["html"][:200_000] for r in rows])
+    return train([r["html"] for r in rows])
 
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
