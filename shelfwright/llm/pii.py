@@ -3,7 +3,8 @@
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers. Each distinct value is a protected
 entity. The corpus then tells which words of the texts that hold an entity disclose it: a word t discloses entity v
 if knowing t removes most of v's information, PMI(v, t) / IC(v) = 1 + log p(v | t) / IC(v) at or over a threshold,
-counted over whole distinct texts. Such words are marked wherever they stand, and generalised when texts are cleaned.
+counted over whole distinct texts. Such words are marked wherever they stand. When texts are cleaned they are generalised to
+[TERM]; those that give an entity away in full (REMOVAL) are removed.
 """
 
 from __future__ import annotations
@@ -11,16 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, save
+from .common import fresh, pick, save
 
-#: Kinds in their order, patterns (possessive: nothing after a repeat could make it give back), and a cheap test for a text.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+#: Kinds in their order, patterns (possessive: nothing after a repeat could make it give back), and a cheap test for a text. A run is
+#: tried from its start only (or from the end of the match before): from inside, the same would follow. So time is in proportion to length.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Distinct texts in which a word must stand with an entity, and the share of the entity's information it must give.
 MIN_TEXTS, DISCLOSURE = 3, 0.85
+#: From this share on a term is removed, not generalised.
+REMOVAL = 0.999
 #: Disclosing terms that are broadcast, at most; more are joined by shuffling the words.
 BROADCAST_TERMS = 400_000
 #: Stands for a base span while words are read: a code point that is no character.
@@ -95,13 +99,13 @@ def word_hashes(text: Column) -> Column:
 
 
 def replaced(text: Column, spans: Column, name) -> Column:
-    """The text with name(kind) for each span; overlapping spans are replaced as one, by the earliest (then longest)."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"))))
+    """The text with name(span) for each span; overlapping spans are replaced as one, by the earliest (then longest)."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"), s["value"].alias("value"))))
 
     def step(acc: Column, s: Column) -> Column:
         end = -s["last"]
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        new = F.struct(end.alias("at"), F.concat(acc["out"], gap, name(s["kind"])).alias("out"))
+        new = F.struct(end.alias("at"), F.concat(acc["out"], gap, name(s)).alias("out"))
         old = F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out"))
         return F.when(s["start"] >= acc["at"], new).otherwise(old)
 
@@ -117,39 +121,41 @@ def together(base: DataFrame, min_texts: int) -> tuple[DataFrame, DataFrame]:
     alone = save(held.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= min_texts))
     asked = held.join(alone, "entity", "left_semi").groupBy("tk").agg(F.collect_list("entity").alias("entities"))
     texts = some.groupBy("tk").agg(F.first(F.struct("text", "spans")).alias("x")).join(asked, "tk")
-    rest = F.regexp_replace(replaced(F.col("x.text"), F.col("x.spans"), lambda kind: F.lit(GAP)), rf"\p{{L}}*+{GAP}(?:\p{{L}}|{GAP})*+", " ")
+    rest = F.regexp_replace(replaced(F.col("x.text"), F.col("x.spans"), lambda s: F.lit(GAP)), rf"\p{{L}}*+{GAP}(?:\p{{L}}|{GAP})*+", " ")
     pairs = texts.select("entities", F.explode(word_hashes(rest)).alias("term")).select(F.explode("entities").alias("entity"), "term")
     return pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_texts), alone
 
 
 def disclosing(base: DataFrame, docs: DataFrame, min_texts: int, disclosure: float) -> DataFrame:
-    """The terms that give away an entity, by counts over distinct texts of the whole corpus."""
+    """(term, whole): the terms that give away an entity, by counts over distinct texts of the whole corpus; whole: one of them in full."""
     both, alone = together(base, min_texts)
     both = save(both)
-    total = docs.select(F.approx_count_distinct("tk").alias("n")).first()["n"]
+    total = docs.select("tk").distinct().count()
     frequency = docs.select(F.explode(word_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
     pairs = both.join(frequency, "term").join(alone, "entity")  # the words are counted first, whatever terms are asked for
     share = F.least(F.lit(1.0), F.col("both") / F.col("with_term"))
     information = F.ln(F.lit(float(max(total, 2))) / F.col("with_entity"))
-    return pairs.where(1 + F.ln(share) / F.greatest(information, F.lit(1e-9)) >= disclosure).select("term").distinct()
+    told = (1 + F.ln(share) / F.greatest(information, F.lit(1e-9))).alias("told")
+    return pairs.select("term", told).where(F.col("told") >= disclosure).groupBy("term").agg((F.max("told") >= REMOVAL).alias("whole"))
 
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """All places of the terms in all texts: (doc_id, tk, terms), array<struct<start, end>>."""
+    """All places of the terms in all texts: (doc_id, tk, terms), array<struct<start, end, whole>>."""
     terms = save(terms)
     if terms.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
-    asked = docs.select("tk", F.explode(word_hashes(F.col("text"))).alias("term")).join(terms, "term").groupBy("tk").agg(F.collect_set("term").alias("asked"))
+    asked = docs.select("tk", F.explode(word_hashes(F.col("text"))).alias("term")).join(terms, "term").groupBy("tk").agg(F.collect_set("term").alias("asked"), F.collect_set(F.when(F.col("whole"), F.col("term"))).alias("wholes"))
     rows = docs.join(save(asked), "tk").dropDuplicates(["doc_id", "tk"])
     words, gaps = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["w"])
-        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-        return F.struct(end.alias("at"), F.when(F.array_contains("asked", F.xxhash64(F.lower(x["w"]))), more).otherwise(acc["out"]).alias("out"))
+        term = F.xxhash64(F.lower(x["w"]))
+        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.array_contains("wholes", term).alias("whole"))))
+        return F.struct(end.alias("at"), F.when(F.array_contains("asked", term), more).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,whole:boolean>>").alias("out"))
     pairs = F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
     return rows.select("doc_id", "tk", F.aggregate(pairs, zero, step, lambda acc: acc["out"]).alias("terms"))
 
@@ -158,7 +164,7 @@ def find_spans(docs: DataFrame, min_texts: int = MIN_TEXTS, disclosure: float =
     """All spans of every whole text: (doc_id, tk, spans, base), arrays of (kind, start, end, value) by kind and start.
 
     `tk` is a hash of the text. base holds only the pattern matches; spans holds every place of a disclosing term too
-    (value null), in texts with and without the entity. A null text is empty; repeated rows keep their own spans; no
+    (value 'whole' if it gives an entity away in full, else null), in texts with and without the entity. A null text is empty; repeated rows keep their own spans; no
     rows give no rows; other columns are not read.
     """
     docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tk", F.xxhash64("text"))
@@ -167,7 +173,7 @@ def find_spans(docs: DataFrame, min_texts: int = MIN_TEXTS, disclosure: float =
     terms = occurrences(docs, disclosing(base, docs, min_texts, disclosure)).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "terms")
     marked = base.join(terms, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left")
     outside = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
-    more = F.transform(outside, lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.lit(None).cast("string").alias("value")))
+    more = F.transform(outside, lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.when(t["whole"], F.lit("whole")).alias("value")))
     return marked.select("doc_id", "tk", F.concat("spans", F.coalesce(more, F.array().cast(SPAN))).alias("spans"), F.col("spans").alias("base"))
 
 
@@ -183,17 +189,19 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
-    """The documents with their personal data generalised to [EMAIL], [IP], [CARD], [PHONE], and disclosing terms to [TERM].
+    """The documents with their personal data generalised to [EMAIL], [IP], [CARD], [PHONE], and disclosing terms to [TERM]; terms that
+    give an entity away in full are removed.
 
-    All columns stay; n_chars, where there is one, follows the text. Overlapping spans are replaced as one, by the
-    earliest (then longest). A null text stays null.
+    All columns stay, whatever their names; n_chars, where there is one, follows the text. Overlapping spans are replaced as one, by the
+    earliest (then longest). A null text stays null, an empty one empty; repeated rows are all cleaned; rows without doc_id too.
     """
+    other_id, other_tk, key, spans = (fresh(docs, x) for x in ("other_id", "other_tk", "key", "spans"))
     found = find_spans(docs, min_texts, disclosure).where(F.size("spans") > 0).dropDuplicates(["doc_id", "tk"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk")), "left")
+    found = found.select(F.col("doc_id").alias(other_id), F.col("tk").alias(other_tk), F.col("spans").alias(spans))
+    joined = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_tk)), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = replaced(F.col("text"), F.col("_spans"), lambda kind: F.get(names, kind))
-    new = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text))
+    text = replaced(F.col("text"), F.col(spans), lambda s: F.when((s["kind"] == 4) & s["value"].isNotNull(), F.lit("")).otherwise(F.get(names, s["kind"])))
+    new = joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return new.select(*docs.columns)
+        new = new.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return new.select(*[F.col(f"`{c}`") for c in docs.columns])
