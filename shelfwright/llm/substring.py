@@ -32,8 +32,9 @@ SHARD_SEGMENTS = 20_000
 SYMBOL = 5
 #: Distinct segments that a task puts together before it passes them on.
 TASK_SEGMENTS = 200_000
-#: A key met in this share of the documents is cut into single windows. At most (segments of a document / HOT) keys are.
-HOT = 0.001
+#: A key met more often is cut into single windows, so that no key brings an index more than so many segments. Such keys are told by a
+#: filter of fixed size; another key that it lets through is cut everywhere too.
+HOT = 2_000
 
 
 def segments(texts: list[bytes], n: int = WINDOW) -> tuple[np.ndarray, ...]:
@@ -184,7 +185,7 @@ def kept_segments(texts: list[bytes], n: int, table: np.ndarray, hot: np.ndarray
     row, at, count, key, h, starts = segments(texts, n)
     ok = in_bloom(table, key)
     row, at, count, key = row[ok], at[ok], count[ok], key[ok]
-    one = np.isin(key, hot)
+    one = in_bloom(hot, key)
     times = np.where(one, count, 1)
     step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
     row, at, key, one, count = np.repeat(row, times), np.repeat(at, times) + step, np.repeat(key, times), np.repeat(one, times), np.repeat(np.where(one, 1, count), times)
@@ -204,7 +205,7 @@ def symbols(held: bytes) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-def segment_classes(docs: DataFrame, n: int, spark_filter, hot: np.ndarray) -> DataFrame:
+def segment_classes(docs: DataFrame, n: int, spark_filter, hot) -> DataFrame:
     """(key, words, low, high): distinct segments of each task, with the smallest and largest document there. Equal segments
     are put together before anything is shuffled."""
 
@@ -218,7 +219,7 @@ def segment_classes(docs: DataFrame, n: int, spark_filter, hot: np.ndarray) -> D
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, part in blocks(texts_of(batch)):
-                row, _, held, key = kept_segments(part, n, spark_filter.value, hot)
+                row, _, held, key = kept_segments(part, n, spark_filter.value, hot.value)
                 for w, k, d in zip(held, key.tolist(), ids[row + first].tolist()):
                     if (known := found.get(w)) is None:
                         found[w] = [k, d, d]
@@ -235,13 +236,13 @@ def segment_classes(docs: DataFrame, n: int, spark_filter, hot: np.ndarray) -> D
     return map_arrow(docs, run, "key long, words binary, low long, high long")
 
 
-def segment_places(docs: DataFrame, n: int, spark_filter, hot: np.ndarray, spark_wanted) -> DataFrame:
+def segment_places(docs: DataFrame, n: int, spark_filter, hot, spark_wanted) -> DataFrame:
     """(doc_id, tk, at, h1, h2) of the segments that may have to give up words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in blocks(texts_of(batch)):
-                row, at, held, _ = kept_segments(part, n, spark_filter.value, hot)
+                row, at, held, _ = kept_segments(part, n, spark_filter.value, hot.value)
                 digest = digests(held)
                 ok = in_bloom(spark_wanted.value, np.ascontiguousarray(digest[:, 0]))
                 where = pa.array(row[ok] + first)
@@ -289,14 +290,13 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     joined by one space; spans is array<struct<first_word, words>> of what was removed. A null text has no
     words; texts under n words keep all. Rows with null doc_id are kept whole and stand for no other; rows with
     equal doc_id are never each other's repeats. No rows give no rows; other columns are not read. doc_id must
-    be an integer.
+    be an integer. Words are compared by hashes of 40 bits, thirteen in a row.
     """
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tk", F.xxhash64("text"))
     known = docs.where("doc_id is not null and text is not null")
     keys = save(repeated_keys(known, n))
-    hot_from = max(200, int(HOT * known.count()))
-    hot = np.array(sorted(r["key"] for r in keys.where(F.col("count") > hot_from).select("key").collect()), np.int64)
+    hot = spark.sparkContext.broadcast(bloom(keys.where(F.col("count") > HOT)))
     table = spark.sparkContext.broadcast(bloom(keys))
 
     shards = segment_classes(known, n, table, hot).repartition("key").sortWithinPartitions("key", "words")
