@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Above so many keywords in all, rules are joined instead of folded into an expression; rule tables are broadcast up to RULES_MOST rows.
-FOLD_KEYWORDS, RULES_MOST = 600, 200_000
+#: Above so many keywords in all, rules are joined instead of folded into an expression (whose code then grows too long to be compiled); rule tables are broadcast up to RULES_MOST rows.
+FOLD_KEYWORDS, RULES_MOST = 3_000, 200_000
 
 Rules = list[tuple[str, list[str]]]
 
