@@ -4,34 +4,23 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import staging_dir
+
 #: Rows in one Arrow batch. Documents can be long, so batches are kept small.
 BATCH_ROWS = 500
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without: it gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shelfwright-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def save(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df to the shared folder as Parquet and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shelfwright-{uuid.uuid4().hex}"
+    """Cut lineage: write df to the shared folder as Parquet and read it again. sources.staging.clean_up removes what was written."""
+    path = staging_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

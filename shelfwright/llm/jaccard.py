@@ -7,6 +7,10 @@ that the threshold admits are compared. Each bit in which two bitmaps differ is
 don't share, so bit counts bound the overlap from above. What passes is checked by intersecting the
 exact sorted arrays.
 
+A key that very many sets share is mostly one template's near copies. Such sets are first compared with a few pivots of their key, exactly;
+those that a pivot links are one component, and pairs inside it are never looked at: the key's tiles hold the pairs of the other sets, and of
+those with the component.
+
 A tile of m near copies has m^2 links. So tiles give only a spanning forest of what passes the bound, best
 first; these edges are checked exactly and joined to components. Sets that passing pairs connect and
 that still lie in several components are then read again, once each with their exact arrays, and every pair
@@ -31,8 +35,10 @@ WORDS = 4
 PERCENT = 85
 #: A shingle in this share of the documents of a task is reported as frequent; it goes last in the order.
 FREQUENT = 0.001
-#: Rows of a tile; a larger group becomes tiles for all pairs of its blocks.
+#: Rows of a tile; a larger group becomes tiles for pairs of its blocks.
 TILE_ROWS = 2048
+#: Sets that share a key, from which pivots are tried, and pivots for each key, one after the other.
+PIVOT_ROWS, PIVOTS = 2048, 3
 #: Sets of a unit that are compared exactly in one tile; a larger unit becomes tiles for all pairs of its blocks.
 UNIT_ROWS = 4096
 
@@ -52,6 +58,15 @@ def shingles(texts: list[bytes], n: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.unique(runs[end - k : end - n + 1])
 
 
+def set_digest(s: np.ndarray) -> bytes:
+    """Tells equal shingle sets."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def number_of(sig: bytes) -> int:
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
 def frequent_shingles(docs: DataFrame, n: int) -> dict[int, int]:
     """Shingles that many documents hold, with their counts: at most (mean set size / FREQUENT) of them.
 
@@ -98,18 +113,19 @@ def folded(bits: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, n: int, percent: int, frequent: dict[int, int]) -> DataFrame:
-    """(doc_id, n_shingles, sig, prefix, bits) of every document; sig tells equal sets."""
+    """(doc_id, tk, n_shingles, sig, rep, prefix, bits) of every document; sig tells equal sets, rep is its first half as a number."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     often = np.array(sorted(x % 2**64 for x in frequent), np.uint64)
     times = np.array([frequent[int(x) if x < 2**63 else int(x) - 2**64] for x in often.tolist()], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sig, prefix, bits = [], [], [], []
+            size, sig, rep, prefix, bits = [], [], [], [], []
             for s in shingles(texts_of(batch), n):
                 size.append(len(s))
                 if not len(s):
                     sig.append(None)
+                    rep.append(None)
                     prefix.append([])
                     bits.append(None)
                     continue
@@ -121,12 +137,13 @@ def features(docs: DataFrame, n: int, percent: int, frequent: dict[int, int]) ->
                     head = s[order][:p]
                 else:
                     head = s[:p]
-                sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sig.append(set_digest(s))
+                rep.append(number_of(sig[-1]))
                 prefix.append(head.view(np.int64))
                 bits.append(bitmap(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "sig", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(rep, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "tk", "n_shingles", "sig", "rep", "prefix", "bits"])
 
-    return map_arrow(docs, run, f"doc_id {kind}, n_shingles long, sig binary, prefix array<long>, bits binary")
+    return map_arrow(docs, run, f"doc_id {kind}, tk long, n_shingles long, sig binary, rep long, prefix array<long>, bits binary")
 
 
 def passing(rep: np.ndarray, size: np.ndarray, bits: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -287,15 +304,15 @@ def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
 
 
 def sorted_arrays(ends: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(rep, s): the sorted shingle hashes of the documents of `ends`, from their texts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """(rep, s): the sorted shingle hashes of the sets of `ends` (rep, doc_id, tk), from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingles(texts_of(batch), n)], pa.binary())], ["rep", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in shingles(texts_of(batch), n)], pa.binary())], ["rep", "s"])
 
-    some = docs.join(ends.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return map_arrow(some, run, f"rep {kind}, s binary").dropDuplicates(["rep"])
+    asked = ends.select("rep", F.col("doc_id").alias("end_id"), F.col("tk").alias("end_tk"))
+    some = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("end_id")) & (F.col("tk") == F.col("end_tk"))).select("rep", "text")
+    return map_arrow(some, run, "rep long, s binary").dropDuplicates(["rep"])
 
 
 def check_edges(edges: DataFrame, exact: DataFrame, percent: int) -> DataFrame:
@@ -314,7 +331,6 @@ def check_edges(edges: DataFrame, exact: DataFrame, percent: int) -> DataFrame:
 def held_keys(reps: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, rep) of the prefix keys that a fixed-size filter of `keys` lets through: all of them, and a few others."""
     table = reps.sparkSession.sparkContext.broadcast(bloom(keys))
-    kind = reps.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,60 +338,114 @@ def held_keys(reps: DataFrame, keys: DataFrame) -> DataFrame:
             key = prefix.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(prefix)), prefix.value_lengths().to_numpy(zero_copy_only=False))
             ok = in_bloom(table.value, key)
-            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), batch.column("doc_id").take(pa.array(row[ok]))], ["key", "rep"])
-
-    return map_arrow(reps.select("doc_id", "prefix"), run, f"key long, rep {kind}")
-
-
-def jaccard_classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Classes of documents linked by 100 * intersection >= percent * union of their n-word shingle sets.
-
-    Returns (doc_id, n_shingles, component_id) for every row: component_id is the smallest doc_id that
-    links reach, the document's own included. Texts that are null or hold no word have the empty set and
-    link with nothing; texts shorter than n words have their whole sequence as one shingle. Repeated rows
-    stay and get the same class. Rows without doc_id are kept, with component_id null unless a copy has one.
-    No rows give no rows. Other columns are not read.
-    """
-    docs = pick(docs, "doc_id", "text")
+            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), batch.column("rep").take(pa.array(row[ok]))], ["key", "rep"])
+
+    return map_arrow(reps.select("rep", "prefix"), run, "key long, rep long")
+
+
+def pivot_links(hot: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For the sets (key, rep) of hot keys: (key, rep, main), whether a set is in its key's largest component by links with pivots; and these
+    links (a, b). A pivot is a set that no pivot of the key before has linked."""
+    hot = save(hot)
+    if not hot.limit(1).count():
+        return hot.withColumn("main", F.lit(True)), hot.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    ends = hot.select("rep").distinct().join(reps.select("rep", "doc_id", "tk"), "rep")
+    exact = save(sorted_arrays(ends, docs, n))
+    left, links = hot, None
+    for k in range(PIVOTS):
+        pivots = left.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias("pivot"))
+        asked = save(left.join(pivots, "key").where("rep <> pivot").select("key", "rep", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
+        found = save(check_edges(asked.select("a", "b").distinct(), exact, percent))
+        links = found if links is None else links.union(found)
+        left = save(asked.join(found, ["a", "b"], "left_anti").select("key", "rep"))
+        if not left.limit(1).count():
+            break
+    links = save(links.distinct())
+    labels = hot.join(components(links).select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    labels = save(labels)
+    most = labels.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", "n").alias("most"))
+    return save(labels.join(most, "key").select("key", "rep", (F.col("component") == F.col("most")).alias("main"))), links
+
+
+def in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows (key, rep, main, ...) dealt into tiles: (tile, side, ...). A key of at most `size` rows is one tile, side 0; one whose rows all are in its
+    main component is none. Of a larger one the rows
+    outside its main component make blocks, with a tile for each block (side 0) and each two (sides -1 and -2); so does each of these
+    blocks with each block of the main component, whose rows never meet each other."""
+    outside = F.count(F.when(~F.col("main"), 1))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("all_rows"), F.greatest(F.lit(1), F.ceil(outside / size)).cast("int").alias("nb"), F.ceil((F.count("*") - outside) / size).cast("int").alias("na"), outside.alias("outside"))
+    rows = rows.join(sizes, key)
+    one = F.col("all_rows") <= size
+    own = F.pmod(F.xxhash64("rep", F.lit(key)), F.when(F.col("main"), F.col("na")).otherwise(F.col("nb"))).cast("int")
+    rows = rows.withColumn("own_block", F.when(one, F.lit(0)).otherwise(own))
+    me = F.col("own_block")
+    place = lambda kind, low, high, side: F.struct(F.lit(kind).alias("kind"), low.cast("int").alias("low"), high.cast("int").alias("high"), side.alias("side"))
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    side = lambda j: F.when(me == j, F.lit(0)).when(me < j, F.lit(-1)).otherwise(F.lit(-2))
+    pairs = F.transform(upto("nb"), lambda j: place(0, F.least(me, j), F.greatest(me, j), side(j)))
+    across = F.transform(upto("na"), lambda j: place(1, me, j, F.lit(-1)))
+    inside = F.when(F.col("outside") > 0, F.transform(upto("nb"), lambda j: place(1, j, me, F.lit(-2)))).otherwise(F.array().cast("array<struct<kind:int,low:int,high:int,side:int>>"))
+    alone = F.array(place(0, F.lit(0), F.lit(0), F.lit(0)))
+    tiles = F.when(one & (F.col("outside") > 0), alone).when(F.col("main"), inside).otherwise(F.concat(pairs, across))
+    return rows.withColumn("t", F.explode(tiles)).withColumn("tile", F.xxhash64(key, "t.kind", "t.low", "t.high")).withColumn("side", F.col("t.side")).drop("t", "own_block", "all_rows", "na", "nb", "outside")
+
+
+def text_classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, tk, n_shingles, component, component_id) of every row: tk is a hash of the text, component a number for the class (null for
+    the empty set), component_id its smallest doc_id (null if it has none; a row of the empty set has its own)."""
+    docs = pick(docs, "doc_id", "text").withColumn("tk", F.xxhash64("text"))
     frequent = frequent_shingles(docs, n)
     all_ = save(features(docs, n, percent, frequent))
-    classes = save(all_.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    reps = save(all_.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("sig is not null").dropDuplicates(["doc_id"]))
+    # a set is told by its digest, so rows of one doc_id with different texts, and rows without, link like all others
+    some = all_.where("rep is not null")
+    classes = save(some.groupBy("rep").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "tk")).alias("at")))
+    chosen = classes.select(F.col("rep").alias("own"), F.col("at.doc_id").alias("own_id"), F.col("at.tk").alias("own_tk"))
+    reps = save(some.join(chosen, (F.col("rep") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("tk") == F.col("own_tk"))).select("rep", "doc_id", "tk", "n_shingles", "prefix", "bits").dropDuplicates(["rep"]))
 
-    keys = reps.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("rep"))
+    keys = reps.select(F.explode("prefix").alias("key"), "rep")
     counted = save(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     rows = save(held_keys(reps, counted).join(counted, "key"))
     # keys with the same members are one tile
     members = rows.groupBy("key", "c").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
     shared = save(members.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"))
-    rows = rows.join(shared, "key", "left_semi")
-    rows = rows.join(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "bits"), "rep")
-    blocks = F.ceil(F.col("c") / TILE_ROWS).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = save(
-        rows.select(
-            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "rep", "n_shingles", "bits",
-            F.when(F.col("own") == F.col("other"), F.lit(0)).when(F.col("own") < F.col("other"), F.lit(-1)).otherwise(F.lit(-2)).alias("side"),
-        )
-    )
+    rows = save(rows.join(shared, "key", "left_semi"))
+    solved, near_pivots = pivot_links(rows.where(F.col("c") > PIVOT_ROWS).select("key", "rep"), reps, docs, n, percent)
+    rows = rows.join(solved, ["key", "rep"], "left").select("key", "rep", F.coalesce("main", F.lit(False)).alias("main"))
+    # bitmaps meet the narrow rows at the end only
+    tiles = in_blocks(rows, "key", TILE_ROWS).select("tile", "side", "rep").join(reps.select("rep", "n_shingles", "bits"), "rep")
     dealt = lambda df: df.repartition("tile").sortWithinPartitions("tile", "side")
-    forests = save(tile_forests(dealt(rows), percent))
+    forests = save(tile_forests(dealt(tiles), percent))
     pairs = save(forests.select("a", "b").distinct())
-    exact = save(sorted_arrays(pairs.select(F.explode(F.array("a", "b")).alias("rep")), docs, n))
-    links = save(check_edges(pairs, exact, percent))
+    joined = save(pairs.union(near_pivots).distinct())
+    ends = joined.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "doc_id", "tk"), "rep")
+    exact = save(sorted_arrays(ends, docs, n))
+    links = save(check_edges(pairs, exact, percent).union(near_pivots).distinct())
     parts = components(links)
     # Sets that passing pairs connect are one unit, so that each set is in one unit only. Units whose sets still lie in several
-    # components are checked pair by pair, exactly.
-    units = components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("unit"))
+    # components are checked pair by pair, exactly, but for the pairs inside their largest component.
+    units = components(joined).select(F.col("node").alias("rep"), F.col("component").alias("unit"))
     units = save(units.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "unit", F.coalesce("component", "rep").alias("comp")))
-    mixed = save(units.groupBy("unit").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("unit", "c"))
-    rest = units.join(mixed, "unit").withColumn("blocks", F.ceil(F.col("c") / UNIT_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit("unit")), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), F.lit(0)).when(F.col("own") < F.col("other"), F.lit(-1)).otherwise(F.lit(-2))
-    rest = rest.select(F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "rep", "comp", side.alias("side")).join(exact, "rep")
+    mixed = units.groupBy("unit", "comp").agg(F.count("*").alias("n")).groupBy("unit").agg(F.count("*").alias("comps"), F.sum("n").alias("c"), F.max_by("comp", "n").alias("most"))
+    mixed = save(mixed.where("comps > 1 and c > 2").select("unit", "most"))
+    rest = units.join(mixed, "unit").withColumn("main", F.col("comp") == F.col("most"))
+    rest = in_blocks(rest, "unit", UNIT_ROWS).select("tile", "side", "rep", "comp").join(exact, "rep")
     more = save(tile_links(dealt(rest), percent))
     if more.limit(1).count():
         parts = components(links.union(more))
-    whole = save(classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id")))
-    return all_.select("doc_id", "n_shingles", "sig").join(whole, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    parts = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "first", F.coalesce("component", "rep").alias("component"))
+    parts = save(parts)
+    parts = save(parts.join(parts.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("rep", "component", "component_id"))
+    found = all_.select("doc_id", "tk", "n_shingles", "rep").join(parts, "rep", "left")
+    return found.select("doc_id", "tk", "n_shingles", "component", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Classes of documents linked by 100 * intersection >= percent * union of their n-word shingle sets.
+
+    Returns (doc_id, n_shingles, component_id) for every row: component_id is the smallest doc_id that
+    links reach, the document's own included. Texts that are null or hold no word have the empty set and
+    link with nothing; texts shorter than n words have their whole sequence as one shingle. Repeated rows
+    stay and get the same class; rows of one doc_id with different texts each have their own. Rows without doc_id link too; where no row
+    of a class has one, component_id is null. No rows give no rows. Other columns are not read. Shingles are compared by 64-bit hashes.
+    """
+    return text_classes(docs, n, percent).select("doc_id", "n_shingles", "component_id")
