@@ -252,9 +252,9 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     return map_arrow(pick(docs, "doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double{more}")
 
 
-def identify_rows(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with all their columns, and lang_pred and lang_score as in identify (columns of these names are replaced)."""
-    docs = docs.drop("lang_pred", "lang_score")
+def identify_rows(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The documents with all their columns, and lang_pred and score as in identify under the given names (columns of these are replaced)."""
+    docs = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,9 +265,9 @@ def identify_rows(docs: DataFrame, model: Model) -> DataFrame:
                 top = int(np.argmax(weight))
                 langs.append(model.langs[top] if total else UNKNOWN)
                 scores.append(float(weight[top] / total) if total else 0.0)
-            yield batch.append_column("lang_pred", pa.array(langs, pa.string())).append_column("lang_score", pa.array(scores, pa.float64()))
+            yield batch.append_column(names[0], pa.array(langs, pa.string())).append_column(names[1], pa.array(scores, pa.float64()))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return map_arrow(docs, run, schema)
 
 
