@@ -3,10 +3,11 @@
 Every window of `n` words belongs to the segment around its minimiser (the smallest hash of a few words in a
 row inside it), so equal windows of two documents lie in segments with the same key. Keys met in one
 document only are put aside: a fixed-size filter of the others goes to all tasks. What is left is cut into
-shards by key. A shard is indexed as a compressed FM-index: the Burrows-Wheeler transform of its segments
-in a wavelet matrix of packed bits with sampled ranks. Backward search over it gives the matching
-statistics of the segments, up to the window length: the rows of the index that start with a window, and
-with them the smallest document that holds it. Equal segments are counted once, with their smallest document.
+shards by key. A shard is indexed as a compressed FM-index: the Burrows-Wheeler transform of its segments, read backwards,
+in a wavelet matrix of packed bits with sampled ranks. The segments are streamed through it: backward search, a word more with each step,
+gives their matching statistics - for each place the longest run of words from there that stands elsewhere too. Where they reach the window's length the
+rows of the index tell the smallest document that holds it, and such places in a row are the intervals that are reported.
+Equal segments are counted once, with their smallest document.
 """
 
 from __future__ import annotations
@@ -102,11 +103,14 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search in many short word sequences; patterns of at most 16 words."""
+    """Matching statistics of many short word sequences among each other, up to CAP words. The sequences are indexed backwards, so that a step
+    of backward search adds the word that follows."""
+
+    CAP = 16
 
     def __init__(self, sequences: list[np.ndarray]):
         sizes = np.array([len(s) for s in sequences], np.int64)
-        flat = np.concatenate(sequences)
+        flat = np.concatenate([s[::-1] for s in sequences])
         self.alphabet, ids = np.unique(flat, return_inverse=True)
         text = np.zeros(len(flat) + len(sizes), np.int64)  # 0 stands after each sequence
         owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -123,23 +127,30 @@ class FMIndex:
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))))
         self.bwt = WaveletMatrix(text[self.suffix - 1], len(self.alphabet) + 1)
         self.owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+        self.last = self.starts + sizes - 1  # where a sequence's first word stands
 
-    def match(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [low, high) of the index that start with the `length` symbols at each text position.
+    def matching_statistics(self, sequence: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each place in a sequence of the index: words of the longest run from there that stands elsewhere too (CAP at most), and the rows
+        [low, high) of the index for the run of `length` words.
 
-        The positions are of the index's own text, so a search that is down to one row has found
-        itself and stops early; its row is not made exact.
+        A run that is down to one row has found itself and is not followed further, nor are its rows made exact.
         """
+        at, end = self.last[sequence] - place, self.starts[sequence]
         low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.text), np.int64)
+        found, rows = np.zeros(len(at), np.int64), (low.copy(), low + 1)
         live = np.arange(len(at))
-        for step in range(length - 1, -1, -1):
-            c = self.text[at[live] + step]
+        for step in range(self.CAP):
+            live = live[at[live] - step >= end[live]]
+            if not len(live):
+                break
+            c = self.text[at[live] - step]
             i, j = self.bwt.rank(c, low[live], high[live])
             low[live], high[live] = self.first[c] + i, self.first[c] + j
             live = live[j - i > 1]
-            if not len(live):
-                break
-        return low, high
+            found[live] = step + 1
+            if step + 1 == length:
+                rows = low.copy(), high.copy()
+        return found, *rows
 
 
 def smallest_holders(sequences: list[np.ndarray], holder: np.ndarray, n: int) -> list[np.ndarray]:
@@ -147,10 +158,9 @@ def smallest_holders(sequences: list[np.ndarray], holder: np.ndarray, n: int) ->
     index = FMIndex(sequences)
     counts = np.array([len(s) - n + 1 for s in sequences], np.int64)
     owner = np.repeat(np.arange(len(counts)), counts)
-    at = index.starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    low, high = index.match(at, n)
+    found, low, high = index.matching_statistics(owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts), n)
     out = holder[owner].copy()
-    several = np.flatnonzero(high - low > 1)
+    several = np.flatnonzero(found >= n)
     if len(several):
         pairs, back = np.unique(low[several], return_inverse=True)
         ends = np.zeros(len(pairs), np.int64)
@@ -283,7 +293,7 @@ def search_shards(classes: DataFrame, n: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """Remove every word that lies in an n-word window which also starts in a document with a smaller doc_id.
+    """Remove every word that lies in an n-word window (n at most FMIndex.CAP) which also starts in a document with a smaller doc_id.
 
     Words are runs of characters other than ASCII white space, unchanged; windows are judged on the input.
     Returns (doc_id, n_words, n_removed, kept, text_removed as spans): kept is the text of the words left,
