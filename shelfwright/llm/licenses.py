@@ -16,7 +16,7 @@ from .common import pick, save
 
 #: Phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Templates: label and text. Usual notices of well-known licenses.
+#: Templates, label and text. Usual notices of well-known licenses, and sentences of their bodies.
 TEMPLATES = (
     ("mit", "released under the MIT License"),
     ("mit", "Permission is hereby granted free of charge to any person obtaining a copy of this software"),
@@ -30,6 +30,21 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under CC BY-SA 4.0"),
     ("cc0", "dedicated to the public domain under CC0"),
     ("reserved", "All rights reserved"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "THE SOFTWARE IS PROVIDED AS IS WITHOUT WARRANTY OF ANY KIND EXPRESS OR IMPLIED INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY"),
+    ("apache-2.0", "you may not use this file except in compliance with the License You may obtain a copy of the License at"),
+    ("apache-2.0", "software distributed under the License is distributed on an AS IS BASIS WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND either express or implied"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
+    ("gpl", "free software you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("lgpl", "free software you can redistribute it and or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "free software you can redistribute it and or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License v 2.0"),
+    ("isc", "Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
 )
 PERCENT = 80
 #: Words of a run across line ends, for each word of the template.
