@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .centroids import CLUSTERS, DIMS, ROUNDS, SCALE, SEED
+from .chat import BODY, LEARNED, MARKS, OTHER_END, ROLE, ROLE_END
 from .decontam import LONG, MASKS, PERCENT as LEAK_PERCENT, SHORT_MASK, SHORT_SPAN, SPAN, WINDOW as LEAK_WINDOW
 from .licenses import LOWER, PERCENT as LICENSE_PERCENT, PHRASES, TEMPLATES, UPPER, template_tokens
 
@@ -69,4 +71,38 @@ best AS (SELECT doc_id, item_id, shift, size, CAST(list_max(nows) AS BIGINT) AS
 top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, item_start, shift) AS rn FROM best WHERE 100 * n_equal >= {LEAK_PERCENT} * size)
 SELECT doc_id, item_id, CAST(item_start + shift AS BIGINT) AS doc_start, CAST(item_start AS BIGINT) AS item_start, CAST(size AS BIGINT) AS n_window, n_equal, n_equal / size AS similarity FROM top WHERE rn = 1"""
 
-ORACLES = {"op1_substring_dedup": SUBSTRING, "op4_jaccard_join": JACCARD, "op6_license_scan": LICENSES, "op10_decontamination": LEAKS}
+def _rounds() -> str:
+    """Rounds of assignment and new centroids, written out one after the other."""
+    out = []
+    for i in range(ROUNDS + 1):
+        out.append(f"""d{i} AS (SELECT rn, c, list_sum([(q[j] - m[j]) * (q[j] - m[j]) FOR j IN range(1, {DIMS + 1})]) AS d FROM v, c{i}),
+a{i} AS (SELECT rn, c, d FROM (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY d, c) AS k FROM d{i}) WHERE k = 1)""")
+        if i < ROUNDS:
+            out.append(f"""s{i} AS (SELECT c, j, sum(q[j]) AS s, count(*) AS n FROM a{i} JOIN v USING (rn), range(1, {DIMS + 1}) t(j) GROUP BY ALL),
+n{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS m FROM s{i} GROUP BY c),
+c{i + 1} AS (SELECT c{i}.c, coalesce(n{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN n{i} USING (c))""")
+    return ",\n".join(out)
+
+
+CENTROIDS = f"""
+WITH v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id, embedding) AS rn, [CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+    WHERE len(embedding) = {DIMS} AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = {DIMS}),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY h, q) - 1 AS INTEGER) AS c, q AS m FROM (SELECT q, sha256('{SEED}:' || vec_id) AS h FROM v) ORDER BY h, q LIMIT {CLUSTERS}),
+{_rounds()},
+i AS (SELECT c, CAST(sum(d) AS BIGINT) AS s FROM a{ROUNDS} GROUP BY c)
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, s AS cluster_inertia, CAST((SELECT sum(s) FROM i) AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN v USING (rn) JOIN i USING (c) JOIN c{ROUNDS} USING (c)"""
+
+_SAID = """t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, CAST(i AS BIGINT), CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i))"""
+_ESCAPE = rf"'([<\[])(\\*{BODY})', '\1\\\2', 'g'"
+_MARKS = "CASE role " + " ".join(f"WHEN '{r}' THEN {len(h) + len(t)}" for r, (h, t) in MARKS.items()) + f" ELSE {len(ROLE) + len(ROLE_END) + len(OTHER_END)} + length(regexp_replace(role, {_ESCAPE})) END"
+
+CHAT = f"""
+WITH {_SAID}
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = '{LEARNED}'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = '{LEARNED}'), '')) AS loss_sha256,
+    CAST(sum(length(regexp_replace(text, {_ESCAPE})) + {_MARKS}) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens
+FROM t GROUP BY conv_id"""
+
+ORACLES = {"op11_centroid_clustering": CENTROIDS, "op13_chat_format": CHAT, "op1_substring_dedup": SUBSTRING, "op4_jaccard_join": JACCARD, "op6_license_scan": LICENSES, "op10_decontamination": LEAKS}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, html, langid, licenses, pii
+from . import centroids, chat, decontam, fingerprint, html, langid, licenses, periodic, pii
 from .jaccard import jaccard_classes
 from .oracles import ORACLES
 from .packing import pack_documents
@@ -79,6 +79,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(chat.probe(spark))
+    return chat.read_back(chat.format_turns(chat.as_messages(said)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -91,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_token_counts": op9_token_counts,
         "op10_decontamination": op10_decontamination,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_chat_format": op13_chat_format,
     }
 
 
