@@ -129,7 +129,7 @@ def cluster(embeddings: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, dims
         step = map_arrow(state, _next(history, last), f"vec_id {kind}, cluster int, distance long" if last else f"vec_id {kind}, {STATE}")
         state = save(step)
     if not rounds:
-        state = state.select("vec_id", "cluster", (F.col("upper") * F.col("upper")).cast("long").alias("distance"))
+        state = save(map_arrow(state, _next(history, True), f"vec_id {kind}, cluster int, distance long"))
     sums = {r["cluster"]: int(r["s"]) for r in state.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}  # k rows
     digest = lambda c: hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest()
     facts = [(j, sums.get(j, 0), sum(sums.values()), digest(history[-1][j])) for j in range(k)]

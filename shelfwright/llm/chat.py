@@ -59,10 +59,12 @@ class Costs:
 
 @dataclass
 class Visitor:
-    """Flattens the parts of one message. spans: where its texts lie in `out`, in code points; attachments: (number, kind, ref, tokens)."""
+    """Flattens the parts of one message. spans: where its texts lie in `out`, in code points, texts in a row as one (so that no mark arises where
+    they meet); attachments: (number, kind, ref, tokens)."""
 
     costs: Costs
     out: list[str] = field(default_factory=list)
+    held: list[str] = field(default_factory=list)
     at: int = 0
     spans: list[tuple[int, int]] = field(default_factory=list)
     attachments: list[tuple[int, str, str, int]] = field(default_factory=list)
@@ -76,9 +78,13 @@ class Visitor:
         getattr(self, f"visit_{kind}" if kind in ("text", *ATTACHED) else "visit_other")(part)
 
     def visit_text(self, part: dict) -> None:
-        piece, before = escaped(part.get("text") or ""), self.at
-        self.put(piece)
+        self.held.append(part.get("text") or "")
+
+    def end_text(self) -> None:
+        piece, before = escaped("".join(self.held)), self.at
+        self.held.clear()
         if piece:
+            self.put(piece)
             self.spans.append((before, self.at))
 
     def visit_image(self, part: dict) -> None:
@@ -95,6 +101,7 @@ class Visitor:
         self.visit_text(part)
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.end_text()
         number = len(self.attachments)
         self.put(f"[{kind}:{number}]")
         self.attachments.append((number, kind, part.get("ref") or "", tokens))
@@ -115,6 +122,7 @@ def format_message(role: str, parts: list[dict], costs: Costs) -> Visitor:
     visitor.put(head)
     for part in parts:
         visitor.visit(part)
+    visitor.end_text()
     visitor.put(tail)
     return visitor
 

@@ -143,13 +143,14 @@ def runs(codes: np.ndarray) -> list[tuple[int, int, int]]:
     while TIMES * low <= n:
         blocks = n // size
         starts = np.flatnonzero(again[: blocks * size].reshape(blocks, size).max(1) < 2 * size) * size
+        reach = np.zeros(n, np.int64)  # how far the runs go that begin here or before
         if len(starts) and found:
-            reach = np.zeros(n, np.int64)
             np.maximum.at(reach, [s for s, _ in found], [e for _, e in found])
-            starts = starts[np.maximum.accumulate(reach)[starts] < np.minimum(starts + 3 * size - 1, n)]
+            reach = np.maximum.accumulate(reach)
+            starts = starts[reach[starts] < np.minimum(starts + 3 * size - 1, n)]
         if len(starts):
             at, distance = repetitions(codes, starts, size)
-            keep = distance >= low
+            keep = (distance >= low) & (reach[at] < at + size + distance)  # a repetition inside a run is one of its own
             at, distance = at[keep], distance[keep]
             order = np.lexsort((at, distance))
             at, distance = at[order], distance[order]
