@@ -25,18 +25,29 @@ def brand_fold(name: Column, rules: list[tuple[str, str]], default: str = "_misc
 
 
 def resolve_brands(products: DataFrame, rules: DataFrame, name: str = "name", key: str = "id", default: str = "_misc") -> DataFrame:
-    """J9 for rules as a table (priority, prefix, slug), broadcast: distinct names are matched, so a name is tested once however
-    often it occurs, and no row is lost."""
-    names = products.select(F.col(name).alias("_name")).distinct()
+    """J9 for rules as a table (priority, prefix, slug). Names are cut at the lengths that prefixes have, and the pieces meet the prefixes by equality:
+    the name's, then those of the name without blanks, then the tags'. Distinct names are matched, so a name is tested once however
+    often it occurs, and no row is lost. Rules without a prefix match nothing."""
+    names = products.select(F.col(name).alias("_name")).where("_name is not null").distinct()
     n = strip_lead_tags(F.col("_name"))
-    parts = names.select("_name", n.alias("_n"), F.replace(n, F.lit(" "), F.lit("")).alias("_nn"), lead_tags(F.col("_name")).alias("_tags"))
-    r = small(rules)
-    squeezed = F.replace(F.col("prefix"), F.lit(" "), F.lit(""))
-    direct = parts.join(r, F.startswith("_n", F.col("prefix")) | F.startswith("_nn", squeezed)).groupBy("_name").agg(F.min_by("slug", "priority").alias("_direct"))
-    tags = parts.select("_name", F.posexplode("_tags").alias("_pos", "_tag")).withColumn("_tt", F.upper(F.replace(F.col("_tag"), F.lit(" "), F.lit(""))))
-    tagged = tags.join(r, F.startswith("_tt", F.upper(squeezed))).groupBy("_name").agg(F.min_by("slug", F.struct("_pos", "priority")).alias("_tagged"))
-    found = names.join(direct, "_name", "left").join(tagged, "_name", "left").select("_name", F.coalesce("_direct", "_tagged", F.lit(default)).alias("slug"))
-    return products.join(found, F.col(name).eqNullSafe(F.col("_name")), "left").drop("_name").withColumn("slug", F.coalesce("slug", F.lit(default)))
+    blank = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    squeezed = blank(F.col("prefix"))
+    forms = {"n": F.col("prefix"), "q": squeezed, "t": F.upper(squeezed)}
+    table = rules.where("prefix is not null").select("priority", "slug", F.explode(F.array(*[F.struct(F.lit(k).alias("_form"), v.alias("_piece")) for k, v in forms.items()])).alias("_r")).select("priority", "slug", "_r.*").distinct()
+    table = small(table)
+    lengths = {k: [] for k in forms}
+    for r in table.select("_form", F.length("_piece").alias("n")).distinct().collect():  # no more rows than the longest prefix is long, times three
+        lengths[r["_form"]].append(r["n"])
+
+    def pieces(form: str, text: Column, pos: Column) -> Column:
+        """(_form, _pos, _piece) of a text cut at the lengths of a form's prefixes."""
+        cuts = F.filter(F.array(*[F.lit(x) for x in sorted(lengths[form])]).cast("array<int>"), lambda x: x <= F.length(text))
+        return F.transform(cuts, lambda x: F.struct(F.lit(form).alias("_form"), pos.cast("int").alias("_pos"), F.substring(text, F.lit(1), x).alias("_piece")))
+
+    tags = F.flatten(F.transform(lead_tags(F.col("_name")), lambda t, i: pieces("t", F.upper(blank(t)), i + 1)))
+    cut = names.select("_name", F.explode(F.concat(pieces("n", n, F.lit(0)), pieces("q", blank(n), F.lit(0)), tags)).alias("_c")).select("_name", "_c.*")
+    found = cut.join(table, ["_form", "_piece"]).groupBy("_name").agg(F.min_by("slug", F.struct("_pos", "priority")).alias("slug"))
+    return products.join(found, F.col(name) == F.col("_name"), "left").drop("_name").withColumn("slug", F.coalesce("slug", F.lit(default)))
 
 
 def is_real(slug: Column, pseudo: tuple[str, ...] = ("_misc", "_custom")) -> Column:

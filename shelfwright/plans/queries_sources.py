@@ -12,7 +12,7 @@ from ..sources import packs, pages as raw, sinks
 from ..sources.staging import staging_dir
 from ..streaming import incremental
 from .registry import query
-from .tables import PAGES, PRODUCTS, codes, pages, products, table
+from .tables import CODES, PAGES, PRODUCTS, codes, pages, products, table
 
 
 @query(
@@ -230,7 +230,7 @@ def pictured_changes(spark: SparkSession, d: str) -> DataFrame:
     return moved.unionByName(rest).select("id", F.col("images.thumb").alias("thumb"))
 
 
-@query("""WITH c AS (SELECT DISTINCT lpad(CAST(n_regionkey AS VARCHAR), 3, '0') || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') || rpad(substr(c_mktsegment, 1, 3), 3, 'x') AS code FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT code FROM c""")
+@query(f"WITH {CODES} SELECT code FROM codes c WHERE NOT EXISTS (SELECT 1 FROM codes o WHERE o.site = c.site AND o.code <> c.code AND starts_with(o.code, c.code))")
 def tree_leaves(spark: SparkSession, d: str) -> DataFrame:
-    """J5 on the region, nation and segment tree: the segments."""
-    return tree.leaves(codes(spark, d)).where(F.length("code") == 9).select("code")
+    """J5 on the region, nation and segment tree: segments, and nations or regions without any."""
+    return tree.leaves(codes(spark, d)).select("code")

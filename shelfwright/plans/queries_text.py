@@ -198,11 +198,15 @@ def unprocessed_offers(spark: SparkSession, d: str) -> DataFrame:
     return incremental.without_done(offers(spark, d), done, ["id", "source"])
 
 
-@query("SELECT event_type, user_id, count(*) AS n FROM (SELECT event_type, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k IS NOT NULL GROUP BY ALL")
+@query(
+    """SELECT event_type, user_id, count(*) FILTER (WHERE ok) AS n, count(*) FILTER (WHERE NOT ok) AS n_dead FROM (SELECT event_type, user_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) < 70, false) AS ok FROM events) GROUP BY ALL"""
+)
 def good_and_dead_rows(spark: SparkSession, d: str) -> DataFrame:
+    """T3 in batch: rows to go on with, and rows for the dead-letter table (no number, or one of 70 and more)."""
     e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").try_cast("bigint"))
-    good, _ = incremental.split_failures(e, F.col("k").isNotNull())
-    return good.groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    good, dead = incremental.split_failures(e, F.col("k") < 70)
+    both = good.withColumn("ok", F.lit(True)).unionByName(dead.withColumn("ok", F.lit(False)))
+    return both.groupBy("event_type", "user_id").agg(F.count_if("ok").alias("n"), F.count_if(~F.col("ok")).alias("n_dead"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folders made so far, until clean_up.
 _made: list[str] = []
@@ -29,6 +29,13 @@ def staging_dir(spark: SparkSession) -> str:
     return _made[-1]
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write df to a folder of its own and read it again, so that it is worked out once."""
+    path = staging_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clean_up(spark: SparkSession) -> int:
     """Delete the folders made by this process, and say how many there were. For when all results have been written elsewhere: a DataFrame that
     reads one of them can't be run afterwards."""
