@@ -30,24 +30,49 @@ BROADCAST_TERMS = 400_000
 #: Stands for a base span while words are read: a code point that is no character.
 GAP = "\ufdd0"
 WORD = r"[\p{L}]{3,}"
+FREE_WORD = rf"(?<![\p{{L}}{GAP}])\p{{L}}{{3,}}+(?!{GAP})"
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
+MATCH = "struct<start:int,end:int,value:string>"
+#: Elements that scanned works off at a time.
+BLOCK = 256
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start, end, value>>, in code points.
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once: an expression that a lambda holds is worked out anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The pieces between the matches give their places.
-    """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
+def scanned(xs: Column, zero: Column, step, kind: str) -> Column:
+    """Arrays that step(state, x) -> (state, array of `kind`) gives for each x in turn, in one. An array that grows is copied at each step, so
+    BLOCK elements at a time are worked off: a thousand times as many take little more than a thousand times as long."""
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        state, more = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], more).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), add)
+        return let(inner, lambda i: F.struct(i["state"].alias("state"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
+
+    parts = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / BLOCK).cast("int")), lambda c: F.slice(v, c * BLOCK + 1, BLOCK))
+    return F.aggregate(let(xs, parts), F.struct(zero.alias("state"), nothing.alias("out")), block, lambda acc: F.flatten(acc["out"]))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+def matches(text: str, pattern: str) -> Column:
+    """Leftmost non-overlapping matches in a text column, as array<struct<start, end, value>>, in code points.
+
+    The pieces between the matches give their places. This is `scanned` said in SQL, since it stands in a plan several times.
+    """
+    pieces = f"zip_with(regexp_extract_all({text}, r'{pattern}', 0), split({text}, r'{pattern}', -1), (m, g) -> if(m IS NULL, NULL, named_struct('m', m, 'g', length(g))))"
+    blocks = f"transform(sequence(0, cast(floor(greatest(size(v) - 1, 0) / {BLOCK}) AS int)), b -> slice(v, b * {BLOCK} + 1, {BLOCK}))"
+    found = "concat(a.out, array(named_struct('start', a.at + x.g, 'end', a.at + x.g + length(x.m), 'value', x.m)))"
+    # no match follows the last piece
+    one = f"if(x IS NULL, a, named_struct('at', a.at + x.g + length(x.m), 'out', {found}))"
+    block = f"aggregate(part, named_struct('at', acc.at, 'out', cast(array() AS array<{MATCH}>)), (a, x) -> {one})"
+    step = f"transform(array({block}), i -> named_struct('at', i.at, 'out', concat(acc.out, array(i.out))))[0]"
+    whole = f"aggregate({blocks}, named_struct('at', 0, 'out', cast(array() AS array<array<{MATCH}>>)), (acc, part) -> {step}, acc -> flatten(acc.out))"
+    return F.expr(f"transform(array({pieces}), v -> {whole})[0]")
 
 
 def digits(value: Column) -> Column:
@@ -71,12 +96,13 @@ def octets_fit(value: Column) -> Column:
     return F.forall(plain, lambda p: (F.length(p) <= 3) & (F.try_to_number(F.lpad(p, 3, "0"), F.lit("999")) <= 255))
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans: array<struct<kind, start, end, value>>, by kind and start; kind is its place in KINDS."""
+def base_spans(name: str) -> Column:
+    """All base spans of a text column: array<struct<kind, start, end, value>>, by kind and start; kind is its place in KINDS."""
+    text = F.col(name)
     none = F.array().cast(SPAN)
 
     def kind(number: int, pattern: str, maybe: Column, good) -> Column:
-        kept = F.filter(matches(text, pattern), lambda m: good(m["value"]))
+        kept = F.filter(matches(name, pattern), lambda m: good(m["value"]))
         return F.when(maybe, F.transform(kept, lambda m: F.struct(F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))).otherwise(none)
 
     size = lambda v: F.length(digits(v))
@@ -99,18 +125,37 @@ def word_hashes(text: Column) -> Column:
 
 
 def replaced(text: Column, spans: Column, name) -> Column:
-    """The text with name(span) for each span; overlapping spans are replaced as one, by the earliest (then longest)."""
+    """The text with name(span) for each span; overlapping spans are replaced as one, by the earliest (then longest).
+
+    A part of a text is found by counting from its beginning, so the text is first cut into pieces of about sqrt(n) of its n spans: the time is
+    text length times sqrt(n).
+    """
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"), s["value"].alias("value"))))
+    one = "struct<start:int,last:int,kind:int,value:string>"
+    mark = lambda start, last, kind: F.struct(F.lit(start).alias("start"), F.lit(last).alias("last"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("value"))
+
+    def join(held: Column, s: Column) -> tuple[Column, Column]:
+        """A span that begins behind the one held ends it; any other makes it longer, if it ends later."""
+        begins = s["start"] >= -held["last"]
+        longer = F.struct(held["start"].alias("start"), F.least(held["last"], s["last"]).alias("last"), held["kind"].alias("kind"), held["value"].alias("value"))
+        return F.when(begins, s).otherwise(longer), F.when(begins & (held["kind"] >= 0), F.array(held)).otherwise(F.array().cast(f"array<{one}>"))
+
+    order = F.concat(order, F.array(mark(2**31 - 1, 1 - 2**31, 0)))  # ends the last
+
+    def whole(held: Column) -> Column:
+        size = F.size(held)
+        root = F.greatest(F.lit(1), F.ceil(F.sqrt(size)).cast("int"))
+        end = lambda i: F.when(i < 0, F.lit(0)).otherwise(-F.get(held, i)["last"])  # noqa: E731  of span i; the text's beginning for -1
+
+        def piece(c: Column) -> Column:
+            low, high = end(c * root - 1), end(F.least((c + 1) * root, size) - 1)
+            inside = lambda big: F.array_join(F.transform(F.slice(held, c * root + 1, root), lambda s, i: F.concat(F.substring(big, end(c * root + i - 1) - low + 1, s["start"] - end(c * root + i - 1)), name(s))), "")
+            return let(F.substring(text, low + 1, high - low), inside)
 
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["last"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        new = F.struct(end.alias("at"), F.concat(acc["out"], gap, name(s)).alias("out"))
-        old = F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(old)
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / root).cast("int")), piece)
+        return F.when(size == 0, text).otherwise(F.concat(F.array_join(pieces, ""), F.substring(text, end(size - 1) + 1, F.length(text))))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(order, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return let(scanned(order, mark(0, 0, -1), join, one), whole)
 
 
 def together(base: DataFrame, min_texts: int) -> tuple[DataFrame, DataFrame]:
@@ -126,12 +171,13 @@ def together(base: DataFrame, min_texts: int) -> tuple[DataFrame, DataFrame]:
     return pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_texts), alone
 
 
-def disclosing(base: DataFrame, docs: DataFrame, min_texts: int, disclosure: float) -> DataFrame:
-    """(term, whole): the terms that give away an entity, by counts over distinct texts of the whole corpus; whole: one of them in full."""
+def disclosing(base: DataFrame, words: DataFrame, min_texts: int, disclosure: float) -> DataFrame:
+    """(term, whole): the terms that give away an entity, by counts over distinct texts of the whole corpus; whole: one of them in full. words:
+    (tk, hashes) of each distinct text."""
     both, alone = together(base, min_texts)
     both = save(both)
-    total = docs.select("tk").distinct().count()
-    frequency = docs.select(F.explode(word_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    total = words.count()
+    frequency = words.select(F.explode("hashes").alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
     pairs = both.join(frequency, "term").join(alone, "entity")  # the words are counted first, whatever terms are asked for
     share = F.least(F.lit(1.0), F.col("both") / F.col("with_term"))
     information = F.ln(F.lit(float(max(total, 2))) / F.col("with_entity"))
@@ -139,41 +185,38 @@ def disclosing(base: DataFrame, docs: DataFrame, min_texts: int, disclosure: flo
     return pairs.select("term", told).where(F.col("told") >= disclosure).groupBy("term").agg((F.max("told") >= REMOVAL).alias("whole"))
 
 
-def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """All places of the terms in all texts: (doc_id, tk, terms), array<struct<start, end, whole>>."""
+def occurrences(docs: DataFrame, words: DataFrame, terms: DataFrame) -> DataFrame:
+    """All places of the terms in all texts, those that touch a base span left out: (doc_id, tk, terms), array<struct<start, end, whole>>."""
     terms = save(terms)
     if terms.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
-    asked = docs.select("tk", F.explode(word_hashes(F.col("text"))).alias("term")).join(terms, "term").groupBy("tk").agg(F.collect_set("term").alias("asked"), F.collect_set(F.when(F.col("whole"), F.col("term"))).alias("wholes"))
+    asked = words.select("tk", F.explode("hashes").alias("term")).join(terms, "term").groupBy("tk").agg(F.collect_set("term").alias("asked"), F.collect_set(F.when(F.col("whole"), F.col("term"))).alias("wholes"))
     rows = docs.join(save(asked), "tk").dropDuplicates(["doc_id", "tk"])
-    words, gaps = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
+    # letters of base spans become signs that are no letters, and words next to such signs are none
+    free = replaced(F.col("text"), base_spans("text"), lambda s: F.regexp_replace(s["value"], r"\p{L}", GAP))
+    rows = rows.select("doc_id", "tk", "asked", "wholes", free.alias("free"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["w"])
-        term = F.xxhash64(F.lower(x["w"]))
-        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.array_contains("wholes", term).alias("whole"))))
-        return F.struct(end.alias("at"), F.when(F.array_contains("asked", term), more).otherwise(acc["out"]).alias("out"))
+    def marked(m: Column) -> Column:
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.xxhash64(F.lower(m["value"])).alias("term"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,whole:boolean>>").alias("out"))
-    pairs = F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
-    return rows.select("doc_id", "tk", F.aggregate(pairs, zero, step, lambda acc: acc["out"]).alias("terms"))
+    found = F.filter(F.transform(matches("free", FREE_WORD), marked), lambda m: F.array_contains("asked", m["term"]))
+    return rows.select("doc_id", "tk", F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.array_contains("wholes", m["term"]).alias("whole"))).alias("terms"))
 
 
 def find_spans(docs: DataFrame, min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """All spans of every whole text: (doc_id, tk, spans, base), arrays of (kind, start, end, value) by kind and start.
 
     `tk` is a hash of the text. base holds only the pattern matches; spans holds every place of a disclosing term too
-    (value 'whole' if it gives an entity away in full, else null), in texts with and without the entity. A null text is empty; repeated rows keep their own spans; no
-    rows give no rows; other columns are not read.
+    (value 'whole' if it gives an entity away in full, else null), in texts with and without the entity. Terms are counted over distinct texts, so
+    copies change nothing. A null text is empty; repeated rows keep their own spans; no rows give no rows; other columns are not read.
     """
     docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tk", F.xxhash64("text"))
-    base = docs.select("doc_id", "tk", "text", base_spans(F.col("text")).alias("spans"))
+    base = docs.select("doc_id", "tk", "text", base_spans("text").alias("spans"))
     base = save(base.select("doc_id", "tk", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")))
-    terms = occurrences(docs, disclosing(base, docs, min_texts, disclosure)).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "terms")
+    words = save(docs.select("tk", word_hashes(F.col("text")).alias("hashes")).groupBy("tk").agg(F.first("hashes").alias("hashes")))
+    terms = occurrences(docs, words, disclosing(base, words, min_texts, disclosure)).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "terms")
     marked = base.join(terms, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left")
-    outside = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
-    more = F.transform(outside, lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.when(t["whole"], F.lit("whole")).alias("value")))
+    more = F.transform("terms", lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.when(t["whole"], F.lit("whole")).alias("value")))
     return marked.select("doc_id", "tk", F.concat("spans", F.coalesce(more, F.array().cast(SPAN))).alias("spans"), F.col("spans").alias("base"))
 
 

@@ -1,8 +1,10 @@
 """Rows that are easily lost: repeated and null ids, short items, clashing column names; and whole operators against plain versions."""
 
+import hashlib
 import itertools
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -254,6 +256,53 @@ def test_terms_against_plain_counts(spark):
     assert not any(w in t.lower() for t in cleaned for w in want)
 
 
+def test_terms_of_texts_repeated_many_times(spark):
+    """Copies change no term: every text ten times, and one of them a thousand times."""
+    texts = [f"the note {k} of marlowe to p1@example.org" for k in range(3)] + [f"filler text number {k} of the note" for k in range(100)]
+    spans = {}
+    for name, rows in (("once", texts), ("ten", texts * 10), ("hot", texts + texts[:1] * 1000)):
+        found = pii.digest(pii.find_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()
+        spans[name] = {rows[r.doc_id]: r.spans for r in found}
+    assert spans["once"] == spans["ten"] == spans["hot"]
+    assert all("term" in spans["once"][t] for t in texts[:3])
+
+
+def test_many_spans_in_one_text(spark):
+    """Tens of thousands of values and terms in one text are found and replaced in seconds."""
+    n = 40_000
+    text = " ".join(f"marlowe{'x' * (k % 2)} u{k}@example.org" for k in range(n))
+    rows = [(0, text)] + [(k, f"marlowe at the desk {k} u{k}@example.org u7@example.org") for k in range(1, 5)] + [(10 + k, f"other words {k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.time()
+    row = next(r for r in pii.digest(pii.find_spans(df)).collect() if r.doc_id == 0)
+    found_in = time.time() - start
+    assert row.n_email == n and row.n_term >= n // 2
+    ends = [m.span() for m in re.finditer(r"u\d+@example\.org", text)]
+    assert row.base_sha256 == hashlib.sha256(",".join(f"email:{a}:{b}" for a, b in ends).encode()).hexdigest()
+    start = time.time()
+    cleaned = next(r.text for r in pii.sanitise(df).collect() if r.doc_id == 0)
+    assert cleaned.count("[EMAIL]") == n and "@" not in cleaned and "marlowe " not in cleaned
+    assert found_in < 90 and time.time() - start < 120, (found_in, time.time() - start)
+
+
+def test_replaced_against_plain(spark):
+    """Texts with any spans, overlapping ones too."""
+    rng, rows = np.random.default_rng(8), []
+    for k in range(60):
+        text = "".join(rng.choice(list("abcdé😀 "), 80))
+        cuts = [sorted(rng.integers(0, 81, 2).tolist()) for _ in range(int(rng.integers(0, 30)))]
+        rows.append((k, text, [(0, a, b, None) for a, b in cuts if a < b]))
+    df = spark.createDataFrame(rows, f"doc_id long, text string, spans {pii.SPAN}")
+    got = {r.doc_id: r.out for r in df.select("doc_id", pii.replaced(F.col("text"), F.col("spans"), lambda s: F.concat(F.lit("<"), s["start"].cast("string"), F.lit(">"))).alias("out")).collect()}
+    for k, text, spans in rows:
+        at, out = 0, ""
+        for _, a, b, _ in sorted(spans, key=lambda s: (s[1], -s[2])):
+            if a >= at:
+                out += text[at:a] + f"<{a}>"
+            at = max(at, b)
+        assert got[k] == out + text[at:]
+
+
 def test_wrappers_never_trained_on(spark):
     """Comments, adverts and notices after an article, in wrappers whose names no training page has. Their texts are the article's own."""
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id < 1060").orderBy("page_id").collect()]
