@@ -44,11 +44,11 @@ def large_rule_audit(spark: SparkSession, d: str) -> DataFrame:
     return found.select("priority", F.col("hits").cast("bigint").alias("hits"), F.col("first_hits").cast("bigint").alias("first_hits"))
 
 
-@query(f"""WITH {_KEYWORDS}, x AS (SELECT l.priority, l.keyword, min(e.priority) AS earlier FROM rules l JOIN rules e ON contains(l.keyword, e.keyword) GROUP BY ALL)
+@query(f"""WITH {_KEYWORDS}, o AS (SELECT -priority AS priority, keyword FROM rules), x AS (SELECT l.priority, l.keyword, min(e.priority) AS earlier FROM o l JOIN o e ON contains(l.keyword, e.keyword) GROUP BY ALL)
     SELECT priority, min(earlier) AS earlier FROM x GROUP BY priority HAVING bool_and(earlier < priority)""")
 def dead_rules(spark: SparkSession, d: str) -> DataFrame:
-    """C12: rules that can never win, from the rules alone."""
-    return classify.dead_rules(_keywords(spark, d))
+    """C12: rules that can never win, from the rules alone (the small numbers' first)."""
+    return classify.dead_rules(_keywords(spark, d).withColumn("priority", -F.col("priority")))
 
 
 _PREFIXES = """px AS (SELECT left(title, 6 + id % 14) AS prefix, min(id) AS m FROM titles WHERE id % 3 <> 1 GROUP BY 1), rules AS (SELECT -m AS priority, prefix, 'b' || m AS slug FROM px),
