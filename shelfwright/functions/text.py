@@ -40,13 +40,19 @@ def _table(pairs: dict[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
 
+#: Names that most references have; the table of all names is looked through for others only.
+USUAL = {f"{k};": html5[f"{k};"] for k in ("amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "hellip", "middot", "ndash", "mdash")}
+#: Length of the longest name that may stand without ';', and be followed by anything.
+LOOSE = max(len(k) for k in html5 if not k.endswith(";"))
+
+
 def _referred(ref: Column) -> Column:
     """The text that one character reference stands for; itself if it stands for none."""
     name = F.substring(ref, 2, 40)
-    loose = {k: v for k, v in html5.items() if not k.endswith(";")}
-    longest = max(map(len, loose))
-    heads = [F.concat(F.try_element_at(_table(loose), F.substring(name, 1, n)), F.substring(name, n + 1, 40)) for n in range(longest, 1, -1)]
-    named = F.coalesce(F.try_element_at(_table(dict(html5)), name), *heads, ref)
+    cuts = F.array(F.length(name), *[F.lit(n) for n in range(LOOSE, 1, -1)])
+    found = F.transform(cuts, lambda n: F.struct(F.try_element_at(_table(dict(html5)), F.substring(name, F.lit(1), n)).alias("v"), n.alias("n")))
+    longest = F.get(F.transform(F.filter(found, lambda x: x["v"].isNotNull()), lambda x: F.concat(x["v"], F.substring(name, x["n"] + 1, F.lit(40)))), F.lit(0))
+    named = F.coalesce(F.try_element_at(_table(USUAL), name), longest, ref)
     digits = F.regexp_extract(ref, "^&#[xX]?0*([0-9a-fA-F]+)", 1)
     number = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("bigint")
     number = F.when(F.length(digits) > 9, F.lit(0x110000).cast("bigint")).otherwise(number)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import write_packs
 from ..functions.text import present, rekey_url
 
 
@@ -73,6 +74,13 @@ def reclassify(products: DataFrame, resolved: DataFrame, unknown: str = "_misc")
     return rows, report
 
 
+def rewrite_moved(rows: DataFrame, path: str, unknown: str = "_misc") -> None:
+    """M4. Of reclassify's rows, the packs that change are written again: the unknown bucket's, and those that products moved to, with what they held
+    before. Others are not touched."""
+    changed = rows.where("moved").select("brand_slug").distinct().unionByName(rows.where("moved").limit(1).select(F.lit(unknown).alias("brand_slug")))
+    write_packs(rows.join(changed, "brand_slug", "left_semi").drop("moved"), path)
+
+
 def quality_profile(products: DataFrame, source: str = "source") -> DataFrame:
     """M5. Rows without image, price or path, of each source."""
     return products.groupBy(source).agg(

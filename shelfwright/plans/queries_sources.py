@@ -112,6 +112,68 @@ def dictionary_names(spark: SparkSession, d: str) -> DataFrame:
     return packs.code_names(spark, path).unionByName(none)
 
 
+_BROKEN = "CASE ord % 10 WHEN 0 THEN 'empty' WHEN 1 THEN 'no JSON' WHEN 2 THEN 'another shape' WHEN 3 THEN 'no JSON' ELSE 'good' END"
+
+
+@query(f"WITH {PRODUCTS} SELECT {_BROKEN} AS reason, 'file' || ord % 7 AS file, count(*) AS n, sum(CASE WHEN {_BROKEN} = 'good' THEN ord ELSE 0 END)::BIGINT AS ids FROM products GROUP BY ALL")
+def quarantined_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """S5. Store-API answers of which some are empty, cut off, of another shape or no JSON at all: products of the good ones, and the others by reason and file."""
+    p = products(spark, d)
+    good = F.to_json(F.array(F.struct(F.col("ord").alias("id"), "name")))
+    k = F.col("ord") % 10
+    value = F.when(k == 0, F.lit(" ")).when(k == 1, F.substring(good, F.lit(1), F.length(good) - 3)).when(k == 2, F.to_json(F.struct(F.lit("no list").alias("error")))).when(k == 3, F.lit("<html>503</html>")).otherwise(good)
+    rows = p.select(value.alias("value"), F.concat(F.lit("file"), (F.col("ord") % 7).cast("string")).alias("file"))
+    fine, broken = packs.split_payloads(rows, packs.STORE)
+    ids = fine.select("file", F.lit("good").alias("reason"), F.explode(F.from_json("value", packs.STORE)).alias("x")).select("file", "reason", F.col("x.id").alias("id"))
+    both = ids.unionByName(broken.select("file", "reason", F.lit(0).cast("bigint").alias("id")))
+    return both.groupBy("reason", "file").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("SELECT lower(p_brand) AS slug, CASE WHEN p_brand < 'Brand#2' THEN lower(p_brand) ELSE 'kr ' || p_brand END AS kr, upper(p_brand) AS en, count(*) AS count FROM part GROUP BY p_brand")
+def registry_files(spark: SparkSession, d: str) -> DataFrame:
+    """S9. Registry files {total, brands} written and read back; a registry that is not there has no brands."""
+    path = staging_dir(spark)
+    b = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("count"))
+    brand = F.struct(F.lower("p_brand").alias("slug"), F.when(F.col("p_brand") < "Brand#2", F.lit("")).otherwise(F.concat(F.lit("kr "), "p_brand")).alias("kr"), F.lit(None).cast("string").alias("en"), "count")
+    b.groupBy(F.pmod(F.xxhash64("p_brand"), F.lit(3))).agg(F.count("*").alias("total"), F.collect_list(brand).alias("brands")).select("total", "brands").write.option("maxRecordsPerFile", 1).json(path)
+    return packs.read_registry(spark, path).unionByName(packs.read_registry(spark, f"{path}/none")).select("slug", "kr", "en", "count")
+
+
+@query(f"WITH {PRODUCTS} SELECT id, 'u' || (ord % 50) AS url FROM products WHERE ord % 50 NOT IN (SELECT p_size FROM part WHERE p_size % 3 = 0)")
+def blocklist_files(spark: SparkSession, d: str) -> DataFrame:
+    """S9, F5. Blocklist files (JSON lists) written, read back and applied."""
+    path = staging_dir(spark)
+    sizes = table(spark, d, "part").where("p_size % 3 = 0").groupBy((F.col("p_size") % 2).alias("part")).agg(F.to_json(F.collect_set(F.concat(F.lit("u"), F.col("p_size").cast("string")))).alias("value"))
+    sizes.select("value").repartition(2, "value").write.option("maxRecordsPerFile", 1).text(path)
+    rows = products(spark, d).select("id", F.concat(F.lit("u"), (F.col("ord") % 50).cast("string")).alias("url"))
+    blocked = packs.read_blocklist(spark, path).unionByName(packs.read_blocklist(spark, f"{path}/none"))
+    return policy.block_url_rows(rows, blocked).select("id", "url")
+
+
+@query(f"WITH {PRODUCTS} SELECT least(40, count(*)) AS n, true AS known FROM products")
+def sampled_files(spark: SparkSession, d: str) -> DataFrame:
+    """O6. A sample build of 40 documents, each of them a product's."""
+    path = staging_dir(spark)
+    p = products(spark, d).select(F.lower("brand").alias("brand_slug"), "id", F.concat(F.lit("<b>"), "name", F.lit("</b>")).alias("doc"))
+    sinks.write_product_docs(p, path, 40)
+    found = spark.read.schema("id string, doc string, brand_slug string").json(path)
+    return found.join(p.withColumn("known", F.lit(True)), ["id", "doc", "brand_slug"], "left").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"))
+
+
+@query(f"""WITH {PRODUCTS}, x AS (SELECT id, name, CASE WHEN ord % 2 = 0 THEN '_misc' ELSE lower(brand) END AS old, CASE WHEN ord % 6 = 0 THEN lower(brand) END AS new FROM products)
+    SELECT coalesce(new, old) AS brand_slug, id, replace('m/' || old || '/' || id, '/_misc/', '/' || coalesce(new, '_misc') || '/') AS thumb FROM x""")
+def moved_packs(spark: SparkSession, d: str) -> DataFrame:
+    """M4, C11. Products of the unknown bucket move to the brands found since; the packs that change are written again."""
+    path = staging_dir(spark)
+    p = products(spark, d).withColumn("brand_slug", F.when(F.col("ord") % 2 == 0, F.lit("_misc")).otherwise(F.lower("brand")))
+    none = F.array().cast("array<string>")
+    packs_ = p.select("id", "name", "brand_slug", F.struct(F.concat_ws("/", F.lit("m"), "brand_slug", "id").alias("thumb"), none.alias("main"), none.alias("detail")).alias("images"))
+    sinks.write_packs(packs_, path)
+    rows, _ = quality.reclassify(packs_, p.where("ord % 6 = 0").select("id", F.lower("brand").alias("slug")))
+    quality.rewrite_moved(rows, path)
+    return spark.read.parquet(path).select("brand_slug", "id", F.col("images.thumb").alias("thumb"))
+
+
 @query(
     """SELECT kind, site, mapped, multi, count(*) AS n FROM (SELECT 'result' AS kind, 'site' || (event_id % 5) AS site, event_id AS mapped, user_id AS multi FROM events WHERE event_id % 4 = 0
     UNION ALL SELECT 'complete', '', -1, -1 FROM events WHERE event_id % 4 = 1) GROUP BY ALL"""

@@ -133,13 +133,15 @@ def breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {PAGES}, t AS (SELECT site, sid, page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS name,
         coalesce(try_cast(nullif(replace(regexp_extract(regexp_extract(html, '(?s)<p>([^<]*)', 1), '[0-9,]{{3,}}', 0), ',', ''), '') AS BIGINT), 0) AS price FROM pg)
-    SELECT site || '-' || sid AS id, name, price, price = 0 AS inquiry FROM (SELECT *, row_number() OVER (PARTITION BY site, sid ORDER BY page_id DESC) AS rn FROM t) WHERE rn = 1"""
+    SELECT site || '-' || sid AS id, name, price, price = 0 AS inquiry, 'https://x/i/' || page_id || '.png,https://c.d/' || sid || '.jpg' AS images FROM (SELECT *, row_number() OVER (PARTITION BY site, sid ORDER BY page_id DESC) AS rn FROM t) WHERE rn = 1"""
 )
 def page_products(spark: SparkSession, d: str) -> DataFrame:
-    """Product drafts of pages; of pages with the same id the last counts."""
+    """Product drafts of pages; of pages with the same id the last counts. The pages hold no images, so some are put behind them."""
     p = packs.latest(pages(spark, d), ["site", "sid"], F.desc("page_id"))
+    shown = F.concat(F.lit('<img src="/i/'), F.col("page_id").cast("string"), F.lit('.png"><IMG alt="" src=//c.d/'), "sid", F.lit('.jpg><img src="data:x"><img src="/i/banner.png"><img src="/i/'), F.col("page_id").cast("string"), F.lit('.png">'))
+    p = p.withColumn("html", F.concat("html", shown))
     drafts = raw.extract_detail(p, [r"(?s)<b class='name'>(.*?)</b>", r"(?s)<title>(.*?)</title>"], [r"(?s)<p>([^<]*)"], [r"(?s)<del>(.*?)</del>"], "https://x")
-    return drafts.select(T.stable_id(F.col("site"), F.col("sid")).alias("id"), "name", "price", "inquiry")
+    return drafts.select(T.stable_id(F.col("site"), F.col("sid")).alias("id"), "name", "price", "inquiry", F.array_join("images", ",").alias("images"))
 
 
 @query(
@@ -187,9 +189,12 @@ def attempts(spark: SparkSession, d: str) -> DataFrame:
     return incremental.attempt_numbers(found, "user_id", 20).select("user_id", F.col("attempt").cast("bigint").alias("attempt"), "beats", "given_up")
 
 
-@query("SELECT conv_id, max(CASE WHEN regexp_matches(text, 'é') THEN 1 ELSE 0 END) = 1 AS complete FROM conversations GROUP BY conv_id")
+@query("SELECT user_id, bool_or(event_type = 'purchase' AND event_id % 50 = 7) AS complete FROM events GROUP BY user_id")
 def completed_runs(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.completed(table(spark, d, "conversations"), "conv_id", "text", "é")
+    """T5. Events as lines of a run's log, of which some say that all is done."""
+    e = table(spark, d, "events")
+    line = F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 50 == 7), F.lit("=== all done ===")).otherwise(F.format_string("%s %d of 100, not all done", "event_type", F.col("event_id") % 100))
+    return incremental.completed(e.select("user_id", line.alias("line")), "user_id", "line", r"^=+ all done =+$")
 
 
 @query(f"WITH {OFFERS} SELECT o.id, o.source FROM offers o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE 'p' || l_partkey = o.id AND 's' || (l_suppkey % 10) = o.source AND l_quantity = 50)")

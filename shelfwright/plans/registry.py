@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import queries_catalog, queries_functions, queries_rules, queries_sources, queries_streams, queries_tree, queries_text  # noqa: E402, F401
+from . import queries_catalog, queries_functions, queries_maintained, queries_rules, queries_sources, queries_streams, queries_tree, queries_text  # noqa: E402, F401

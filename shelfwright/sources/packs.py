@@ -68,6 +68,24 @@ def read_dictionary(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+REGISTRY = "total bigint, brands array<struct<slug:string,kr:string,en:string,in_rainbow:boolean,in_supplier:boolean,in_scrape:boolean,count:bigint>>"
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """S9. The brands of registry files, a row a brand; names that are missing are the slug and its upper case."""
+    rows = read_dictionary(spark, path, REGISTRY).select(F.explode("brands").alias("b")).select("b.*")
+    return rows.withColumn("kr", first_nonempty(F.col("kr"), F.col("slug"))).withColumn("en", first_nonempty(F.col("en"), F.upper("slug")))
+
+
+def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
+    """S9. (url) of blocklist files, each a JSON list; a missing file blocks nothing, and so does one that is no list."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], "url string")
+    raw = spark.read.option("wholetext", True).text(path)
+    return raw.select(F.explode(F.from_json("value", "array<string>")).alias("url")).where("url <> ''").distinct()
+
+
 def code_names(spark: SparkSession, path: str) -> DataFrame:
     """S9. (code, name) of a file that is one object {code: name}."""
     raw = spark.read.option("wholetext", True).text(path)
@@ -114,6 +132,23 @@ def read_store_api(payloads: DataFrame, site: str, column: str = "value", usd: b
     )
 
 
+def split_payloads(payloads: DataFrame, schema: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """S1, S5, S6. Payloads that hold what `schema` (an array or a struct) asks for, and the others with a `reason`: empty, no JSON, or another shape. All columns stay
+    on both sides, such as the file that a payload is from; nothing is lost."""
+    text = F.col(column)
+    parsed = F.try_parse_json(text)
+    asked = "ARRAY" if schema.lstrip().lower().startswith("array") else "OBJECT"
+    reason = F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty").when(parsed.isNull(), "no JSON").when(~F.startswith(F.schema_of_variant(parsed), F.lit(asked)) | F.from_json(text, schema).isNull(), "another shape")
+    marked = payloads.withColumn("reason", reason)
+    return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+
+
+def split_packs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S1. Pack files (file, value) that can be read as packs, and a quarantine of the others with the reason. Spark doesn't list files of no bytes."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return split_payloads(raw, PACK)
+
+
 ITEMS = "itemList array<struct<itemId:string,itemNm:string,brndNm:string,spprc:string,slprc:string,prcInqYn:string,dspCateSclNm:string,dspCateMclNm:string,itemPcAtchFilePath:string,itemAtchFilePath:string>>, paginationInfo struct<totalPageCount:int>"
 
 

@@ -72,7 +72,7 @@ def extract_detail(pages: DataFrame, name: list[str], listed: list[str], sale: l
     first = lambda ps, f: F.coalesce(*[f(F.regexp_extract("html", p, 1)) for p in ps])
     price = lambda p: F.when(price_num(text_of(p)) > 0, price_num(text_of(p)))
     policy = price_policy(first(listed, price), first(sale, price))
-    images = drop_boilerplate_images(ordered_uniq(F.transform(img_src(F.col("html")), lambda u: abs_url(F.lit(base), u))), boilerplate)
+    images = drop_boilerplate_images(ordered_uniq(F.transform(ordered_uniq(img_src(F.col("html"))), lambda u: abs_url(F.lit(base), u))), boilerplate)
     return pages.select("site", "sid", F.coalesce(first(name, lambda x: present(text_of(x))), F.lit("")).alias("name"), policy.alias("p"), images.alias("images")).select("site", "sid", "name", "p.*", "images")
 
 
