@@ -34,7 +34,7 @@ FREE_WORD = rf"(?<![\p{{L}}{GAP}])\p{{L}}{{3,}}+(?!{GAP})"
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 MATCH = "struct<start:int,end:int,value:string>"
 #: Elements that scanned works off at a time.
-BLOCK = 256
+BLOCK = 128
 
 
 def let(value: Column, body) -> Column:
@@ -59,14 +59,16 @@ def scanned(xs: Column, zero: Column, step, kind: str) -> Column:
     return F.aggregate(let(xs, parts), F.struct(zero.alias("state"), nothing.alias("out")), block, lambda acc: F.flatten(acc["out"]))
 
 
-def matches(text: str, pattern: str) -> Column:
-    """Leftmost non-overlapping matches in a text column, as array<struct<start, end, value>>, in code points.
+def matches(text: str, pattern: str, keep: str | None = None) -> Column:
+    """Leftmost non-overlapping matches in a text column, as array<struct<start, end, value>>, in code points. keep: SQL that says of a match (x.m) whether
+    it counts; others are stepped over, which is cheaper than to leave them out afterwards.
 
     The pieces between the matches give their places. This is `scanned` said in SQL, since it stands in a plan several times.
     """
     pieces = f"zip_with(regexp_extract_all({text}, r'{pattern}', 0), split({text}, r'{pattern}', -1), (m, g) -> if(m IS NULL, NULL, named_struct('m', m, 'g', length(g))))"
     blocks = f"transform(sequence(0, cast(floor(greatest(size(v) - 1, 0) / {BLOCK}) AS int)), b -> slice(v, b * {BLOCK} + 1, {BLOCK}))"
     found = "concat(a.out, array(named_struct('start', a.at + x.g, 'end', a.at + x.g + length(x.m), 'value', x.m)))"
+    found = f"if({keep}, {found}, a.out)" if keep else found
     # no match follows the last piece
     one = f"if(x IS NULL, a, named_struct('at', a.at + x.g + length(x.m), 'out', {found}))"
     block = f"aggregate(part, named_struct('at', acc.at, 'out', cast(array() AS array<{MATCH}>)), (a, x) -> {one})"
@@ -196,11 +198,9 @@ def occurrences(docs: DataFrame, words: DataFrame, terms: DataFrame) -> DataFram
     free = replaced(F.col("text"), base_spans("text"), lambda s: F.regexp_replace(s["value"], r"\p{L}", GAP))
     rows = rows.select("doc_id", "tk", "asked", "wholes", free.alias("free"))
 
-    def marked(m: Column) -> Column:
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.xxhash64(F.lower(m["value"])).alias("term"))
-
-    found = F.filter(F.transform(matches("free", FREE_WORD), marked), lambda m: F.array_contains("asked", m["term"]))
-    return rows.select("doc_id", "tk", F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.array_contains("wholes", m["term"]).alias("whole"))).alias("terms"))
+    found = matches("free", FREE_WORD, "array_contains(asked, xxhash64(lower(x.m)))")
+    whole = lambda m: F.array_contains("wholes", F.xxhash64(F.lower(m["value"])))
+    return rows.select("doc_id", "tk", F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), whole(m).alias("whole"))).alias("terms"))
 
 
 def find_spans(docs: DataFrame, min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
