@@ -4,8 +4,8 @@ A page is read as the sequence of its text blocks. Each block has a vector of it
 words and a few numbers, among them how it lies to its neighbours and to the element that holds most of the page's text;
 a bidirectional LSTM in numpy reads the whole sequence and says of every block whether it belongs to the article. It is
 trained on a bounded sample of the pages, labelled by their semantic tags, and on variants of them: the same texts in other
-wrappers, with sidebars, notices, forms and reader comments put in. Most wrappers of the variants have made-up names or none, so that
-place and shape tell what names don't.
+wrappers and as lists, tables, quotes or code, with sidebars, notices, forms and reader comments put in, which are told by where their texts
+come from. Most wrappers of the variants have made-up names or none, so that place and shape tell what names don't.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .common import map_arrow, pick, texts_of
 
 #: Pages that the labeller learns from, at most, and the code points and blocks that such a page has at most. Longer ones teach nothing.
 SAMPLE_PAGES, TRAIN_CHARS, TRAIN_BLOCKS = 200, 1_000_000, 1000
-HIDDEN, PATH_DIM, WORD_DIM, NUMBERS = 16, 160, 24, 14
-EPOCHS, BATCH, RATE, VARIANTS = 12, 32, 0.01, 3
+HIDDEN, PATH_DIM, WORD_DIM, NUMBERS = 16, 160, 24, 19
+EPOCHS, BATCH, RATE, VARIANTS = 8, 32, 0.01, 8
 #: The article's element holds this share of the page's text, and no smaller element in it does.
 MAIN_SHARE = 0.4
 
@@ -57,9 +57,12 @@ BAD = re.compile(r"^(?:nav|header|footer|aside|form|menu|navbar|sidebar|ad|ads|a
 
 
 class TagPath(list):
-    """Names of the elements around a block; `open` has the elements' numbers in the page, the outer ones first."""
+    """Names of the elements around a block; `open` has the elements' numbers in the page, the outer ones first, `kinds` what each is (tag and names),
+    and `articles` the numbers of those that are article elements."""
 
     open: tuple[int, ...] = ()
+    kinds: tuple[str, ...] = ()
+    articles: tuple[int, ...] = ()
 
 
 def blocks(page: str) -> list[tuple[str, TagPath, int]]:
@@ -77,6 +80,8 @@ def blocks(page: str) -> list[tuple[str, TagPath, int]]:
             if text:
                 path = TagPath(w for _, names, _ in stack for w in names)
                 path.open = tuple(n for tag, _, n in stack if tag not in INLINE)
+                path.kinds = tuple(" ".join(names) for tag, names, _ in stack if tag not in INLINE)
+                path.articles = tuple(n for tag, _, n in stack if tag == "article")
                 out.append((text, path, linked))
         held.clear()
         linked = 0
@@ -145,7 +150,9 @@ def shared(a: tuple[int, ...], b: tuple[int, ...]) -> float:
 def places(page: list[tuple[str, list[str], int]]) -> np.ndarray:
     """How each block lies in the page, as numbers: elements shared with the block before, behind, and with the first heading; share of
     the page's text in its own element and in the one around it; whether it is in the page's main element, and behind it; whether
-    the page has an article tag, and the block is in it (1), or is not (-1)."""
+    the page has an article tag, and the block is in it (1), or is not (-1); whether it is in the first article element and in none
+    inside it (1), or in another (-1); how many elements like one around it, of several blocks each, stand beside that one; how many like its
+    own element stand beside it; whether a heading of the first rank is in front of it; and whether the first such heading's own parent is around it, or none."""
     opens = [getattr(path, "open", ()) for _, path, _ in page]
     size: dict[int, int] = {}
     total = sum(len(text) for text, _, _ in page)
@@ -158,9 +165,25 @@ def places(page: list[tuple[str, list[str], int]]) -> np.ndarray:
     heads = [o[:-1] for (_, path, _), o in zip(page, opens) if "h1" in path]
     tagged = [any(GOOD.match(w) for w in path) for _, path, _ in page]
     some = any(tagged)
+    articles = [getattr(path, "articles", ()) for _, path, _ in page]
+    first = next((a[0] for a in articles if a), 0)
+    inner: dict[int, int] = {}
+    beside: dict[tuple[int, str], set[int]] = {}
+    for o, (_, path, _) in zip(opens, page):
+        for up, x, kind in zip((0, *o), o, getattr(path, "kinds", ())):
+            inner[x] = inner.get(x, 0) + 1
+            beside.setdefault((up, kind), set()).add(x)
+    several = {key: sum(inner[x] > 1 for x in xs) for key, xs in beside.items()}
+    headed = np.cumsum(["h1" in path for _, path, _ in page]) > 0
     out = np.zeros((len(page), NUMBERS - 6), np.float32)
     for i, o in enumerate(opens):
-        out[i] = (
+        around = list(zip((0, *o), getattr(page[i][1], "kinds", ())))
+        alike = max((several[key] for key in around), default=0)
+        out[i, 8:] = (
+            0 if not articles[i] else 1 if articles[i][-1] == first else -1, np.log1p(alike if alike > 1 else 0) / 2, np.log1p(len(beside[around[-1]]) - 1) / 4 if around else 0, headed[i],
+            0 if not heads or not heads[0] else 1 if heads[0][-1] in o else -1,
+        )
+        out[i, :8] = (
             shared(opens[i - 1], o) if i else 0, shared(o, opens[i + 1]) if i + 1 < len(page) else 0, shared(heads[0], o[:-1]) if heads else -1,
             size[o[-1]] / total if o else 0, size[o[-2]] / total if len(o) > 1 else 0, inside[i], i > last, (1 if tagged[i] else -1) if some else 0,
         )
@@ -259,7 +282,7 @@ class Labeller:
         rng = np.random.default_rng(seed)
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
+        step, steps = 0, epochs * max(1, len(pages) // BATCH)
         for _ in range(epochs):
             for part in np.array_split(rng.permutation(len(pages)), max(1, len(pages) // BATCH)):
                 x, mask, target = padded([pages[k] for k in part])
@@ -267,7 +290,7 @@ class Labeller:
                 for k, g in self.gradients(x, mask, target).items():
                     m1[k] = 0.9 * m1[k] + 0.1 * g
                     m2[k] = 0.999 * m2[k] + 0.001 * g * g
-                    self.p[k] -= (RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] -= (RATE * max(0.02, 1 - step / steps) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """Probability of each block of each page, pages of like length together."""
@@ -303,10 +326,16 @@ def weak_label(path: list[str]) -> float | None:
     return 1.0 if any(GOOD.match(w) for w in path) else None
 
 
-def variant(page: list[tuple[str, list[str], int]], labels: list[float | None], rng: np.random.Generator) -> tuple[str, list[int]]:
-    """The page's texts in other wrappers, as HTML, with the labels of its blocks."""
+#: Wrappers of single replies in training variants.
+REPLY = ('article class="reply"', 'article', 'li', 'div class="reply"', 'div class="comment-body"', "div", "section")
+
+
+def variant(page: list[tuple[str, list[str], int]], labels: list[float | None], rng: np.random.Generator, others: list[str] | None = None) -> tuple[str, list[int]]:
+    """The page's texts in other wrappers, as HTML, with the labels of its blocks: what was taken from the article is 1, wherever it stands and
+    whatever it is (paragraphs, lists, tables, quotes, code); all else is 0, like the replies, which have texts of `others` (by default the page's own)."""
     e = entities.escape
     good = [t for (t, _, _), y in zip(page, labels) if y == 1.0] or [t for t, _, _ in page]
+    others = others or good
     short = [" ".join(t.split()[:4]) for t, _, _ in page][:40]
     some = lambda xs: xs[rng.integers(len(xs))]
     parts: list[tuple[str, list[int]]] = []
@@ -338,31 +367,65 @@ def variant(page: list[tuple[str, list[str], int]], labels: list[float | None],
 
     def aside(tag: str) -> tuple[str, list[int]]:
         k = int(rng.integers(1, 4))
-        texts = [some(good) if rng.random() < 0.5 else some(short) for _ in range(k)]
+        texts = [some(good) if rng.random() < 0.3 else some(others) if rng.random() < 0.4 else some(short) for _ in range(k)]
         inner = "".join((f"<p>{e(t)}</p>" if rng.random() < 0.6 else f"<div>{e(t)}</div>") for t in texts) if k > 1 or rng.random() < 0.5 else e(texts[0])
         return wrap(tag, nested(inner)), [0] * k
 
-    head = [menu(some(MENU))] if rng.random() < 0.9 else []
-    def comments() -> tuple[str, list[int]]:
-        """Reader comments: name and date, a text, perhaps a button, each in an element or all in a row."""
-        inner, ys, each = "", [], rng.random() < 0.5
-        for _ in range(int(rng.integers(1, 5))):
-            one = [some(short), some(good)] + ([some(short)] if rng.random() < 0.4 else [])
-            one = one[1:] if rng.random() < 0.3 else one
-            part = "".join(f"<p>{e(t)}</p>" if len(t) > 40 or rng.random() < 0.5 else f"<div>{e(t)}</div>" for t in one)
-            inner += wrap(some(OTHER), part) if each else part
-            ys += [0] * len(one)
-        return wrap(some(('div class="comments"', 'section id="comments"', 'div class="comment"')), nested(inner)), ys
-
-    head += [aside(some(OTHER)) for _ in range(int(rng.integers(0, 3)))]
-    tail = [comments() if rng.random() < 0.35 else aside(some(OTHER)) for _ in range(int(rng.integers(1, 4)))]
-    first = rng.random() < 0.8
-    inner = [((f"<h1>{e(t)}</h1>" if k == 0 and first else f"<p>{e(t)}</p>"), [1]) for k, t in enumerate(good)]
-    if rng.random() < 0.3:
-        inner.insert(int(rng.integers(0, len(inner) + 1)), aside(some(OTHER)))
-    parts += head
-    parts.append((wrap(some(ARTICLE), nested("".join(h for h, _ in inner))), [y for _, ys in inner for y in ys]))
-    parts += tail
+    def article() -> list[tuple[str, list[int]]]:
+        """The article's texts as paragraphs, lists, tables, quotes, code, captions and headings. Some have nothing but a list behind the beginning."""
+        if plain:
+            return [(f"<p>{e(t)}</p>", [1]) for t in good]
+        out, k, first = [], 0, rng.random() < 0.7
+        listed = int(rng.integers(1, 4)) if rng.random() < 0.2 else len(good)
+        while k < len(good):
+            left = len(good) - k if k >= listed else min(len(good) - k, int(rng.integers(2, 6)))
+            kind = "h1" if k == 0 and first else "list" if k >= listed else some(("p", "p", "p", "p", "p", "p", "list", "table", "quote", "pre", "div", "h2", "figure"))
+            some_texts = [e(t) for t in good[k : k + left]]
+            if kind == "list" and left > 1:
+                tag = some(("ul", "ul", "ol"))
+                out.append((f"<{tag}>" + "".join(f"<li>{t}</li>" for t in some_texts) + f"</{tag}>", [1] * left))
+            elif kind == "table" and left > 1:
+                out.append(("<table>" + "".join(f"<tr><td>{t}</td></tr>" if rng.random() < 0.5 else f"<tr><th>{t}</th></tr>" for t in some_texts) + "</table>", [1] * left))
+            else:
+                left = 1
+                form = {"h1": "<h1>{}</h1>", "h2": "<h2>{}</h2>", "quote": some(("<blockquote>{}</blockquote>", "<blockquote><p>{}</p></blockquote>")), "pre": some(("<pre>{}</pre>", "<pre><code>{}</code></pre>")), "div": "<div>{}</div>", "figure": "<figure><figcaption>{}</figcaption></figure>"}
+                block = form.get(kind, "<p>{}</p>").format(some_texts[0])
+                out.append((wrap(some(("header", "div")), block, True) if kind == "h1" and rng.random() < 0.2 else block, [1]))
+            k += left
+        if rng.random() < 0.25:
+            out.insert(int(rng.integers(0, len(out) + 1)), aside(some(OTHER)))
+        if rng.random() < 0.2:
+            out.append(replies(True))
+        return out
+
+    def replies(apart: bool = False) -> tuple[str, list[int]]:
+        """Reader comments: name, date, one or more paragraphs, perhaps a button, each in an element of its own or all in a row; often more text than the article.
+        apart: in a wrapper of their own in any case."""
+        inner, ys, each, tag, bare = "", [], rng.random() < 0.75, some(REPLY), rng.random() < 0.2
+        for _ in range(int(rng.integers(1, 9))):
+            told = [some(short) for _ in range(int(rng.integers(0, 3)))] + [some(others) for _ in range(int(rng.integers(1, 4)))] + ([some(short)] if rng.random() < 0.3 else [])
+            told = [some(others)] if tag == "li" and bare else told
+            part = e(told[0]) if len(told) == 1 and bare else "".join(f"<p>{e(t)}</p>" if len(t) > 40 or rng.random() < 0.5 else f"<div>{e(t)}</div>" for t in told)
+            inner += wrap(tag, part, rng.random() < 0.5) if each else part
+            ys += [0] * len(told)
+        inner = f"<ul>{inner}</ul>" if each and tag == "li" else inner
+        return (wrap(some(('div class="comments"', 'section id="comments"', 'div class="replies"', "div")), nested(inner)) if apart or rng.random() < 0.75 else nested(inner)), ys
+
+    def strange(tag: str) -> tuple[str, list[int]]:
+        """Paragraphs like the article's, in another wrapper."""
+        k = int(rng.integers(1, max(2, min(5, len(good) // 2 + 1))))
+        return wrap(tag, nested("".join(f"<p>{e(some(good if rng.random() < 0.5 else others))}</p>" for _ in range(k)))), [0] * k
+
+    plain = rng.random() < 0.2  # paragraphs without a heading, and little else
+    head = [menu(some(MENU))] if rng.random() < (0.2 if plain else 0.8) else []
+    head += [] if plain else [aside(some(OTHER)) for _ in range(int(rng.integers(0, 3)))]
+    tail = [strange(some(OTHER))] if plain else [replies() if rng.random() < 0.5 else aside(some(OTHER)) for _ in range(int(rng.integers(1, 4)))]
+    inner = article()
+    main = (wrap("article" if rng.random() < 0.25 else some(ARTICLE), nested("".join(h for h, _ in inner))), [y for _, ys in inner for y in ys])
+    if rng.random() < 0.35:  # the article and what follows in one wrapper
+        both = [main, *tail]
+        main, tail = (wrap(some(("main", "main", "div", 'div class="content"', "article")), "".join(h for h, _ in both)), [y for _, ys in both for y in ys]), []
+    parts = [*head, main, *tail]
     body = "".join(h for h, _ in parts)
     if rng.random() < 0.4:
         body = wrap(some(('div class="wrapper"', 'div id="page"', "div")), body, True)
@@ -370,18 +433,16 @@ def variant(page: list[tuple[str, list[str], int]], labels: list[float | None],
 
 
 def train(sample: list[str], seed: int = 3) -> Labeller:
-    """Learn from pages (HTML): their own semantic tags, and VARIANTS other wrappings of each."""
+    """Learn from pages (HTML): their own semantic tags, and VARIANTS other wrappings of each, with replies made of other pages' texts."""
     rng = np.random.default_rng(seed)
+    read = [(found, [weak_label(p) for _, p, _ in found]) for found in map(blocks, sample) if 0 < len(found) <= TRAIN_BLOCKS]
+    texts = [t for found, labels in read for (t, _, _), y in zip(found, labels) if y == 1.0] or ["text"]
     examples = []
-    for page in sample:
-        found = blocks(page)
-        if not 0 < len(found) <= TRAIN_BLOCKS:
-            continue
-        labels = [weak_label(p) for _, p, _ in found]
+    for found, labels in read:
         if all(y is not None for y in labels):
             examples.append((vectors(found), np.array(labels, np.float32)))
         for _ in range(VARIANTS):
-            text, ys = variant(found, labels, rng)
+            text, ys = variant(found, labels, rng, texts)
             again = blocks(text)
             if len(again) == len(ys):
                 examples.append((vectors(again), np.array(ys, np.float32)))
