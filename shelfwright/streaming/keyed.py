@@ -67,8 +67,9 @@ def retry_stream(items: DataFrame, keys: list[str], good: Column, sequence: str,
     """
     spark, schema = items.sparkSession, items.schema
     dead = StructType([*schema.fields, *StructType.fromDDL("attempt int, status string").fields])
-    if not _complete(spark, f"{path}/waiting/start"):
-        spark.createDataFrame([], dead).write.mode("overwrite").parquet(f"{path}/waiting/start")
+    for folder in ("waiting", "settled"):  # so that both can be read from the first run on
+        if not _complete(spark, f"{path}/{folder}/start"):
+            spark.createDataFrame([], dead).write.mode("overwrite").parquet(f"{path}/{folder}/start")
     again = file_stream(spark, f"{path}/waiting/*", dead, 1_000).select(*schema.names)
     judged = items.unionByName(again).withColumn("_ok", F.coalesce(good, F.lit(False)))
     tried = judged.groupBy(*keys).transformWithState(Attempts(most, kept * 86_400_000, sequence), dead, "Append", "ProcessingTime")
