@@ -12,8 +12,8 @@ from ..sources.staging import staged
 #: Above so many keywords in all, rules are joined instead of folded into an expression (whose code then grows too long to be compiled); rule tables are
 #: broadcast up to RULES_MOST rows, larger ones are shuffled.
 FOLD_KEYWORDS, RULES_MOST = 3_000, 200_000
-#: Length of the grams by which keywords are looked up; shorter keywords are looked up whole.
-GRAM = 3
+#: Lengths of the grams by which keywords are looked up: the greatest that a keyword has, so that up to 31 code points every gram is more than half of it.
+GRAMS = (1, 2, 4, 8, 16)
 
 Rules = list[tuple[str, list[str]]]
 
@@ -37,35 +37,44 @@ def rule_table(spark, rules: Rules) -> DataFrame:
 
 
 def small(rules: DataFrame) -> DataFrame:
-    """A rule table, to be broadcast if it has at most RULES_MOST rows."""
-    return rules if rules.limit(RULES_MOST + 1).count() > RULES_MOST else F.broadcast(rules)
+    """A rule table, to be broadcast if it has at most RULES_MOST rows. A larger one is joined by sorting both sides: what is exploded on the other side
+    has many times the size that its files let Spark expect, so that is never broadcast either."""
+    return rules.hint("merge") if rules.limit(RULES_MOST + 1).count() > RULES_MOST else F.broadcast(rules)
 
 
 def grams(text: Column, n: int) -> Column:
     """The distinct stretches of n code points of a text. They are read off n times, from n places in a row, so that time is in proportion to length."""
     at = lambda k: F.regexp_extract_all(F.substr(text, F.lit(k + 1)) if k else text, F.lit(f"(?s).{{{n}}}"), F.lit(0))
-    return F.array_distinct(F.concat(*[at(k) for k in range(n)]))
+    return F.array_distinct(F.concat(*[at(k) for k in range(n)])) if n else F.array(F.lit(""))
 
 
-def gram_index(texts: DataFrame, rules: DataFrame, n: int = GRAM) -> DataFrame:
-    """rules (.., keyword) with the column _gram: the keyword's rarest gram in the texts (_t), or the keyword itself where it is shorter. Keywords with a
-    gram that no text holds can't match and are left out."""
-    asked = rules.select("keyword").distinct().where(F.length("keyword") >= n).withColumn("_gram", F.explode(grams(F.col("keyword"), n)))
-    counts = texts.select(F.explode(grams(F.lower("_t"), n)).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
-    best = asked.join(counts, "_gram", "left").groupBy("keyword").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"), F.min(F.coalesce("_n", F.lit(0))).alias("_n"))
-    long = rules.join(best.where("_n > 0").drop("_n"), "keyword")
-    return long.unionByName(rules.where(F.length("keyword") < n).withColumn("_gram", F.col("keyword")))
+def gram_length(keyword: Column) -> Column:
+    """Length of the grams by which a keyword is looked up; 0 for the empty one, whose gram is in every text."""
+    return F.coalesce(*[F.when(F.length(keyword) >= n, F.lit(n)) for n in sorted(GRAMS, reverse=True)], F.lit(0))
 
 
-def keyword_hits(texts: DataFrame, rules: DataFrame, n: int = GRAM) -> DataFrame:
+def gram_index(texts: DataFrame, rules: DataFrame, sizes: list[int]) -> DataFrame:
+    """rules (.., keyword) with the column _gram: of the keyword's grams the one that is rarest in the texts (_t). Keywords with a gram that no text holds
+    can't match and are left out. sizes: the lengths of the grams that the keywords have."""
+    own = F.coalesce(*[F.when(gram_length(F.col("keyword")) == n, grams(F.col("keyword"), n)) for n in sizes])
+    asked = rules.select("keyword").where("keyword is not null").distinct().withColumn("_gram", F.explode(own))
+    counts = texts.select(F.explode(_all_grams(sizes)).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
+    best = asked.join(counts.hint("merge"), "_gram", "left").groupBy("keyword").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"), F.min(F.coalesce("_n", F.lit(0))).alias("_n"))
+    return rules.join(best.where("_n > 0").drop("_n").hint("merge"), "keyword")
+
+
+def _all_grams(sizes: list[int]) -> Column:
+    """The grams of these lengths of a lower-cased text (_t)."""
+    return F.concat(F.array().cast("array<string>"), *[grams(F.lower("_t"), n) for n in sizes])
+
+
+def keyword_hits(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """Each text (_t, ...) with each rule (..., keyword) whose keyword its lower-cased form holds. Texts and keywords meet by equality of a gram -
-    the rarest of the keyword - and only such pairs are compared. Empty keywords are in every text."""
-    index = staged(gram_index(texts, rules, n))
-    lower = F.lower("_t")
-    sizes = sorted(r[0] for r in index.select(F.length("_gram")).distinct().collect())  # 0 to n; the empty gram stands for the empty keyword
-    every = F.concat(F.array().cast("array<string>"), *[grams(lower, k) if k else F.array(F.lit("")) for k in sizes])
-    pairs = texts.withColumn("_gram", F.explode(every)).join(small(index), "_gram")
-    return pairs.where(F.contains(lower, F.col("keyword"))).drop("_gram")
+    the rarest of the keyword - and only such pairs are compared. Empty keywords are in every text. Both are read more than once."""
+    sizes = sorted(r[0] for r in rules.where("keyword is not null").select(gram_length(F.col("keyword"))).distinct().collect())  # six at most
+    index = small(staged(gram_index(texts, rules, sizes))) if sizes else rules.where("false").withColumn("_gram", F.lit(""))
+    pairs = texts.withColumn("_gram", F.explode(_all_grams(sizes))).join(index, "_gram")
+    return pairs.where(F.contains(F.lower("_t"), F.col("keyword"))).drop("_gram")
 
 
 def match_rules(df: DataFrame, text: str, rules: Rules, name: str = "out") -> DataFrame:
@@ -80,7 +89,7 @@ def first_match_join(df: DataFrame, text: str, rules: DataFrame, name: str = "ou
     smallest priority wins. Same result as first_match: a null text counts as the empty one. Null keywords match nothing."""
     plain = F.coalesce(text, F.lit(""))
     texts = df.select(plain.alias("_t")).distinct()
-    hits = keyword_hits(texts, rules.select("priority", F.col("out").alias("_out"), "keyword").where("keyword is not null"))
+    hits = keyword_hits(texts, staged(rules.select("priority", F.col("out").alias("_out"), "keyword").where("keyword is not null")))
     best = hits.groupBy("_t").agg(F.min_by("_out", "priority").alias(name))
     return df.join(best, plain == F.col("_t"), "left").drop("_t")
 
@@ -158,8 +167,8 @@ def source_menu_code(path: Column) -> Column:
 def rule_audit(df: DataFrame, text: str, rules: DataFrame) -> DataFrame:
     """C12. (priority, hits, first_hits) of every rule: rows it matches, and rows it is the first to match. A rule with hits and no
     first_hits is shadowed."""
-    texts = df.groupBy(F.col(text).alias("_t")).agg(F.count("*").alias("_n"))
-    hits = keyword_hits(texts, rules.select("priority", "keyword")).groupBy("_t", "_n").agg(F.collect_set("priority").alias("_all"), F.min("priority").alias("_first"))
+    texts, rules = df.groupBy(F.col(text).alias("_t")).agg(F.count("*").alias("_n")), staged(rules.select("priority", "keyword"))
+    hits = keyword_hits(texts, rules).groupBy("_t", "_n").agg(F.collect_set("priority").alias("_all"), F.min("priority").alias("_first"))
     counted = hits.select("_n", "_first", F.explode("_all").alias("priority")).groupBy("priority").agg(F.sum("_n").alias("hits"), F.sum(F.when(F.col("priority") == F.col("_first"), F.col("_n")).otherwise(0)).alias("first_hits"))
     return rules.select("priority").distinct().join(counted, "priority", "left").fillna(0, ["hits", "first_hits"])
 
@@ -167,7 +176,7 @@ def rule_audit(df: DataFrame, text: str, rules: DataFrame) -> DataFrame:
 def dead_rules(rules: DataFrame) -> DataFrame:
     """C12 without data. (priority, earlier): rules that can never win, since each of their keywords holds a keyword of an earlier rule - wherever it stands, the
     earlier one stands too. earlier: the first such rule. Keywords are taken as texts of the gram join, so no two are compared without cause."""
-    known = rules.where("keyword is not null").select("priority", "keyword").distinct()
+    known = staged(rules.where("keyword is not null").select("priority", "keyword").distinct())
     held = keyword_hits(known.select(F.col("keyword").alias("_t")).distinct(), known.select(F.col("priority").alias("_by"), "keyword")).groupBy(F.col("_t").alias("keyword")).agg(F.min("_by").alias("_by"))
-    found = known.join(held, "keyword")  # each keyword holds itself
+    found = known.join(held.hint("merge"), "keyword")  # each keyword holds itself
     return found.groupBy("priority").agg(F.bool_and(F.col("_by") < F.col("priority")).alias("_dead"), F.min("_by").alias("earlier")).where("_dead").select("priority", "earlier")
