@@ -132,3 +132,14 @@ def test_audit_with_many_rules(spark, monkeypatch):
     first = {t: min((p for p, w in rules if w in t.lower()), default=None) for t in names}
     want = {p: (sum(w in t.lower() for t in names), sum(first[t] == p for t in names)) for p, w in rules}
     assert {r.priority: (r.hits, r.first_hits) for r in found.collect()} == want
+
+
+def test_long_keywords_have_few_candidates(spark):
+    """Keywords whose stretches of three are all frequent are looked up by longer ones: texts that share a gram with a keyword mostly hold it."""
+    words = ["ring", "bolt", "gear", "plate"]
+    names = [f"{words[i % 4]} Brand#{i % 25} {100_000 + i}" for i in range(2_000)]
+    rules = spark.createDataFrame([(i, t.lower()[:-1]) for i, t in enumerate(names)], "priority int, keyword string")
+    sizes = sorted({r[0] for r in rules.select(classify.gram_length(F.col("keyword"))).collect()})
+    index = classify.gram_index(spark.createDataFrame([(t,) for t in names], "_t string"), rules, sizes)
+    pairs = spark.createDataFrame([(t,) for t in names], "_t string").withColumn("_gram", F.explode(classify._all_grams(sizes))).join(index, "_gram")
+    assert 2_000 <= pairs.count() <= 10_000
