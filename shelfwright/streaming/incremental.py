@@ -48,10 +48,7 @@ def upsert_stream(stream: DataFrame, key: list[str], sequence: str, path: str, c
         kept = both.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn").withColumn(BUCKET, bucket)
         kept.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/v={number}")
         batch.unpersist()
-        keep = set(_latest(spark, path, number).values())  # what a repetition of this batch reads
-        for version, folder in _folders(spark, path):
-            if version < number and folder not in keep:
-                _file_system(spark, folder).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
+        drop_versions(spark, path, number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -87,6 +84,14 @@ def read_version(spark: SparkSession, path: str, before: int | None = None, only
     return spark.read.parquet(*found) if found else None
 
 
+def drop_versions(spark: SparkSession, path: str, number: int) -> None:
+    """Remove the versions of buckets that no repetition of this batch reads."""
+    keep = set(_latest(spark, path, number).values())
+    for version, folder in _folders(spark, path):
+        if version < number and folder not in keep:
+            _file_system(spark, folder).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
+
+
 def split_failures(rows: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
     """T3. Rows to go on with, and rows for the dead-letter table, from which they are tried again."""
     ok = F.coalesce(good, F.lit(False))

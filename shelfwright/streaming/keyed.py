@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from .incremental import file_stream
+from .incremental import BUCKET, BUCKETS, drop_versions, file_stream, read_version, run_available
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -29,41 +31,15 @@ def start(writer: DataStreamWriter, spark: SparkSession, idle: bool = True) -> S
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-class Attempts(StatefulProcessor):
-    """How often an item was tried, and whether it is settled. What is settled is forgotten after `kept_ms`."""
-
-    def __init__(self, most: int, kept_ms: int, sequence: str):
-        self.most, self.kept_ms, self.sequence = most, kept_ms, sequence
-
-    def init(self, handle) -> None:
-        self.tried = handle.getValueState("tried", "n int, settled boolean", self.kept_ms)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n, settled = self.tried.get() if self.tried.exists() else (0, False)
-        if settled:
-            return
-        best = None
-        for row in rows:  # several deliveries of an item in a batch are one attempt: one that is good, the latest of equals
-            if best is None or (row["_ok"], row[self.sequence]) > (best["_ok"], best[self.sequence]):
-                best = row
-        n += 1
-        status = "good" if best["_ok"] else "refused" if n >= self.most else "retry"
-        self.tried.update((n, status != "retry"))
-        told = best.asDict()
-        del told["_ok"]
-        yield Row(**told, attempt=n, status=status)
-
-    def close(self) -> None:
-        pass
-
-
 def retry_stream(items: DataFrame, keys: list[str], good: Column, sequence: str, path: str, checkpoint: str, most: int = 3, kept: int = 90) -> StreamingQuery:
     """T3. One run over what has arrived. An item (keys) for which `good` doesn't hold is put into the dead-letter folder, which is a source
     of the next run: there it is tried again, with whatever `good` is then, until it has failed `most` times and is refused. An item
     that is settled - good or refused - is not tried again within `kept` days, however often it is delivered.
 
-    Of a batch each item is tried once; items have a `sequence` column that is never null. Results are read by `settled` and `waiting`. Each batch
-    writes its results as one folder; a batch that is repeated after a crash finds it complete and leaves it, so that no result is there twice.
+    Of a batch each item is tried once, in the form that is good, the latest of equals; items have a `sequence` column that is never null. Results are read
+    by `settled` and `waiting`. What is known of an item lies in buckets of its key, as in `upsert_stream`: a batch joins the buckets it touches and
+    writes them anew. Each batch writes its results as one folder; a batch that is repeated after a crash finds it complete and leaves it, so that no
+    result is there twice.
     """
     spark, schema = items.sparkSession, items.schema
     dead = StructType([*schema.fields, *StructType.fromDDL("attempt int, status string").fields])
@@ -72,17 +48,43 @@ def retry_stream(items: DataFrame, keys: list[str], good: Column, sequence: str,
             spark.createDataFrame([], dead).write.mode("overwrite").parquet(f"{path}/{folder}/start")
     again = file_stream(spark, f"{path}/waiting/*", dead, 1_000).select(*schema.names)
     judged = items.unionByName(again).withColumn("_ok", F.coalesce(good, F.lit(False)))
-    tried = judged.groupBy(*keys).transformWithState(Attempts(most, kept * 86_400_000, sequence), dead, "Append", "ProcessingTime")
+    rest = [c for c in schema.names if c not in keys]
+    known = StructType([*[schema[k] for k in keys], *StructType.fromDDL("attempt int, status string, at bigint").fields])
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        spark = batch.sparkSession
+        target, now, bucket = f"{path}/tried/v={number}", int(time.time() * 1_000), F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+        best = batch.groupBy(*keys).agg(F.max_by(F.struct("_ok", *rest), F.struct("_ok", sequence)).alias("_best")).persist()
+        if not _complete(spark, target):
+            touched = {r[0] for r in best.select(bucket).distinct().collect()}  # BUCKETS rows at most
+            old = read_version(spark, f"{path}/tried", before=number, only=touched)
+            old = (spark.createDataFrame([], known) if old is None else old.select(*known.names)).where(F.col("at") > now - kept * 86_400_000)
+            both = _joined(old, best, keys)
+            told = F.col("_best").isNotNull() & F.coalesce(F.col("status") == "retry", F.lit(True))
+            n = F.coalesce("attempt", F.lit(0)) + 1
+            status = F.when(F.col("_best._ok"), "good").when(n >= most, "refused").otherwise("retry")
+            after = both.select(
+                *keys, F.when(told, n).otherwise(F.col("attempt")).alias("attempt"), F.when(told, status).otherwise(F.col("status")).alias("status"),
+                F.when(told, F.lit(now)).otherwise(F.col("at")).alias("at"), F.when(told, F.col("_best")).alias("_told"), bucket.alias(BUCKET),
+            )
+            after.repartition(BUCKETS, BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(target)
+        told_schema = StructType([*known.fields, StructField("_told", best.schema["_best"].dataType)])
+        tried = spark.read.schema(told_schema).parquet(target).where("_told is not null").select(*[F.col(c if c in keys else f"_told.{c}").alias(c) for c in schema.names], "attempt", "status")
         for folder, some in (("settled", F.col("status") != "retry"), ("waiting", F.col("status") == "retry")):
-            target = f"{path}/{folder}/v{number}"
-            if not _complete(spark, target):
-                batch.where(some).write.mode("overwrite").parquet(target)
-        batch.unpersist()
+            if not _complete(spark, f"{path}/{folder}/v{number}"):
+                tried.where(some).write.mode("overwrite").parquet(f"{path}/{folder}/v{number}")
+        best.unpersist()
+        drop_versions(spark, f"{path}/tried", number)
+
+    return run_available(judged, write, checkpoint)
+
 
-    return start(tried.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True), spark, idle=False)
+def _joined(old: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
+    """What is known of items beside what has come, keys that are null included."""
+    new = best.select(*[F.col(k).alias(f"_new_{k}") for k in keys], "_best", F.lit(True).alias("_came"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys])
+    both = old.join(new, on, "full")
+    return both.select(*[F.when(F.col("_came"), F.col(f"_new_{k}")).otherwise(F.col(k)).alias(k) for k in keys], *[c for c in old.columns if c not in keys], "_best")
 
 
 def _complete(spark: SparkSession, folder: str) -> bool:
