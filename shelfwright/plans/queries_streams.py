@@ -50,15 +50,15 @@ def marked_categories(spark: SparkSession, d: str) -> DataFrame:
 def stream_stalls(spark: SparkSession, d: str) -> DataFrame:
     """T4 on a stream: events in four deliveries, by time; silences of six hours are told, also the last one of each user."""
     path = staging_dir(spark)
-    e = table(spark, d, "events").select("user_id", "ts", F.pmod(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 / 86_400), F.lit(4)).alias("part"))
+    e = table(spark, d, "events").select("user_id", "ts")
     end = e.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")).select(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), "ts")
-    edges = [r[0] for r in e.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75]).alias("q")).selectExpr("explode(q)").collect()]
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    for low, high in zip([None, *edges], [*edges, None]):
-        some = e if low is None else e.where(at > low)
-        (some if high is None else some.where(at <= high)).select("user_id", "ts").coalesce(1).write.mode("append").parquet(f"{path}/in")
-    end.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = keyed.stall_stream(incremental.file_stream(spark, f"{path}/in", end.schema, 1), ["user_id"], "ts", 21_600, "1 minute")
-    keyed.start(stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True), spark).awaitTermination()
+    edges = [r[0] for r in e.agg(F.percentile_approx(at, [0.25, 0.5, 0.75]).alias("q")).selectExpr("explode(q)").collect()]
+    parts = [e if low is None else e.where(at > low) for low in [None, *edges]]
+    parts = [some if high is None else some.where(at <= high) for some, high in zip(parts, [*edges, None])]
+    for some in [*parts, end]:  # a run each, so that a delivery of many files is one batch
+        some.coalesce(64).write.mode("append").parquet(f"{path}/in")
+        stream = keyed.stall_stream(incremental.file_stream(spark, f"{path}/in", end.schema, 1_000), ["user_id"], "ts", 21_600, "1 minute")
+        keyed.start(stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True), spark).awaitTermination()
     found = spark.read.parquet(f"{path}/out").where("user_id <> -1").groupBy("user_id")
     return found.agg(F.count_if(F.col("kind") == "silent").alias("silent"), F.count_if(F.col("kind") == "resumed").alias("resumed"), F.coalesce(F.round(F.max(F.when(F.col("kind") == "resumed", F.col("seconds"))), 3), F.lit(0.0)).alias("longest"))

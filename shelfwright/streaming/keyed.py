@@ -6,7 +6,10 @@ import time
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructField, StructType
@@ -110,63 +113,76 @@ def marked_categories(items: DataFrame, settled_items: DataFrame, category: list
 
 
 class Silences(StatefulProcessor):
-    """The last beat of a key, whether its silence was told, and beats that the watermark has not passed yet (so their order is open)."""
+    """A bucket of keys, as one frame (key, us, mark): the last beat of each key (0), one whose silence was told (1), and beats that the watermark has not passed
+    yet, so their order is open (2). One timer stands for the bucket's next event."""
 
     def __init__(self, gap: int):
         self.gap = gap
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us long, told boolean")
-        self.ahead = handle.getListState("ahead", "us long")
+        self.kept = handle.getValueState("kept", "frame binary, due bigint")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        beats = [(row["_us"],) for row in rows]
-        self.ahead.appendList(beats)
-        self.handle.registerTimer(min(b[0] for b in beats) // 1000 + 1)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame, due = self.load()
+        came = [pd.DataFrame({"key": r.iloc[:, 0], "us": r.iloc[:, 2], "mark": 2}) for r in rows]  # by place: names may be lost on the way
+        self.keep(pd.concat([*([] if frame is None else [frame]), *came]), due)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        frame, _ = self.load()
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        last, told = self.last.get() if self.last.exists() else (None, False)
-        beats = sorted(b[0] for b in self.ahead.get())
-        passed = [b for b in beats if b <= now]
-        rest = beats[len(passed) :]
-        for beat in passed:
-            if last is not None and beat - last > self.gap:
-                if not told:
-                    yield self.row(key, "silent", last, None)
-                yield self.row(key, "resumed", last, beat)
-            last, told = beat, False
-        if last is not None and not told and now - last > self.gap:
-            yield self.row(key, "silent", last, None)
-            told = True
-        if passed:
-            self.ahead.clear()
-            if rest:
-                self.ahead.put([(b,) for b in rest])
-        if last is not None:
-            self.last.update((last, told))
-            if not told:
-                self.handle.registerTimer((last + self.gap) // 1000 + 1)
-        if rest:
-            self.handle.registerTimer(rest[0] // 1000 + 1)
-
-    def row(self, key, kind: str, since: int, until: int | None) -> Row:
-        return Row(**dict(zip(self.names, key)), kind=kind, since_us=since, until_us=until)
+        ready = ((frame["us"] <= now) | (frame["mark"] < 2)).to_numpy()
+        rest, frame = frame[~ready], frame[ready]
+        frame = frame.iloc[np.lexsort((frame["mark"], frame["us"], pd.factorize(frame["key"])[0]))].reset_index(drop=True)
+        since, before = frame["us"].shift(fill_value=0), frame["mark"].shift(fill_value=0)
+        broke = (frame["key"] == frame["key"].shift()) & (frame["us"] - since > self.gap)
+        last = frame[~frame["key"].duplicated(keep="last")]
+        last = last.assign(mark=last["mark"] % 2)
+        quiet = (last["mark"] == 0) & (now - last["us"] > self.gap)
+        silent = broke & (before != 1)
+        yield pd.concat([
+            self.told(frame["key"][silent], "silent", since[silent], None), self.told(frame["key"][broke], "resumed", since[broke], frame["us"][broke]), self.told(last["key"][quiet], "silent", last["us"][quiet], None),
+        ])
+        self.keep(pd.concat([last.assign(mark=last["mark"].mask(quiet, 1)), rest]), None)
+
+    def load(self) -> tuple[pd.DataFrame | None, int | None]:
+        if not self.kept.exists():
+            return None, None
+        data, due = self.kept.get()
+        return pa.ipc.open_stream(data).read_pandas(), due
+
+    def keep(self, frame: pd.DataFrame, due: int | None) -> None:
+        """Store the frame; the timer is set to the first beat that waits or the first silence that may come."""
+        at = (frame["us"] + np.where(frame["mark"] == 0, self.gap, 0))[frame["mark"] != 1]
+        next_due = int(at.min()) // 1000 + 1 if len(at) else None
+        if next_due != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if next_due is not None:
+                self.handle.registerTimer(next_due)
+        table, sink = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.kept.update((sink.getvalue().to_pybytes(), next_due))
+
+    def told(self, keys: pd.Series, kind: str, since: pd.Series, until: pd.Series | None) -> pd.DataFrame:
+        return pd.DataFrame({"_key": keys, "kind": kind, "since_us": since, "until_us": pd.Series(pd.NA if until is None else until, index=keys.index, dtype="Int64")})
 
     def close(self) -> None:
         pass
 
 
-def stall_stream(beats: DataFrame, keys: list[str], ts: str, gap_seconds: int, delay: str = "10 minutes") -> DataFrame:
+def stall_stream(beats: DataFrame, keys: list[str], ts: str, gap_seconds: int, delay: str = "10 minutes", buckets: int = 256) -> DataFrame:
     """T4 on a stream: (keys, kind, since, until, seconds). A row 'silent' is told as soon as the watermark - moved on by other keys' beats -
     is over `gap_seconds` past a key's last beat; 'resumed' when it beats again, with the length of the silence, as in `incremental.stalls`. Beats may come out of order
-    by up to `delay`; later ones are dropped. The stream is started by `start`."""
-    kinds = [beats.schema[k] for k in keys]
-    schema = StructType([*kinds, *StructType.fromDDL("kind string, since_us bigint, until_us bigint").fields])
-    marked = beats.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).cast("timestamp").alias("_ts")).withWatermark("_ts", delay).withColumn("_us", F.unix_micros("_ts"))
-    processor = Silences(gap_seconds * 1_000_000)
-    processor.names = keys
-    found = marked.groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime")
-    return found.select(*keys, "kind", F.timestamp_micros("since_us").alias("since"), F.timestamp_micros("until_us").alias("until"), ((F.col("until_us") - F.col("since_us")) / 1_000_000).alias("seconds"))
+    by up to `delay`; later ones are dropped. Keys are dealt into `buckets`, whose beats Python works off as whole columns; the number is
+    fixed for a checkpoint. The stream is started by `start`."""
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    key = F.to_json(F.struct(*keys), exact)
+    schema = StructType.fromDDL("_key string, kind string, since_us bigint, until_us bigint")
+    marked = beats.where(F.col(ts).isNotNull()).select(key.alias("_key"), F.col(ts).cast("timestamp").alias("_ts")).withWatermark("_ts", delay).withColumn("_us", F.unix_micros("_ts"))
+    dealt = marked.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
+    found = dealt.groupBy("_bucket").transformWithStateInPandas(Silences(gap_seconds * 1_000_000), schema, "Append", "EventTime")
+    found = found.withColumn("_k", F.from_json("_key", StructType([beats.schema[k] for k in keys]), exact))
+    return found.select(*[F.col(f"_k.{k}").alias(k) for k in keys], "kind", F.timestamp_micros("since_us").alias("since"), F.timestamp_micros("until_us").alias("until"), ((F.col("until_us") - F.col("since_us")) / 1_000_000).alias("seconds"))
