@@ -29,9 +29,9 @@ def brand_packs(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.when(F.col("ord") % 2 == 0, F.concat(F.lit("t"), F.col("ord").cast("string"))).otherwise(F.lit("")).alias("thumb"), F.array(F.lit("m")).alias("main"), F.array().cast("array<string>").alias("detail")).alias("images"),
     )
     entry = F.struct(F.concat(F.lit("k"), F.col("ord").cast("string")).alias("key"), item.alias("value"))
-    made = p.groupBy("brand", F.floor(F.col("ord") / 500).alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("products"))
+    made = p.groupBy("brand", F.floor(F.col("ord") / 12_500).alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("products"))
     path = staging_dir(spark)
-    made.select("brand", F.lower("brand").alias("brand_slug"), "products").repartition("brand", "brand_slug").write.option("maxRecordsPerFile", 1).json(path)
+    made.select("brand", F.lower("brand").alias("brand_slug"), "products").write.option("maxRecordsPerFile", 1).json(path)
     return packs.read_packs(spark, path).select("id", "name", "brand_slug", "pack_brand", "price", "price_usd", F.array_join("cat_path", ">").alias("path"), F.col("images.thumb").alias("thumb"), F.size("images.main").cast("bigint").alias("mains"))
 
 
