@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..sources.staging import staged
 
 #: Above so many keywords in all, rules are joined instead of folded into an expression (whose code then grows too long to be compiled); rule tables are
-#: broadcast up to RULES_MOST rows, larger ones are shuffled.
-FOLD_KEYWORDS, RULES_MOST = 3_000, 200_000
+#: broadcast up to RULES_MOST rows with BYTES_MOST bytes of text (what Spark itself would broadcast by default), larger ones are shuffled.
+FOLD_KEYWORDS, RULES_MOST, BYTES_MOST = 3_000, 200_000, 10 << 20
 #: Lengths of the grams by which keywords are looked up: the greatest that a keyword has, so that up to 31 code points every gram is more than half of it.
 GRAMS = (1, 2, 4, 8, 16)
 
@@ -37,9 +37,11 @@ def rule_table(spark, rules: Rules) -> DataFrame:
 
 
 def small(rules: DataFrame) -> DataFrame:
-    """A rule table, to be broadcast if it has at most RULES_MOST rows. A larger one is joined by sorting both sides: what is exploded on the other side
-    has many times the size that its files let Spark expect, so that is never broadcast either."""
-    return rules.hint("merge") if rules.limit(RULES_MOST + 1).count() > RULES_MOST else F.broadcast(rules)
+    """A rule table, to be broadcast if it has at most RULES_MOST rows and BYTES_MOST bytes of text, since few rules can be long ones. A larger one is joined by
+    sorting both sides: what is exploded on the other side has many times the size that its files let Spark expect, so that is never broadcast either."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c, kind in rules.dtypes if kind == "string"]
+    n, size = rules.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(rules) if n <= RULES_MOST and size <= BYTES_MOST else rules.hint("merge")
 
 
 def grams(text: Column, n: int) -> Column:
