@@ -95,21 +95,33 @@ def _complete(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
-def settled(spark: SparkSession, path: str) -> DataFrame:
-    """Items of retry_stream that are good or refused, with the number of attempts."""
-    return spark.read.parquet(f"{path}/settled/*")
+def settled(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
+    """Items of retry_stream that are good or refused, with the number of attempts. Without keys there is a row for each time that an item was settled, since one
+    that was forgotten is tried anew; with keys an item is there once, and only if its last attempt settled it."""
+    return _last(spark, path, keys).where("status <> 'retry'") if keys else spark.read.parquet(f"{path}/settled/*")
 
 
 def waiting(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Items of retry_stream that will be tried again, as their last attempt left them."""
-    rows = spark.read.parquet(f"{path}/waiting/*").join(settled(spark, path).select(*keys), keys, "left_anti")
-    return rows.groupBy(*keys).agg(*[F.max_by(c, "attempt").alias(c) for c in rows.columns if c not in keys]).select(*rows.columns)
+    return _last(spark, path, keys).where("status = 'retry'")
+
+
+def _last(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """What the last attempt on each item came to: that of the latest batch, whose number is in the folder's name."""
+    batch = F.regexp_extract(F.col("_metadata.file_path"), r"/v([0-9]+)/[^/]*$", 1).try_cast("bigint").alias("_batch")
+    both = [spark.read.parquet(f"{path}/{folder}/*").select("*", batch) for folder in ("settled", "waiting")]
+    rows = both[0].unionByName(both[1])
+    names = [c for c in rows.columns if c != "_batch"]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in names if c not in keys]), "_batch").alias("_row"))
+    return last.select(*[F.col(c if c in keys else f"_row.{c}").alias(c) for c in names])
 
 
 def marked_categories(items: DataFrame, settled_items: DataFrame, category: list[str], keys: list[str]) -> DataFrame:
-    """T3. (category, items, done): a category is marked only if none of its items waits for another attempt."""
-    known = settled_items.select(*keys, F.lit(True).alias("_settled"))
-    return items.join(known, keys, "left").groupBy(*category).agg(F.count("*").alias("items"), F.bool_and(F.coalesce("_settled", F.lit(False))).alias("done"))
+    """T3. (category, items, done): a category is marked only if none of its items waits for another attempt. An item counts once however often it is among the
+    settled ones, and a missing key is a key."""
+    known = settled_items.select(*[F.col(k).alias(f"_known_{k}") for k in keys], F.lit(True).alias("_settled")).distinct()
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys])
+    return items.join(known, on, "left").groupBy(*category).agg(F.count("*").alias("items"), F.bool_and(F.coalesce("_settled", F.lit(False))).alias("done"))
 
 
 class Silences(StatefulProcessor):
