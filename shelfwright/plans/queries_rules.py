@@ -24,7 +24,8 @@ def _short(key: Column) -> Column:
 
 def _keywords(spark: SparkSession, d: str) -> DataFrame:
     """Rules (priority, out, keyword) from the sold parts: the last word of the name, the brand, and the number without its last digit."""
-    p = table(spark, d, "part").join(table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey", "left_semi")
+    sold = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct().hint("merge")  # a well-packed file of many keys looks small enough to be broadcast
+    p = table(spark, d, "part").join(sold, "p_partkey", "left_semi")
     keyword = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(2)), F.lower("p_brand"), _short(F.col("p_partkey")))
     found = p.groupBy(keyword.alias("keyword")).agg(F.min("p_partkey").alias("m"))
     return found.select((-F.col("m")).alias("priority"), F.concat(F.lit("g"), (F.col("m") % 50).cast("string")).alias("out"), "keyword")
